@@ -293,46 +293,51 @@ def exact_percentile(
     value: str,
     q: float,
     name: str,
-    small: int = 100_000,
+    small: int = 1_000_000,
+    salt: int = 64,
     accuracy: int = 1_000_000,
 ) -> DataFrame:
     """Linear-interpolated percentile per key, exact, one row per key.
 
-    Up to ``small`` values a key is solved directly. Beyond it a quantile sketch
-    gives two bounds that enclose the wanted rank; only values between them are
-    ranked, the others are just counted.
+    Keys with at most ``small`` values use the built-in exact aggregate. For the
+    others (at most rows / ``small`` keys) a quantile sketch gives two bounds that
+    enclose the wanted rank; values outside are only counted, those between are
+    ranked. The bounds are joined on (key, salt), so a hot key is read by many tasks.
     """
     keys = list(keys)
     v = F.col(value).cast("double")
     d = df.select(*keys, v.alias("_x")).filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
     step = 4.0 / accuracy
     qs = F.array(F.lit(max(0.0, q - step)), F.lit(min(1.0, q + step)))
-    st = d.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.min("_x").alias("_mn"),
-        F.max("_x").alias("_mx"),
-        F.percentile_approx("_x", qs, accuracy).alias("_p"),
+    hot = (
+        d.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_x", qs, accuracy).alias("_p"))
+        .filter(F.col("_n") > small)
+        .select(
+            *keys,
+            ((F.col("_n") - 1) * F.lit(float(q))).alias("_h"),
+            F.col("_p")[0].alias("_lo"),
+            F.col("_p")[1].alias("_hi"),
+            F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("_s"),
+        )
     )
-    st = st.select(
-        *keys,
-        ((F.col("_n") - 1) * F.lit(float(q))).alias("_h"),
-        F.when(F.col("_n") <= small, F.col("_mn")).otherwise(F.col("_p")[0]).alias("_lo"),
-        F.when(F.col("_n") <= small, F.col("_mx")).otherwise(F.col("_p")[1]).alias("_hi"),
+    d = d.withColumn("_s", F.pmod(F.xxhash64("_x"), F.lit(salt)).cast("int"))
+    j = d.join(hot, [*keys, "_s"], "left")
+    cold = F.col("_h").isNull()
+    base = j.groupBy(*keys).agg(
+        F.percentile(F.when(cold, F.col("_x")), F.lit(float(q))).alias("_direct"),
+        F.count_if(F.col("_x") < F.col("_lo")).alias("_below"),
+        F.max("_h").alias("_h"),
     )
-    j = d.join(st, keys)
-    below = j.groupBy(*keys).agg(F.count_if(F.col("_x") < F.col("_lo")).alias("_below"))
     inside = j.filter((F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi")))
-    cnt = inside.groupBy(*keys, "_x", "_h").agg(F.count(F.lit(1)).alias("_m"))
+    cnt = inside.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_m"))
     w = Window.partitionBy(*keys).orderBy("_x").rowsBetween(START, 0)
-    ranked = cnt.withColumn("_cum", F.sum("_m").over(w)).join(below, keys)
+    ranked = cnt.withColumn("_cum", F.sum("_m").over(w)).join(base, keys)
     top = F.col("_below") + F.col("_cum")
     k = F.floor("_h")
     pick = ranked.groupBy(*keys).agg(
-        F.min(F.when(top > k, F.col("_x"))).alias("_a"),
-        F.min(F.when(top > k + 1, F.col("_x"))).alias("_z"),
-        F.first("_h").alias("_h"),
+        F.min(F.when(top > k, F.col("_x"))).alias("_a"), F.min(F.when(top > k + 1, F.col("_x"))).alias("_z")
     )
     frac = F.col("_h") - F.floor("_h")
-    return pick.select(
-        *keys, (F.col("_a") + F.when(frac > 0, (F.col("_z") - F.col("_a")) * frac).otherwise(0.0)).alias(name)
-    )
+    ranked_value = F.col("_a") + F.when(frac > 0, (F.col("_z") - F.col("_a")) * frac).otherwise(0.0)
+    return base.join(pick, keys, "left").select(*keys, F.coalesce("_direct", ranked_value).alias(name))
