@@ -50,6 +50,29 @@ class Seq:
         return [F.col(c).desc() if reverse else F.col(c).asc() for c in self.order]
 
 
+def balance(df: DataFrame, seq: Seq, rows: int = 1_000_000, name: str = "_hb") -> tuple[DataFrame, Seq]:
+    """Cut only the series that need it: those with more than ``rows`` rows.
+
+    Their time span is divided into rows / ``rows`` equal buckets; all other series
+    keep one bucket, so they cost what a plain window costs. At most (all rows) /
+    ``rows`` series are hot, which bounds the joined table; whether it is broadcast
+    is decided at run time from its measured size. The bucket is a function of the
+    data, so recomputed tasks agree. For spans with uneven density use
+    :func:`range_buckets`.
+    """
+    keys = list(seq.keys)
+    t = F.col(seq.order[0]).cast("double")
+    hot = (
+        df.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_hn"), F.min(t).alias("_h0"), F.max(t).alias("_h1"))
+        .filter(F.col("_hn") > rows)
+        .select(*keys, "_h0", ((F.col("_h1") - F.col("_h0")) / F.ceil(F.col("_hn") / float(rows))).alias("_hw"))
+    )
+    cell = F.when(F.col("_hw") > 0, F.floor((t - F.col("_h0")) / F.col("_hw"))).otherwise(F.lit(0))
+    out = df.join(hot, keys, "left").withColumn(name, cell.cast("long")).drop("_h0", "_hw")
+    return out, Seq(seq.keys, seq.order, seq.width, seq.chunk, name)
+
+
 class Scan(NamedTuple):
     """A running aggregate: ``sum``, ``max``, ``min``, ``last`` (latest non-null)
     or ``at`` (dense index of the latest row where ``expr`` holds)."""
@@ -307,7 +330,7 @@ def exact_percentile(
     keys = list(keys)
     v = F.col(value).cast("double")
     d = df.select(*keys, v.alias("_x")).filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
-    step = 4.0 / accuracy
+    step = 4.0 / min(accuracy, small)  # wider than sketch error plus one rank
     qs = F.array(F.lit(max(0.0, q - step)), F.lit(min(1.0, q + step)))
     hot = (
         d.groupBy(*keys)

@@ -17,7 +17,6 @@ from spanwise.operators.ordered import Seq
 from spanwise.operators.windows import streak
 from spanwise.plans.config import ABLATIONS, RULES, Ablation, FusionConfig, Interaction, RuleConfig, Scale
 
-ZERO = F.lit(0.0)
 
 
 def scaled(x: Column, s: Scale) -> Column:
@@ -27,14 +26,14 @@ def scaled(x: Column, s: Scale) -> Column:
 
 def low_posture_component(frames: Column, start: float, full: float) -> Column:
     span = max(full, start + 1e-6) - start
-    return F.when(frames >= start, clip01((frames - start) / span)).otherwise(ZERO)
+    return F.when(frames >= start, clip01((frames - start) / span)).otherwise(F.lit(0.0))
 
 
 def post_fall_component(near: Column, run_length: Column, hip: Column, head: Column, cfg: RuleConfig) -> Column:
     """Stillness once a series has been near the ground for long enough."""
     upper = max(cfg.post_fall_max_speed, 1e-9) + max(cfg.post_fall_buffer, 0.0)
     still = 1.0 - clip((F.abs(hip) + F.abs(head)) / upper)
-    return F.when(near & (run_length >= cfg.post_fall_streak), clip01(still)).otherwise(ZERO)
+    return F.when(near & (run_length >= cfg.post_fall_streak), clip01(still)).otherwise(F.lit(0.0))
 
 
 def rule_components(df: DataFrame, cfg: RuleConfig, seq: Seq | None = None, prefix: str = "c_") -> DataFrame:
@@ -51,7 +50,7 @@ def rule_components(df: DataFrame, cfg: RuleConfig, seq: Seq | None = None, pref
         df = streak(df, seq, near, "_streak") if seq else df.withColumn("_streak", near.cast("int"))
     num = lambda n: F.col(n).cast("double")
     torso = next((c for c in ("torso_angle_deg", "torso_angle_degrees") if c in have), None)
-    head = num("head_vertical_velocity") if "head_vertical_velocity" in have else ZERO
+    head = num("head_vertical_velocity") if "head_vertical_velocity" in have else F.lit(0.0)
     c: dict[str, Column | None] = dict.fromkeys(RULES)
     if "hip_vertical_velocity" in have:
         c["fast_downward_motion"] = scaled(num("hip_vertical_velocity"), cfg.fast_downward)
@@ -75,7 +74,7 @@ def rule_components(df: DataFrame, cfg: RuleConfig, seq: Seq | None = None, pref
     ):
         if col in have:
             c[rule] = scaled(num(col), s)
-    v = lambda r: ZERO if c[r] is None else c[r]
+    v = lambda r: F.lit(0.0) if c[r] is None else c[r]
     if c["high_instability"] is not None and (c["low_guard"] is not None or c["facing_away"] is not None):
         c["loss_of_control"] = clip01(F.sqrt(clip(F.greatest(v("low_guard"), v("facing_away")) * v("high_instability"))))
     if c["large_torso_angle"] is not None and c["fast_downward_motion"] is not None:
@@ -135,7 +134,7 @@ def triggered(channels: Mapping[str, Column], epsilon: float) -> Column:
 def weighted_score(channels: Mapping[str, Column], weights: Mapping[str, float]) -> Column:
     total = None
     for n, c in channels.items():
-        t = F.lit(float(weights.get(n, 0.0))) * F.coalesce(c, ZERO)
+        t = F.lit(float(weights.get(n, 0.0))) * F.coalesce(c, F.lit(0.0))
         total = t if total is None else total + t
     return clip01(total)
 
@@ -160,7 +159,7 @@ LIMB_HIGH, LIMB_CRITICAL = 0.55, 0.80
 
 def limb_override(df: DataFrame, cuts: Sequence[float], anomaly: str = "anomaly_score") -> DataFrame:
     """Raise level and score floor where the limb anomaly is high, and list the rule."""
-    a = F.coalesce(F.nanvl(F.col(anomaly), ZERO), ZERO)
+    a = F.coalesce(F.nanvl(F.col(anomaly), F.lit(0.0)), F.lit(0.0))
     _, high, crit = cuts
     s = F.col("risk_score")
     below = rank_of(F.col("risk_level")) < LEVELS.index("HIGH")
@@ -201,23 +200,23 @@ def scheme_score(channels: Mapping[str, Column], weights: Mapping[str, float], s
     """Pool available channels: ``equal``, ``weighted`` (reliability-discounted) or ``max``."""
     used = {n: c for n, c in channels.items() if float(weights.get(n, 0.0)) > 0}
     if not used:
-        return ZERO
+        return F.lit(0.0)
     vals = {n: clip(c) for n, c in used.items()}
     on = {n: c.isNotNull() for n, c in used.items()}
     if scheme == "max":
         parts = [F.when(on[n], vals[n]) for n in used]
         best = parts[0] if len(parts) == 1 else F.greatest(*parts)
-        return F.coalesce(best, ZERO)
+        return F.coalesce(best, F.lit(0.0))
     if scheme == "equal":
         w = dict.fromkeys(used, 1.0)
     elif scheme in ("weighted", "reliability_discounted"):
         w = {n: float(weights[n]) for n in used}
     else:
         raise ValueError(f"unknown scheme {scheme!r}")
-    num = den = ZERO
+    num = den = F.lit(0.0)
     for n in used:
-        num = num + F.when(on[n], vals[n] * w[n]).otherwise(ZERO)
-        den = den + F.when(on[n], F.lit(w[n])).otherwise(ZERO)
+        num = num + F.when(on[n], vals[n] * w[n]).otherwise(F.lit(0.0))
+        den = den + F.when(on[n], F.lit(w[n])).otherwise(F.lit(0.0))
     return clip01(safe_div(num, den))
 
 
@@ -231,9 +230,9 @@ def rule_fires(channels: Mapping[str, Column], rule: Interaction, default: float
 
 
 def boosts(channels: Mapping[str, Column], cfg: FusionConfig) -> Column:
-    total = ZERO
+    total = F.lit(0.0)
     for r in cfg.interactions:
-        total = total + F.when(rule_fires(channels, r, cfg.threshold), F.lit(r.boost)).otherwise(ZERO)
+        total = total + F.when(rule_fires(channels, r, cfg.threshold), F.lit(r.boost)).otherwise(F.lit(0.0))
     return total
 
 
@@ -309,7 +308,7 @@ def pre_interaction_long(signals: DataFrame, keys: Sequence[str], damping: float
 
     agg = signals.groupBy(*keys).agg(*pool(inc, "_up"), *pool(dec, "_down"))
     up = clip01(F.col("_up"))
-    down = F.least(F.lit(1.0), F.coalesce(F.col("_down"), ZERO))
+    down = F.least(F.lit(1.0), F.coalesce(F.col("_down"), F.lit(0.0)))
     return agg.select(*keys, clip01(up * (1.0 - damping * down)).alias("pre_score"))
 
 
@@ -405,7 +404,7 @@ def scenario_scores(
         c = F.col(f"_c_{n}")
         if random:
             hit = (F.col("p") > 0) & (draw(*[F.col(k) for k in keys], F.lit(n), F.col("seed")) < F.col("p"))
-            c = F.when(hit & c.isNotNull(), F.when(F.col("naive"), ZERO)).otherwise(c)
+            c = F.when(hit & c.isNotNull(), F.when(F.col("naive"), F.lit(0.0))).otherwise(c)
         ch[n] = c
     d = d.select(*keys, "scenario", "scheme", "interactions", *[c.alias(f"_c_{n}") for n, c in ch.items()])
     ch = {n: F.col(f"_c_{n}") for n in channels}
@@ -414,8 +413,8 @@ def scenario_scores(
     for s in schemes:
         score = F.when(F.col("scheme") == s, scheme_score(ch, cfg.weights, s)).otherwise(score)
     d = d.withColumn("_pre", score)
-    boost = F.when(F.col("interactions"), boosts(ch, cfg)).otherwise(ZERO)
-    n_fired = ZERO.cast("int")
+    boost = F.when(F.col("interactions"), boosts(ch, cfg)).otherwise(F.lit(0.0))
+    n_fired = F.lit(0.0).cast("int")
     for r in cfg.interactions:
         n_fired = n_fired + rule_fires(ch, r, cfg.threshold).cast("int")
     fired = F.when(F.col("interactions"), n_fired).otherwise(F.lit(0))
@@ -469,10 +468,10 @@ def legacy_score(df: DataFrame) -> DataFrame:
     angle, vel = F.abs(F.col("torso_angle_deg")), F.abs(F.col("hip_vertical_velocity"))
     both = F.coalesce((angle > angle_t) & (vel > vel_t), F.lit(False))
     inten = clip01((angle - angle_t) / angle_s * ((vel - vel_t) / vel_s))
-    tilt = F.when(both, F.greatest(inten, F.lit(0.35))).otherwise(ZERO)
+    tilt = F.when(both, F.greatest(inten, F.lit(0.35))).otherwise(F.lit(0.0))
     near = F.coalesce(F.col("near_ground"), F.lit(False))
     prog = clip(F.col("_streak") / float(ground_n))
-    ground = F.when(~near, ZERO).when(F.col("_streak") > ground_n, F.lit(1.0)).otherwise(prog * prog * 0.45)
+    ground = F.when(~near, F.lit(0.0)).when(F.col("_streak") > ground_n, F.lit(1.0)).otherwise(prog * prog * 0.45)
     erratic = F.greatest(
         clip01((F.col("_ratio") - 1.0) / (ratio_f - 1.0)), clip01(F.col("_jerk") / jerk_t)
     )
@@ -498,19 +497,19 @@ def max_severity(df: DataFrame) -> DataFrame:
     bases = {"LOW": 0.1, "MEDIUM": 0.4, "HIGH": 0.68, "CRITICAL": 0.86}
 
     def v(n: str) -> Column:
-        return F.coalesce(F.col(n).cast("double"), ZERO)
+        return F.coalesce(F.col(n).cast("double"), F.lit(0.0))
 
-    conf, like, limb = v("surrender_confidence"), F.greatest(ZERO, v("surrender_like")), F.greatest(ZERO, v("limb"))
+    conf, like, limb = v("surrender_confidence"), F.greatest(F.lit(0.0), v("surrender_like")), F.greatest(F.lit(0.0), v("limb"))
     surr = F.coalesce(F.col("surrender_detected"), F.lit(False)) & (conf + eps >= surr_t)
     surr_any = surr | (like + eps >= surr_like_t)
-    fall_strength = F.greatest(ZERO, v("fall_any"))
+    fall_strength = F.greatest(F.lit(0.0), v("fall_any"))
     fall = v("fall_any") > fall_t
     inact = F.greatest(v("inactivity"), clip(v("inactivity_score")))
     inact_hit = (inact + eps >= inact_t) | (v("inactivity") + eps >= fall_inact_t)
     down = fall & inact_hit
     limb_crit = limb + eps >= limb_c
     critical = surr_any | down | limb_crit
-    hip, rapid = F.greatest(ZERO, v("hip_velocity")), v("fall_rapid")
+    hip, rapid = F.greatest(F.lit(0.0), v("hip_velocity")), v("fall_rapid")
     fast = (
         ((rapid + eps >= rapid_hip_t) & (hip + eps >= hip_t)) | (rapid + eps >= rapid_t) | ((hip + eps >= hip_t) & fall)
     )
@@ -526,12 +525,12 @@ def max_severity(df: DataFrame) -> DataFrame:
     guard = (v("low_guard") + eps >= guard_t) & (rank == 0)
     rank = F.when(guard, F.lit(1)).otherwise(rank)
     strength = F.greatest(
-        F.when(surr_any, F.greatest(conf, like)).otherwise(ZERO),
-        F.when(down, F.least(F.lit(1.0), 0.5 * inact + 0.5 * fall_strength)).otherwise(ZERO),
-        F.when(limb_crit | limb_high, limb).otherwise(ZERO),
-        F.when(fall_high, F.greatest(rapid, F.least(F.lit(1.0), 0.35 * hip + 0.3 * rapid))).otherwise(ZERO),
-        F.when(turn, 0.5 * (turned + inst)).otherwise(ZERO),
-        F.when(guard, v("low_guard") * 0.7).otherwise(ZERO),
+        F.when(surr_any, F.greatest(conf, like)).otherwise(F.lit(0.0)),
+        F.when(down, F.least(F.lit(1.0), 0.5 * inact + 0.5 * fall_strength)).otherwise(F.lit(0.0)),
+        F.when(limb_crit | limb_high, limb).otherwise(F.lit(0.0)),
+        F.when(fall_high, F.greatest(rapid, F.least(F.lit(1.0), 0.35 * hip + 0.3 * rapid))).otherwise(F.lit(0.0)),
+        F.when(turn, 0.5 * (turned + inst)).otherwise(F.lit(0.0)),
+        F.when(guard, v("low_guard") * 0.7).otherwise(F.lit(0.0)),
     )
     fallback = F.greatest(F.lit(0.12), v("low_guard") * 0.4, limb * 0.2, fall_strength * 0.3)
     strength = clip(F.when(strength <= 0, fallback).otherwise(strength))
