@@ -1,38 +1,213 @@
-"""Frame and event metrics, roll-ups, comparison tables."""
+"""Frame and event metrics, roll-ups and comparison tables.
+
+All inputs are DataFrames of any size; results are small aggregates. Sums and counts
+combine map-side, so a hot key costs no more than its partial rows.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanwise.functions.scalar import rank_of
+from spanwise.functions.scalar import f_beta, namespace, rank_of, safe_div
+from spanwise.operators.intervals import greedy_match, label_outcome, overlaps_any
+
+
+def prf(tp: Column, fp: Column, fn: Column, beta: float | None = None) -> list[Column]:
+    p, r = safe_div(tp, tp + fp), safe_div(tp, tp + fn)
+    out = [p.alias("precision"), r.alias("recall"), safe_div(2.0 * p * r, p + r).alias("f1")]
+    return out + ([f_beta(p, r, beta).alias("f2")] if beta else [])
+
+
+def frame_confusion(truth: DataFrame, pred: DataFrame, keys: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Counts and rates over frames present on both sides; ``y_true`` / ``y_pred`` are 0 or 1."""
+    j = truth.join(pred, list(keys))
+    t, p = F.col("y_true") == 1, F.col("y_pred") == 1
+    a = j.groupBy(*by).agg(
+        F.count_if(t & p).alias("tp"), F.count_if(~t & p).alias("fp"), F.count_if(t & ~p).alias("fn"), F.count_if(~t & ~p).alias("tn")
+    )
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+    return a.select(*by, "tp", "fp", "fn", "tn", *prf(tp, fp, fn), safe_div(fp, fp + tn).alias("false_alarm_rate"))
+
+
+def event_counts(refs: DataFrame, preds: DataFrame, matches: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per key: tp, fp, fn, precision, recall, f1 and onset / offset delays."""
+    keys = list(keys)
+    m = matches.select(
+        *keys,
+        F.lit(0).alias("_r"), F.lit(0).alias("_p"), F.lit(1).alias("_m"),
+        (F.col("pred_start") - F.col("ref_start")).alias("_on"), (F.col("pred_end") - F.col("ref_end")).alias("_off"),
+    )
+    none = F.lit(None).cast("double")
+    r = refs.select(*keys, F.lit(1).alias("_r"), F.lit(0).alias("_p"), F.lit(0).alias("_m"), none.alias("_on"), none.alias("_off"))
+    p = preds.select(*keys, F.lit(0).alias("_r"), F.lit(1).alias("_p"), F.lit(0).alias("_m"), none.alias("_on"), none.alias("_off"))
+    a = m.unionByName(r).unionByName(p).groupBy(*keys).agg(
+        F.sum("_m").alias("tp"), (F.sum("_p") - F.sum("_m")).alias("fp"), (F.sum("_r") - F.sum("_m")).alias("fn"),
+        F.avg("_on").alias("mean_onset"), F.avg(F.abs("_on")).alias("mean_abs_onset"), F.avg("_off").alias("mean_offset"),
+        F.sum("_on").alias("sum_onset"),
+    )
+    return a.select(*keys, "tp", "fp", "fn", *prf(F.col("tp"), F.col("fp"), F.col("fn")), "mean_onset", "mean_abs_onset", "mean_offset", "sum_onset")
+
+
+def micro_macro(per_video: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Micro from pooled counts, macro as mean of per-video values."""
+    a = per_video.groupBy(*by).agg(
+        F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"),
+        F.avg("precision").alias("macro_precision"), F.avg("recall").alias("macro_recall"), F.avg("f1").alias("macro_f1"),
+    )
+    p, r, f = prf(F.col("tp"), F.col("fp"), F.col("fn"))
+    return a.select(
+        *by, "tp", "fp", "fn", p.alias("micro_precision"), r.alias("micro_recall"), f.alias("micro_f1"),
+        "macro_precision", "macro_recall", "macro_f1",
+    )
+
 
+def rollup_metrics(per_video: DataFrame, method: str, video: str) -> DataFrame:
+    """Per-video rows and the pooled row of each method in one pass (video null)."""
+    a = per_video.rollup(method, video).agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
+    return a.filter(F.col(method).isNotNull()).select(method, video, "tp", "fp", "fn", *prf(F.col("tp"), F.col("fp"), F.col("fn")))
 
-def run_summary(
-    df: DataFrame, keys: Sequence[str], t: str, score: str, level: str, order: Sequence[str], frame: str
+
+def leave_one_out(per_video: DataFrame, video: str, by: Sequence[str] = ()) -> DataFrame:
+    """Pooled micro metrics without each video: totals minus own counts."""
+    tot = per_video.groupBy(*by).agg(*[F.sum(c).alias(f"_{c}") for c in ("tp", "fp", "fn")])
+    on = list(by) or ["_one"]
+    one = (lambda d: d) if by else (lambda d: d.withColumn("_one", F.lit(1)))
+    j = one(per_video).join(one(tot), on)
+    tp, fp, fn = (F.col(f"_{c}") - F.col(c) for c in ("tp", "fp", "fn"))
+    return j.select(*by, F.col(video).alias("excluded"), tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), *prf(tp, fp, fn))
+
+
+def contribution_share(per_video: DataFrame, video: str) -> DataFrame:
+    """Share of labels and of true positives per video."""
+    tot = per_video.agg(F.sum(F.col("tp") + F.col("fn")).alias("_g"), F.sum("tp").alias("_t"))
+    gt = F.col("tp") + F.col("fn")
+    j = per_video.withColumn("_one", F.lit(1)).join(tot.withColumn("_one", F.lit(1)), "_one")
+    return j.select(
+        video, gt.alias("n_gt"), "tp", safe_div(gt, F.col("_g")).alias("share_gt"), safe_div(F.col("tp"), F.col("_t")).alias("share_tp")
+    )
+
+
+def sensitivity_grid(
+    refs: DataFrame, preds: DataFrame, keys: Sequence[str], width: float, cells: Sequence[tuple[float, float]]
 ) -> DataFrame:
-    """Frames, duration, score statistics (population deviation), highest level and first highest frame."""
-    return df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_frames"),
-        (F.max(t) - F.min(t)).alias("duration"),
-        F.max(score).alias("max_score"),
-        F.avg(score).alias("avg_score"),
-        F.stddev_pop(score).alias("std_score"),
-        F.max(rank_of(F.col(level))).alias("top_rank"),
-        F.min_by(frame, F.struct((-F.col(score)).alias("s"), *order)).alias("top_frame"),
+    """Pooled metrics for each (IoU, tolerance); one matching per cell."""
+    out = []
+    for iou, tol in cells:
+        m = greedy_match(refs, preds, keys, width, iou, tol)
+        c = event_counts(refs, preds, m, keys)
+        out.append(micro_macro(c).select(F.lit(float(iou)).alias("iou"), F.lit(float(tol)).alias("tolerance"), "tp", "fp", "fn", "micro_f1"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def failure_pivot(failures: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Counts per failure type, zero filled; the types are fixed so no scan is needed to find them."""
+    kinds = ["delayed_onset", "early_onset", "false_negative", "false_positive", "fragmented_detection", "merged_distinct_events", "short_event_suppression"]
+    return failures.groupBy(*by).pivot("failure_type", kinds).agg(F.count(F.lit(1))).na.fill(0, kinds)
+
+
+POSITIVE = ("submission_signal", "extreme_vulnerability")
+
+
+def namespaced_outcomes(
+    refs: DataFrame,
+    preds: DataFrame,
+    negatives: DataFrame,
+    keys: Sequence[str],
+    width: float,
+    threshold: float = 0.3,
+    tolerance: float = 0.0,
+    mode: str = "exact",
+    early: float = 0.05,
+) -> DataFrame:
+    """One row per outcome: ``outcome`` (tp, mismatch, missed, extra), labels, onset and error category.
+
+    Matching ignores labels; a match with incompatible labels counts as one false
+    positive and one false negative. Extra predictions that overlap a scramble (first)
+    or hand-posting interval of ``negatives`` (``neg_label``) are tagged.
+    """
+    keys = list(keys)
+    m = greedy_match(refs, preds, keys, width, threshold, tolerance)
+    m = m.join(refs.select(*keys, "ref_id", "ref_label"), [*keys, "ref_id"]).join(
+        preds.select(*keys, "pred_id", "pred_label"), [*keys, "pred_id"]
+    )
+    ok = label_outcome(F.col("ref_label"), F.col("pred_label"), mode)
+    onset = F.col("pred_start") - F.col("ref_start")
+    timing = F.when(F.col("pred_start") < F.col("ref_start") - early, "early_detection").when(
+        F.col("pred_start") > F.col("ref_start") + early, "late_detection"
     )
+    subtype = F.when(~ok | (F.trim("ref_label") != F.trim("pred_label")), F.lit("wrong_subtype"))
+    matched = m.select(
+        *keys, F.when(ok, "tp").otherwise("mismatch").alias("outcome"), "ref_label", "pred_label", onset.alias("onset"),
+        F.array_compact(F.array(subtype, F.when(ok, timing))).alias("errors"),
+    )
+    none = F.lit(None).cast("string")
+    missed = refs.join(m.select(*keys, "ref_id"), [*keys, "ref_id"], "left_anti").select(
+        *keys, F.lit("missed").alias("outcome"), "ref_label", none.alias("pred_label"), F.lit(None).cast("double").alias("onset"),
+        F.array(F.lit("missed_event")).alias("errors"),
+    )
+    extra = preds.join(m.select(*keys, "pred_id"), [*keys, "pred_id"], "left_anti")
+    for tag, lab in (("_scr", "negative.normal_scramble"), ("_hp", "negative.hand_posting")):
+        neg = negatives.filter(F.col("neg_label") == lab).select(*keys, "neg_start", "neg_end")
+        hit = overlaps_any(extra.select(*keys, "pred_id", "pred_start", "pred_end"), neg, keys, ("pred_start", "pred_end"), ("neg_start", "neg_end"), width, [*keys, "pred_id"])
+        extra = extra.join(hit.withColumn(tag, F.lit(True)), [*keys, "pred_id"], "left")
+    cat = F.when(F.col("_scr"), "false_positive_scramble").when(F.col("_hp"), "false_positive_hand_posting").otherwise("false_positive")
+    extra = extra.select(
+        *keys, F.lit("extra").alias("outcome"), none.alias("ref_label"), "pred_label", F.lit(None).cast("double").alias("onset"), F.array(cat).alias("errors")
+    )
+    return matched.unionByName(missed).unionByName(extra)
 
 
-def highest_moment(df: DataFrame, keys: Sequence[str], score: str, order: Sequence[str]) -> DataFrame:
-    """The row with the highest score per key; the first one wins."""
-    rest = [c for c in df.columns if c not in keys]
-    best = F.min_by(F.struct(*rest), F.struct((-F.col(score)).alias("s"), *order))
-    return df.groupBy(*keys).agg(best.alias("_r")).select(*keys, "_r.*")
+def namespaced_metrics(outcomes: DataFrame, beta: float = 2.0) -> DataFrame:
+    """Per label, ``micro`` and ``macro`` rows: tp, fp, fn, precision, recall, f1, f2, mean onset."""
+    tp, mis = F.col("outcome") == "tp", F.col("outcome") == "mismatch"
+    rows = F.array_compact(
+        F.array(
+            F.when(tp, F.struct(F.col("ref_label").alias("label"), F.lit(1).alias("tp"), F.lit(0).alias("fp"), F.lit(0).alias("fn"))),
+            F.when(mis | (F.col("outcome") == "missed"), F.struct(F.col("ref_label").alias("label"), F.lit(0).alias("tp"), F.lit(0).alias("fp"), F.lit(1).alias("fn"))),
+            F.when(mis | (F.col("outcome") == "extra"), F.struct(F.col("pred_label").alias("label"), F.lit(0).alias("tp"), F.lit(1).alias("fp"), F.lit(0).alias("fn"))),
+        )
+    )
+    d = outcomes.select(F.when(tp, F.col("onset")).alias("_on"), F.inline(rows))
+    cls = d.groupBy("label").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"), F.sum("_on").alias("_s"), F.sum(F.abs("_on")).alias("_a"))
+    c3 = [F.col(c) for c in ("tp", "fp", "fn")]
+    per = cls.select("label", "tp", "fp", "fn", *prf(*c3, beta), safe_div(F.col("_s"), F.col("tp")).alias("mean_onset"))
+    pooled = cls.agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "_s", "_a")])
+    micro = pooled.select(F.lit("micro").alias("label"), "tp", "fp", "fn", *prf(*c3, beta), safe_div(F.col("_s"), F.col("tp")).alias("mean_onset"))
+    macro = per.agg(*[F.avg(c).alias(c) for c in ("precision", "recall", "f1", "f2")]).select(
+        F.lit("macro").alias("label"), *[F.lit(None).cast("long").alias(c) for c in ("tp", "fp", "fn")], "precision", "recall", "f1", "f2", F.lit(None).cast("double").alias("mean_onset")
+    )
+    return per.unionByName(micro).unionByName(macro)
+
+
+def positives(labels: DataFrame, label: str) -> DataFrame:
+    """Only labels that count as positives."""
+    return labels.filter(namespace(F.col(label)).isin(*POSITIVE))
+
+
+def false_positives_per_minute(n_fp: Column, seconds: Column) -> Column:
+    return safe_div(n_fp, seconds / 60.0)
 
 
-__all__ = ["Column", "highest_moment", "run_summary"]
+def error_counts(outcomes: DataFrame) -> DataFrame:
+    """Errors per category, most frequent first, ties by name."""
+    d = outcomes.select(F.explode("errors").alias("category"))
+    return d.groupBy("category").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "category")
+
+
+def alert_consistency(a: DataFrame, b: DataFrame, keys: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Share of equal labels (``level_a`` / ``level_b``) at equal positions."""
+    return a.join(b, list(keys)).groupBy(*by).agg(F.avg((F.col("level_a") == F.col("level_b")).cast("double")).alias("consistency"), F.count(F.lit(1)).alias("n"))
+
+
+def coverage(frames: DataFrame, poses: DataFrame, keys: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """Share of frames whose key also has a pose (membership, duplicates ignored)."""
+    p = poses.select(*keys).distinct().withColumn("_hit", F.lit(1))
+    j = frames.join(p, list(keys), "left")
+    return j.groupBy(*by).agg(F.count(F.lit(1)).alias("n_frames"), F.count("_hit").alias("n_pose"), (100.0 * F.count("_hit") / F.count(F.lit(1))).alias("coverage_pct"))
 
 
 def triggered_rule_counts(df: DataFrame, col: str) -> DataFrame:
@@ -40,7 +215,7 @@ def triggered_rule_counts(df: DataFrame, col: str) -> DataFrame:
     if dict(df.dtypes)[col].startswith("array"):
         cells = F.col(col)
     else:
-        cells = F.coalesce(F.from_json(F.col(col), "array<string>"), F.array(F.col(col)))
+        cells = F.when(F.trim(F.col(col)).startswith("["), F.from_json(F.col(col), "array<string>")).otherwise(F.array(F.col(col)))
     d = df.select(F.explode(cells).alias("rule")).filter(F.length(F.trim("rule")) > 0)
     return d.groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
@@ -49,9 +224,114 @@ def behaviour(df: DataFrame, keys: Sequence[str], score: str, level: str, t: str
     """Maximum, mean, share of HIGH or CRITICAL and first such time per run and mode."""
     hot = F.upper(F.col(level)).isin("HIGH", "CRITICAL")
     return df.groupBy(*keys).agg(
-        F.max(score).alias("max_score"),
-        F.avg(score).alias("mean_score"),
-        (100.0 * F.count_if(hot) / F.count(F.lit(1))).alias("pct_high"),
-        F.min(F.when(hot, F.col(t))).alias("first_high"),
-        F.count(F.lit(1)).alias("n_frames"),
+        F.max(score).alias("max_score"), F.avg(score).alias("mean_score"), (100.0 * F.count_if(hot) / F.count(F.lit(1))).alias("pct_high"),
+        F.min(F.when(hot, F.col(t))).alias("first_high"), F.count(F.lit(1)).alias("n_frames"),
+    )
+
+
+def variance_summary(df: DataFrame, mode: str, run: str, score: str) -> DataFrame:
+    """Per mode: mean over runs of maximum, mean and sample variance."""
+    per = df.groupBy(mode, run).agg(F.max(score).alias("_mx"), F.avg(score).alias("_mn"), F.when(F.count(score) > 1, F.var_samp(score)).alias("_v"))
+    return per.groupBy(mode).agg(F.avg("_mx").alias("mean_max"), F.avg("_mn").alias("mean_mean"), F.avg("_v").alias("mean_variance"), F.count(F.lit(1)).alias("n_runs"))
+
+
+def run_summary(df: DataFrame, keys: Sequence[str], t: str, score: str, level: str, order: Sequence[str], frame: str) -> DataFrame:
+    """Frames, duration, score statistics (population deviation), highest level and first highest frame."""
+    return df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_frames"), (F.max(t) - F.min(t)).alias("duration"), F.max(score).alias("max_score"), F.avg(score).alias("avg_score"),
+        F.stddev_pop(score).alias("std_score"), F.max(rank_of(F.col(level))).alias("top_rank"),
+        F.min_by(frame, F.struct((-F.col(score)).alias("s"), *order)).alias("top_frame"),
+    )
+
+
+def highest_moment(df: DataFrame, keys: Sequence[str], score: str, order: Sequence[str]) -> DataFrame:
+    """The row with the highest score per key; the first one wins."""
+    rest = [c for c in df.columns if c not in keys]
+    best = F.min_by(F.struct(*rest), F.struct((-F.col(score)).alias("s"), *order))
+    return df.groupBy(*keys).agg(best.alias("_r")).select(*keys, "_r.*")
+
+
+def majority_vote(df: DataFrame, keys: Sequence[str], item: str, pos: str) -> DataFrame:
+    """Most frequent item per key; ties go to the one seen first."""
+    c = df.groupBy(*keys, item).agg(F.count(F.lit(1)).alias("_n"), F.min(pos).alias("_p"))
+    return c.groupBy(*keys).agg(F.min_by(F.struct(item, "_n"), F.struct((-F.col("_n")).alias("n"), "_p")).alias("_w")).select(*keys, F.col("_w")[item].alias(item), F.col("_w")["_n"].alias("votes"))
+
+
+def statistics(df: DataFrame, video: str, dims: Sequence[str]) -> DataFrame:
+    """Value distributions of several columns in one grouping-sets pass: dimension, value, n."""
+    cols = [video, *dims]
+    g = df.groupingSets([[F.col(c)] for c in cols], *[F.col(c) for c in cols]).agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("_g"))
+    top = 2 ** (len(cols)) - 1
+    name, val = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for i, c in enumerate(cols):
+        bit = top - 2 ** (len(cols) - 1 - i)
+        name = F.when(F.col("_g") == bit, F.lit(c)).otherwise(name)
+        val = F.when(F.col("_g") == bit, F.col(c).cast("string")).otherwise(val)
+    return g.select(name.alias("dimension"), val.alias("value"), "n")
+
+
+def sweep_best(df: DataFrame) -> DataFrame:
+    """Best row by macro F1, then macro recall, then micro recall."""
+    return df.orderBy(F.desc("macro_f1"), F.desc("macro_recall"), F.desc("micro_recall")).limit(1)
+
+
+def sweep_parameter(path: Column) -> Column:
+    """Parameter value at the end of a folder or file name such as ``..._p90``."""
+    return F.nullif(F.regexp_extract(path, r"_p(\d+)", 1), F.lit("")).cast("int")
+
+
+def method_table(methods: DataFrame, results: DataFrame, key: str, order: str) -> DataFrame:
+    """Fixed list of methods; those without results give zero rows."""
+    nums = [f.name for f in results.schema.fields if f.name != key]
+    return methods.join(results, key, "left").na.fill(0, nums).orderBy(order)
+
+
+def case_status(cases: DataFrame, runs: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """Per case: ok, missing_run, pending_annotation or missing."""
+    r = runs.select(key).distinct().withColumn("_r", F.lit(True))
+    a = labels.select(key).distinct().withColumn("_a", F.lit(True))
+    has_r, has_a = F.coalesce("_r", F.lit(False)), F.coalesce("_a", F.lit(False))
+    s = F.when(has_r & has_a, "ok").when(has_r, "pending_annotation").when(has_a, "missing_run").otherwise("missing")
+    return cases.join(r, key, "left").join(a, key, "left").withColumn("status", s).drop("_r", "_a")
+
+
+def coco_counts(doc: DataFrame, person: int = 1) -> DataFrame:
+    """Distinct images and person annotations of nested JSON documents (``images``, ``annotations``)."""
+    return doc.select(
+        F.size(F.array_distinct(F.col("images.id"))).alias("n_images"),
+        F.size(F.filter("annotations", lambda a: a["category_id"] == person)).alias("n_persons"),
     )
+
+
+def explanation_metrics(df: DataFrame, keys: Sequence[str], text: str, fallback: str, error: str) -> DataFrame:
+    """Counts of generated, fallback and failed explanations per run."""
+    t = F.lower(F.col(text))
+    filled = F.length(F.trim(F.col(text))) > 0
+    fb, er = t.rlike(fallback), t.rlike(error)
+    used = filled & ~fb & ~er
+    return df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(used).alias("n_used"), F.count_if(filled & fb).alias("n_fallback"), F.count_if(filled & er).alias("n_error"),
+        safe_div(F.count_if(used), F.count(F.lit(1))).alias("success_rate"),
+    )
+
+
+def candidate_summary(metrics: DataFrame, manifest: DataFrame, preds: DataFrame, key: str) -> DataFrame:
+    """Per run: candidate count, micro metrics, minutes (from metrics, else frames / fps / 60)."""
+    n = preds.groupBy(key).agg(F.count(F.lit(1)).alias("n_candidates"))
+    j = manifest.join(metrics, key, "left").join(n, key, "left")
+    mins = F.coalesce(F.col("minutes"), F.col("frames") / F.col("fps") / 60.0)
+    return j.withColumns({"n_candidates": F.coalesce("n_candidates", F.lit(0)), "minutes": mins})
+
+
+def regression_check(got: DataFrame, want: DataFrame, keys: Sequence[str], cols: Sequence[str], tol: float) -> DataFrame:
+    """Compare metric tables by key: one row per key and column that differs or is absent on a side."""
+    g = got.select(*keys, F.lit(True).alias("_g"), *[F.col(c).cast("double").alias(f"_g_{c}") for c in cols])
+    w = want.select(*keys, F.lit(True).alias("_w"), *[F.col(c).cast("double").alias(f"_w_{c}") for c in cols])
+    j = g.join(w, list(keys), "full_outer")
+    items = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_g_{c}").alias("got"), F.col(f"_w_{c}").alias("want")) for c in cols])
+    d = j.select(*keys, F.col("_g").isNull().alias("missing"), F.col("_w").isNull().alias("unexpected"), F.inline(items))
+    same = F.col("got").eqNullSafe(F.col("want")) | (F.abs(F.col("got") - F.col("want")) < tol)
+    return d.filter(F.col("missing") | F.col("unexpected") | ~F.coalesce(same, F.lit(False)))
+
+
+_ = Window

@@ -57,10 +57,10 @@ def ship_preds(spark: SparkSession, sf: str) -> DataFrame:
     s = epoch_micros("l_shipdate") / F.lit(86400e6)
     return j.select(
         F.col("o_custkey").alias("cust"),
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pred_id"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("pred_id"),
         s.alias("pred_start"),
         (s + 20.0).alias("pred_end"),
-        F.concat((F.col("l_linenumber") % 5 + 1).cast("string")).alias("pred_label"),
+        (F.col("l_linenumber") % 5 + 1).cast("string").alias("pred_label"),
         (F.col("l_quantity") / 50.0).alias("pred_score"),
         F.col("l_returnflag").alias("flag"),
     )
@@ -68,6 +68,6 @@ def ship_preds(spark: SparkSession, sf: str) -> DataFrame:
 
 REFS = """refs AS (SELECT o_custkey AS cust, o_orderkey AS ref_id, epoch_us(o_orderdate) / 86400e6 AS ref_start,
  epoch_us(o_orderdate) / 86400e6 + 30.0 AS ref_end, substr(o_orderpriority, 1, 1) AS ref_label, o_orderstatus AS status FROM orders)"""
-PREDS = """preds AS (SELECT o_custkey AS cust, l_orderkey * 10 + l_linenumber AS pred_id, epoch_us(l_shipdate) / 86400e6 AS pred_start,
+PREDS = """preds AS (SELECT o_custkey AS cust, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS pred_id, epoch_us(l_shipdate) / 86400e6 AS pred_start,
  epoch_us(l_shipdate) / 86400e6 + 20.0 AS pred_end, CAST(l_linenumber % 5 + 1 AS VARCHAR) AS pred_label, l_quantity / 50.0 AS pred_score,
  l_returnflag AS flag FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""

@@ -60,7 +60,7 @@ COLS = ("fast", "tors", "lowp", "insta", "post", "grd", "fac", "rea", "loss", "d
 
 def _triggers(eps: float) -> str:
     items = ", ".join(f"CASE WHEN {c} > {eps!r} THEN '{r}' END" for c, r in zip(COLS, RULES))
-    return f"list_filter([{items}], x -> x IS NOT NULL)"
+    return f"list_filter([{items}], lambda x: x IS NOT NULL)"
 
 
 def _level(x: str, cuts=(0.25, 0.5, 0.75)) -> str:
@@ -245,10 +245,11 @@ CFG = FusionConfig(
     ),
 )
 KEYS = ["l_orderkey", "l_linenumber"]
+ROW = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]  # identifies a line
 
 
 def lines(spark, sf):
-    return table(spark, sf, "lineitem").select(*KEYS, "l_quantity", "l_discount", "l_tax", "l_extendedprice", "l_linestatus", "l_returnflag")
+    return table(spark, sf, "lineitem").select(*ROW, "l_quantity", "l_discount", "l_tax", "l_extendedprice", "l_linestatus", "l_returnflag")
 
 
 def channels():
@@ -260,7 +261,7 @@ def channels():
     }
 
 
-CHN = """ch AS (SELECT l_orderkey, l_linenumber, l_quantity / 50.0 AS qty, CASE WHEN l_linestatus = 'O' THEN l_discount / 0.1 END AS disc,
+CHN = """ch AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity / 50.0 AS qty, CASE WHEN l_linestatus = 'O' THEN l_discount / 0.1 END AS disc,
  CASE WHEN l_returnflag <> 'N' THEN l_tax / 0.08 END AS tax, l_extendedprice / 100000.0 AS price FROM lineitem)"""
 WEIGHTS = {"qty": 0.3, "disc": 0.2, "tax": 0.1, "price": 0.4}
 
@@ -303,7 +304,7 @@ for _s in ("equal", "weighted", "max"):
 @query(
     "interaction_boosts",
     f"""WITH {CHN} SELECT l_orderkey, l_linenumber, round({_boost_sql()}, 9) AS boost,
- array_to_string(list_filter([CASE WHEN qty > 0.5 AND price > 0.5 THEN 'qty_price' END, CASE WHEN disc > 0.08 AND tax > 0.08 THEN 'disc_tax' END, CASE WHEN price > 0.9 THEN 'price_alone' END], x -> x IS NOT NULL), ',') AS fired FROM ch""",
+ array_to_string(list_filter([CASE WHEN qty > 0.5 AND price > 0.5 THEN 'qty_price' END, CASE WHEN disc > 0.08 AND tax > 0.08 THEN 'disc_tax' END, CASE WHEN price > 0.9 THEN 'price_alone' END], lambda x: x IS NOT NULL), ',') AS fired FROM ch""",
 )
 def interaction_boosts(spark, sf):
     ch = channels()
@@ -316,7 +317,7 @@ FUSED = f"greatest(0.0, least(1.0, {_scheme_sql('weighted')} + {_boost_sql()}))"
 @query(
     "fused_levels",
     f"""WITH {CHN}, f AS (SELECT *, {FUSED} AS rs FROM ch) SELECT l_orderkey, l_linenumber, round(rs, 9) AS risk_score, {_level("round(rs, 12)")} AS risk_level,
- array_to_string(list_sort(list_filter([CASE WHEN qty > 0.08 THEN 'qty' END, CASE WHEN disc > 0.08 THEN 'disc' END, CASE WHEN tax > 0.08 THEN 'tax' END, CASE WHEN price > 0.08 THEN 'price' END], x -> x IS NOT NULL)), ',') AS active FROM f""",
+ array_to_string(list_sort(list_filter([CASE WHEN qty > 0.08 THEN 'qty' END, CASE WHEN disc > 0.08 THEN 'disc' END, CASE WHEN tax > 0.08 THEN 'tax' END, CASE WHEN price > 0.08 THEN 'price' END], lambda x: x IS NOT NULL)), ',') AS active FROM f""",
 )
 def fused_levels(spark, sf):
     d = sc.fuse(lines(spark, sf), channels(), CFG)
@@ -327,7 +328,7 @@ def fused_levels(spark, sf):
     "fusion_audit",
     f"""WITH {CHN}, f AS (SELECT *, {FUSED} AS rs FROM ch) SELECT l_orderkey, l_linenumber, round({_scheme_sql('weighted')}, 9) AS base_score, round(rs, 9) AS fused_score,
  array_to_string(list_filter([CASE WHEN qty > 0.5 AND price > 0.5 THEN 'Interaction ''qty_price'': +0.060' END, CASE WHEN disc > 0.08 AND tax > 0.08 THEN 'Interaction ''disc_tax'': +0.070' END,
- CASE WHEN price > 0.9 THEN 'Interaction ''price_alone'': +0.120' END], x -> x IS NOT NULL), '; ') AS facts FROM f""",
+ CASE WHEN price > 0.9 THEN 'Interaction ''price_alone'': +0.120' END], lambda x: x IS NOT NULL), '; ') AS facts FROM f""",
 )
 def fusion_audit(spark, sf):
     ch = channels()
@@ -339,7 +340,7 @@ def fusion_audit(spark, sf):
 @query(
     "firing_counts",
     f"""WITH {CHN}, r AS (SELECT unnest(list_filter([CASE WHEN qty > 0.5 AND price > 0.5 THEN 'qty_price' END, CASE WHEN disc > 0.08 AND tax > 0.08 THEN 'disc_tax' END, CASE WHEN price > 0.9 THEN 'price_alone' END,
- CASE WHEN (qty > 0.5 AND price > 0.5) OR coalesce(disc > 0.08 AND tax > 0.08, false) OR price > 0.9 THEN '__any__' END], x -> x IS NOT NULL)) AS rule FROM ch) SELECT rule, count(*) AS n FROM r GROUP BY 1""",
+ CASE WHEN (qty > 0.5 AND price > 0.5) OR coalesce(disc > 0.08 AND tax > 0.08, false) OR price > 0.9 THEN '__any__' END], lambda x: x IS NOT NULL)) AS rule FROM ch) SELECT rule, count(*) AS n FROM r GROUP BY 1""",
 )
 def firing_counts(spark, sf):
     return sc.firing_counts(lines(spark, sf), channels(), CFG)
@@ -435,23 +436,23 @@ def signals_long(spark, sf):
 
 @query(
     "pre_interaction_long",
-    f"""WITH {CHN}, x AS (SELECT l_orderkey, l_linenumber, (CASE WHEN qty IS NOT NULL THEN {_clip('qty')} * 0.3 ELSE 0.0 END + {_clip('price')} * 0.4 + CASE WHEN disc IS NOT NULL THEN {_clip('disc')} * 0.2 ELSE 0.0 END)
+    f"""WITH {CHN}, x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (CASE WHEN qty IS NOT NULL THEN {_clip('qty')} * 0.3 ELSE 0.0 END + {_clip('price')} * 0.4 + CASE WHEN disc IS NOT NULL THEN {_clip('disc')} * 0.2 ELSE 0.0 END)
  / (0.7 + CASE WHEN disc IS NOT NULL THEN 0.2 ELSE 0.0 END) AS up, CASE WHEN tax IS NOT NULL THEN {_clip('tax')} ELSE 0.0 END AS down FROM ch)
-SELECT l_orderkey, l_linenumber, round(up * (1.0 - 0.35 * down), 9) AS pre_score FROM x""",
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(up * (1.0 - 0.35 * down), 10) AS pre_score FROM x""",
 )
 def pre_interaction_long(spark, sf):
-    s = sc.signals_long(lines(spark, sf), KEYS, channels(), CFG)
+    s = sc.signals_long(lines(spark, sf), ROW, channels(), CFG)
     s = s.withColumn("polarity", F.when(F.col("name") == "tax", "risk_decreasing").otherwise(F.col("polarity")))
-    return sc.pre_interaction_long(s, KEYS).select(*KEYS, rnd("pre_score"))
+    return sc.pre_interaction_long(s, ROW).select(*ROW, rnd("pre_score", d=10))
 
 
 @query(
     "interactions_long",
-    f"WITH {CHN} SELECT l_orderkey, l_linenumber, round({_boost_sql()}, 9) AS boost FROM ch",
+    f"WITH {CHN} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round({_boost_sql()}, 9) AS boost FROM ch",
 )
 def interactions_long(spark, sf):
-    s = sc.signals_long(lines(spark, sf), KEYS, channels(), CFG)
-    return sc.interactions_long(s, KEYS, CFG).select(*KEYS, rnd("boost"))
+    s = sc.signals_long(lines(spark, sf), ROW, channels(), CFG)
+    return sc.interactions_long(s, ROW, CFG).select(*ROW, rnd("boost"))
 
 
 @query(
