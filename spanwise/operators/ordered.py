@@ -13,7 +13,7 @@ Where a bucket cannot be bounded by time (many rows at the same instant), use
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from typing import NamedTuple
 
@@ -310,6 +310,28 @@ def core(df: DataFrame, *drop: str) -> DataFrame:
     return df.filter("_core").drop("_core", "_c", *drop)
 
 
+def no_hot_key(df: DataFrame, keys: Sequence[str], rows: int) -> bool:
+    """True when every key has at most ``rows`` rows (one counting job, combined map-side)."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows).isEmpty()
+
+
+def percentiles(
+    df: DataFrame, keys: Sequence[str], specs: Mapping[str, tuple[str, float]], small: int = 1_000_000
+) -> DataFrame:
+    """Several exact percentiles per key: output name -> (column, q). One row per key."""
+    keys = list(keys)
+    if no_hot_key(df, keys, small):
+        aggs = []
+        for name, (c, q) in specs.items():
+            x = F.col(c).cast("double")
+            aggs.append(F.percentile(F.when(~F.isnan(x), x), F.lit(float(q))).alias(name))
+        return df.groupBy(*keys).agg(*aggs)
+    out = df.select(*keys).distinct()
+    for name, (c, q) in specs.items():
+        out = out.join(exact_percentile(df, keys, c, q, name, small), keys, "left")
+    return out
+
+
 def exact_percentile(
     df: DataFrame,
     keys: Sequence[str],
@@ -330,6 +352,8 @@ def exact_percentile(
     keys = list(keys)
     v = F.col(value).cast("double")
     d = df.select(*keys, v.alias("_x")).filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
+    if no_hot_key(d, keys, small):
+        return d.groupBy(*keys).agg(F.percentile("_x", F.lit(float(q))).alias(name))
     step = 4.0 / min(accuracy, small)  # wider than sketch error plus one rank
     qs = F.array(F.lit(max(0.0, q - step)), F.lit(min(1.0, q + step)))
     hot = (
