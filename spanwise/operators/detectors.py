@@ -395,8 +395,8 @@ def inactivity_signals(df: DataFrame, seq: Seq, t: str, keep: Sequence[str], sec
     """Low joint motion and low centre motion over the shortest suffix of at least ``seconds``.
 
     The suffix starts at the latest row at least ``seconds`` old, or ``cap`` rows back.
-    A frame without common joints counts as step 0. Sums over the suffix are differences
-    of running sums, so no window is rescanned.
+    A frame without common joints counts as step 0. The suffix is read from an array of at
+    most ``cap`` + 1 small structs per row.
     """
     sh, hp = g.shoulders(), g.hips()
     com = g.mid(sh, hp)
