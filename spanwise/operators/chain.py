@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanwise.operators.ordered import Seq, scan
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder the cluster names in ``spark.checkpoint.dir``; set one only where none is."""
@@ -26,71 +26,45 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def jump_chain(df: DataFrame, keys: Sequence[str], index: str, nxt: str, block: int = 100_000) -> DataFrame:
+def _leave(rows: Column, start: Column) -> Column:
+    """Where the path from ``start`` leaves a sorted list of (i, n)."""
+    return F.aggregate(rows, start, lambda p, x: F.when(x["i"] == p, x["n"]).otherwise(p))
+
+
+def _visit(rows: Column, start: Column) -> Column:
+    """Indices of a sorted list of (i, n) on the path from ``start``."""
+    init = F.struct(start.cast("long").alias("p"), F.array().cast("array<bigint>").alias("o"))
+    step = lambda s, x: F.when(x["i"] == s["p"], F.struct(x["n"].alias("p"), F.array_append(s["o"], x["i"]).alias("o"))).otherwise(s)
+    return F.aggregate(rows, init, step, lambda s: s["o"])
+
+
+def jump_chain(df: DataFrame, keys: Sequence[str], index: str, nxt: str, block: int = 2048) -> DataFrame:
     """Rows on the path that starts at index 0 of each series and follows ``nxt``.
 
-    ``index`` is dense and ``nxt > index``. Blocks of rows are solved on their own:
-    first where each entry of a block leaves it, then the sequence of entries per
-    series (one row per crossing), then the visited rows inside each block.
+    ``index`` is dense and ``nxt > index``. Series that fit a block are folded as one
+    small list. Longer ones are cut into blocks: for the few rows of a block that another
+    block points to, find where they leave it; these crossings form a much shorter jump
+    table, solved the same way; then each block is entered at its one visited crossing.
     """
     keys = list(keys)
-    cols = df.columns
-    d = df.withColumn("_blk", F.floor(F.col(index) / block).cast("long"))
-    slim = d.select(*keys, "_blk", F.col(index).cast("long").alias("_i"), F.col(nxt).cast("long").alias("_n"))
-    kt = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    targets = (
-        slim.filter(F.floor(F.col("_n") / block) > F.col("_blk"))
-        .select(*keys, F.col("_n").alias("_i"))
-        .distinct()
-        .withColumn("_entry", F.lit(True))
-    )
-    marked = slim.join(targets, [*keys, "_i"], "left").withColumn(
-        "_entry", F.coalesce("_entry", F.lit(False)) | (F.col("_i") == 0)
-    )
-
-    def leave(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_i")
-        i, n = pdf["_i"].to_numpy(), pdf["_n"].to_numpy()
-        base, size = i[0], len(i)
-        out = n.copy()
-        for p in range(size - 1, -1, -1):
-            q = n[p] - base
-            if q < size:
-                out[p] = out[q]
-        res = pdf[[*keys, "_blk", "_i"]].copy()
-        res["_out"] = out
-        return res[pdf["_entry"].to_numpy()]
-
-    exits = marked.groupBy(*keys, "_blk").applyInPandas(leave, f"{kt}, _blk long, _i long, _out long")
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        to = dict(zip(pdf["_i"], pdf["_out"]))
-        at, seen = 0, []
-        while at in to:
-            seen.append(at)
-            at = to[at]
-        return pdf[pdf["_i"].isin(seen)][[*keys, "_blk", "_i"]]
-
-    entries = exits.groupBy(*keys).applyInPandas(walk, f"{kt}, _blk long, _i long").withColumnRenamed("_i", "_in")
-    inside = slim.join(entries, [*keys, "_blk"])
-
-    def visit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_i")
-        i, n = pdf["_i"].to_numpy(), pdf["_n"].to_numpy()
-        base, size = i[0], len(i)
-        on = np.zeros(size, dtype=bool)
-        p = int(pdf["_in"].iloc[0] - base)
-        while p < size:
-            on[p] = True
-            p = int(n[p] - base)
-        return pdf.loc[on, [*keys, "_i"]]
-
-    seen = inside.groupBy(*keys, "_blk").applyInPandas(visit, f"{kt}, _i long")
-    return df.join(seen.withColumnRenamed("_i", index), [*keys, index], "left_semi").select(*cols)
-
-
-def empty(df: DataFrame) -> bool:
-    return df.isEmpty()
-
-
-__all__ = ["Iterator", "cut", "empty", "ensure_checkpoint_dir", "jump_chain"]
+    slim = df.select(*keys, F.col(index).cast("long").alias("i"), F.col(nxt).cast("long").alias("n"))
+    top = slim.agg(F.max("i")).first()[0]
+    rows = F.array_sort(F.collect_list(F.struct("i", "n"))).alias("_rows")
+    if top is None or top < block:
+        seen = slim.groupBy(*keys).agg(rows).select(*keys, F.explode(_visit(F.col("_rows"), F.lit(0))).alias(index))
+    else:
+        at = F.floor(F.col("i") / block).cast("long")
+        blocks = slim.withColumn("_blk", at).groupBy(*keys, "_blk").agg(rows)
+        far = slim.filter(F.floor(F.col("n") / block) > at).select(*keys, F.col("n").alias("i"))
+        doors = far.unionByName(slim.filter("i = 0").select(*keys, "i")).distinct()
+        doors = doors.withColumn("_blk", at).groupBy(*keys, "_blk").agg(F.collect_list("i").alias("_doors"))
+        out = F.transform("_doors", lambda e: F.struct(e.alias("i"), _leave(F.col("_rows"), e).alias("x")))
+        cross = blocks.join(doors, [*keys, "_blk"]).select(*keys, "_blk", F.inline(out))
+        cross = scan(cross, Seq(tuple(keys), ("i",), float(block) * 1000), index="_j")
+        where = cross.select(*keys, F.col("i").alias("x"), F.col("_j").alias("_nj"))
+        cross = cut(cross.join(where, [*keys, "x"], "left").withColumn("_nj", F.coalesce("_nj", F.lit(2**62))))
+        on = jump_chain(cross, keys, "_j", "_nj", block).select(*keys, "_blk", F.col("i").alias("_in"))
+        path = blocks.join(on, [*keys, "_blk"])
+        seen = path.select(*keys, F.explode(_visit(F.col("_rows"), F.col("_in"))).alias(index))
+    return df.join(seen, [*keys, index], "left_semi").select(*df.columns)
+
