@@ -24,7 +24,7 @@ from spanwise.operators.ordered import Seq, exact_percentile, percentiles, scan
 def index_frames(df: DataFrame, seq: Seq) -> tuple[DataFrame, Seq]:
     """Add the dense frame index ``i`` and the frame count ``n``; the result is ordered by ``i``."""
     d = scan(df, seq, index="i", total="n")
-    return d, Seq(seq.keys, ("i",), float(seq.chunk), seq.chunk)
+    return d, Seq(seq.keys, ("i",), float(seq.chunk), seq.chunk, None, seq.whole)
 
 
 def _frames(df: DataFrame, seq: Seq, before: int, after: int, *stages) -> DataFrame:
@@ -36,7 +36,7 @@ def early_reference(df: DataFrame, seq: Seq, value: str, first: int, name: str,
     keys = list(seq.keys)
     d = df if index else scan(df.select(*keys, *seq.order, value, *([seq.bucket] if seq.bucket else [])), seq, index="_i")
     d = d.withColumn("_early", F.when(F.col(index or "_i") < first, F.col(value)))
-    p = percentiles(d, keys, {"_p75": ("_early", 0.75), "_p90": (value, 0.9)})
+    p = percentiles(d, keys, {"_p75": ("_early", 0.75), "_p90": (value, 0.9)}, whole=seq.whole)
     ok = lambda c: F.when(F.col(c) > 1e-6, F.col(c))
     return p.select(*keys, F.coalesce(ok("_p75"), ok("_p90"), F.lit(1.0)).alias(name))
 
@@ -89,7 +89,7 @@ def strikes(df: DataFrame, seq: Seq, speed: str, fps: float, pct: float = 0.85,
     keys = list(seq.keys)
     d = _frames(df, seq, smooth // 2, smooth // 2, lambda w: {"_sm": wn.edge_smooth_col(F.col(speed), w, smooth)})
     d = cut(d.select(*keys, "i", "n", "_sm"))
-    thr = exact_percentile(d.filter(F.col("_sm") > 1e-12), keys, "_sm", pct, "_thr")
+    thr = exact_percentile(d.filter(F.col("_sm") > 1e-12), keys, "_sm", pct, "_thr", whole=seq.whole)
     d = d.join(thr, keys)
     s = segments(d, seq, F.col("_sm") > F.greatest(F.col("_thr"), F.lit(1e-12)), merge, F.col("_sm"))
     return s.select(
@@ -127,7 +127,7 @@ def tap_strength(df: DataFrame, seq: Seq, fps: float, contact: Column | None = N
         return {"wrist_speed": wn.edge_smooth_col(F.col("_wv"), w, c["smooth"]), "ankle_speed": wn.edge_smooth_col(F.col("_av"), w, c["smooth"])}
 
     d = cut(_frames(df, seq, 2, 2, first, second))
-    p = percentiles(d, keys, {"_ht": ("wrist_speed", c["vel_pct"]), "_ft": ("ankle_speed", c["vel_pct"]), "_mw": ("_ow", 0.5), "_ma": ("_oa", 0.5)})
+    p = percentiles(d, keys, {"_ht": ("wrist_speed", c["vel_pct"]), "_ft": ("ankle_speed", c["vel_pct"]), "_mw": ("_ow", 0.5), "_ma": ("_oa", 0.5)}, whole=seq.whole)
     d = d.join(p, keys)
     boost = (0.55 + 0.45 * clip(contact)) if contact is not None else F.lit(1.0)
     opp = (1.0 + c["opp_weight"] * near) if near is not None else F.lit(1.0)
@@ -143,7 +143,7 @@ def taps(df: DataFrame, seq: Seq, fps: float, contact: Column | None = None, nea
     """Tap candidates: repeated impulse peaks, with score and evidence."""
     keys, c = list(seq.keys), TAP
     d = cut(tap_strength(df, seq, fps, contact, near))
-    lv = percentiles(d, keys, {"_hl": ("hand_strength", c["peak_hand"]), "_fl": ("foot_strength", c["peak_foot"])})
+    lv = percentiles(d, keys, {"_hl": ("hand_strength", c["peak_hand"]), "_fl": ("foot_strength", c["peak_foot"])}, whole=seq.whole)
     d = d.join(lv, keys)
     window = max(3, int(c["window"] * fps))
     out = None
@@ -215,7 +215,7 @@ def vulnerability_frames(df: DataFrame, seq: Seq, fps: float, risk: Column | Non
     d = cut(_frames(df, seq, c["history"] + 2, 6, first, second, third))
     p = percentiles(
         d, keys,
-        {"_lo": ("motion", c["low_pct"]), "_hi": ("motion", c["high_pct"]), "_ht": ("head_v", c["head_pct"]), "_ct": ("collapse", c["collapse_pct"]), "_cap": ("motion", c["impact_pct"])},
+        {"_lo": ("motion", c["low_pct"]), "_hi": ("motion", c["high_pct"]), "_ht": ("head_v", c["head_pct"]), "_ct": ("collapse", c["collapse_pct"]), "_cap": ("motion", c["impact_pct"])}, whole=seq.whole,
     )
     ref = early_reference(d, seq, "_span", max(12, round(2.0 * fps)), "_ref", index="i")
     eps = max(5e-6 * fps, 1e-5)

@@ -25,7 +25,7 @@ def frame_duration(df: DataFrame, seq: Seq, cfg: EventConfig, name: str = "_fd")
     d = scan(df.select(*keys, *seq.order, *([seq.bucket] if seq.bucket else [])), seq, _p=Scan("last", F.col(t), exclusive=True))
     step = F.col(t) - F.col("_p")
     d = d.select(*keys, F.when(step > 1e-9, step).alias("_d"))
-    med = exact_percentile(d, keys, "_d", 0.5, "_m")
+    med = exact_percentile(d, keys, "_d", 0.5, "_m", whole=seq.whole)
     base = d.select(*keys).distinct().join(med, keys, "left")
     ok = (F.col("_m") > 1e-9) & (F.col("_m") <= 1e6)
     return base.select(*keys, F.when(ok, F.col("_m")).otherwise(F.lit(cfg.default_frame)).alias(name))
@@ -82,8 +82,9 @@ def frame_runs_to_events(
         F.when(F.col("_crit") == 1, "CRITICAL").otherwise("HIGH").alias("event_level"),
     ).withColumn("duration_seconds", F.col("end_time") - F.col("start_time"))
     ev = ev.filter(F.col("duration_seconds") >= cfg.min_duration)
-    ids = Seq(seq.keys, ("start_time", "_run"), seq.width)
-    return scan(ev, ids, index="event_id").drop("_run")
+    if not seq.whole:
+        ev = cut(ev)  # numbering reads the events twice
+    return scan(ev, seq.over("start_time", "_run"), index="event_id").drop("_run")
 
 
 def segments(df: DataFrame, seq: Seq, mask: Column, merge: int = 0, score: Column | None = None) -> DataFrame:
@@ -285,6 +286,8 @@ def timeline_merge(
     start = seq.order[0]
     d = scan(ivs, seq, _me=Scan("max", F.col(end), exclusive=True))
     head = F.when(F.col("_me").isNull() | (F.col(start) > F.col("_me") + gap), F.struct(*seq.order))
+    if not seq.whole:
+        d = cut(d)
     d = scan(d.withColumn("_h", head), seq, _g=Scan("last", F.col("_h")))
     aggs = [F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("n_merged")]
     s = F.coalesce(F.col(score), F.lit(0.0)) if score else F.lit(0.0)

@@ -32,7 +32,8 @@ class Seq:
     ``keys`` name the series, ``order`` is a total order inside a series whose
     first column is numeric, ``width`` is the bucket width in its unit and
     ``chunk`` the number of rows per task once rows carry a dense index.
-    ``bucket`` names an existing bucket column (see :func:`range_buckets`).
+    ``bucket`` names an existing bucket column (see :func:`range_buckets`). ``whole``
+    says that every series is known to fit a task: plain windows, one shuffle.
     """
 
     keys: tuple[str, ...]
@@ -40,6 +41,11 @@ class Seq:
     width: float
     chunk: int = 65536
     bucket: str | None = None
+    whole: bool = False
+
+    def over(self, *order: str) -> Seq:
+        """The same series in another order."""
+        return Seq(self.keys, order, self.width, self.chunk, None, self.whole)
 
     def bucket_col(self) -> Column:
         if self.bucket:
@@ -50,17 +56,24 @@ class Seq:
         return [F.col(c).desc() if reverse else F.col(c).asc() for c in self.order]
 
 
+def no_hot_key(df: DataFrame, keys: Sequence[str], rows: int) -> bool:
+    """True when every key has at most ``rows`` rows (one counting job, combined map-side)."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows).isEmpty()
+
+
 def balance(df: DataFrame, seq: Seq, rows: int = 1_000_000, name: str = "_hb") -> tuple[DataFrame, Seq]:
-    """Cut only the series that need it: those with more than ``rows`` rows.
+    """Choose the form of the series from their measured sizes.
 
-    Their time span is divided into rows / ``rows`` equal buckets; all other series
-    keep one bucket, so they cost what a plain window costs. At most (all rows) /
-    ``rows`` series are hot, which bounds the joined table; whether it is broadcast
-    is decided at run time from its measured size. The bucket is a function of the
-    data, so recomputed tasks agree. For spans with uneven density use
+    If no series has more than ``rows`` rows, plain windows are safe. Otherwise the time
+    span of each larger series is divided into rows / ``rows`` equal buckets and all other
+    series keep one. At most (all rows) / ``rows`` series are hot, which bounds the joined
+    table; whether it is broadcast is decided at run time from its size. The bucket is a
+    function of the data, so recomputed tasks agree. For spans with uneven density use
     :func:`range_buckets`.
     """
     keys = list(seq.keys)
+    if no_hot_key(df, keys, rows):
+        return df, Seq(seq.keys, seq.order, seq.width, seq.chunk, None, True)
     t = F.col(seq.order[0]).cast("double")
     hot = (
         df.groupBy(*keys)
@@ -112,6 +125,8 @@ def scan(
     """
     keys = list(seq.keys)
     cols = df.columns
+    if seq.whole:
+        return _scan_whole(df, seq, index, total, items)
     base = df.withColumn(BUCKET, seq.bucket_col())
     needs_index = bool(index or total) or any(i.kind == "at" for i in items.values())
     part = Window.partitionBy(*keys, BUCKET)
@@ -170,6 +185,27 @@ def scan(
     return out.select(*final)
 
 
+def _scan_whole(df: DataFrame, seq: Seq, index: str | None, total: str | None, items: Mapping[str, Scan]) -> DataFrame:
+    part = Window.partitionBy(*seq.keys)
+    d = df
+    if index or any(i.kind == "at" for i in items.values()):
+        d = d.withColumn("_r", F.row_number().over(part.orderBy(*seq.sort())).cast("long"))
+    out: list = [F.col(c) for c in df.columns]
+    if index:
+        out.append((F.col("_r") - 1).alias(index))
+    if total:
+        out.append(F.count(F.lit(1)).over(part).alias(total))
+    for name, it in items.items():
+        w = part.orderBy(*seq.sort(it.reverse)).rowsBetween(START, -1 if it.exclusive else 0)
+        v = _over(it, w)
+        if it.kind == "sum":
+            v = F.coalesce(v, F.lit(0))
+        elif it.kind == "at":
+            v = v - 1
+        out.append(v.alias(name))
+    return d.select(*out)
+
+
 def _over(it: Scan, w) -> Column:
     if it.kind == "last":
         return F.last(it.expr, ignorenulls=True).over(w)
@@ -206,11 +242,11 @@ def runs(
     keys = list(seq.keys)
     cols = df.columns
     g = F.lit(int(gap))
-    part = Window.partitionBy(*keys, BUCKET)
+    part = Window.partitionBy(*keys) if seq.whole else Window.partitionBy(*keys, BUCKET)
     w = part.orderBy(*seq.sort())
     val = value if value is not None else F.lit(0)
     local = (
-        df.withColumn(BUCKET, seq.bucket_col())
+        (df if seq.whole else df.withColumn(BUCKET, seq.bucket_col()))
         .withColumn("_f", F.coalesce(flag, F.lit(False)))
         .withColumn("_v", F.when(F.col("_f"), val))
         .withColumn("_r", F.row_number().over(w).cast("long"))
@@ -223,6 +259,11 @@ def runs(
         F.col("_pe").isNull() | (F.col("_r") - F.col("_pe") - 1 >= g) | ~F.col("_v").eqNullSafe(F.col("_pv"))
     )
     local = local.withColumn("_rs", F.max(F.when(opens, F.col("_r"))).over(w.rowsBetween(START, 0)))
+    if seq.whole:
+        inside = F.col("_f") | (F.col("_ne") - F.col("_pe") - 1 < g)
+        return local.select(
+            *cols, (F.col("_r") - 1).alias(index), F.when(inside, F.col("_rs") - 1).alias(run), F.col("_f").alias(f"{run}_flag")
+        )
     tot = local.groupBy(*keys, BUCKET).agg(
         F.max("_r").alias("_rows"),
         F.min("_e").alias("_fe"),
@@ -289,6 +330,8 @@ def framed(
         d = df.withColumn("_i", F.col(index).cast("long")).join(n, list(seq.keys), "left")
     else:
         d = scan(df, seq, index="_i", total="_n")
+    if seq.whole:
+        return d.withColumns({"_c": F.lit(0), "_core": F.lit(True)})
     size = max(int(seq.chunk), before + after + 1)
     home = F.floor(F.col("_i") / size).cast("long")
     rest = F.col("_i") % size
@@ -310,17 +353,12 @@ def core(df: DataFrame, *drop: str) -> DataFrame:
     return df.filter("_core").drop("_core", "_c", *drop)
 
 
-def no_hot_key(df: DataFrame, keys: Sequence[str], rows: int) -> bool:
-    """True when every key has at most ``rows`` rows (one counting job, combined map-side)."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows).isEmpty()
-
-
 def percentiles(
-    df: DataFrame, keys: Sequence[str], specs: Mapping[str, tuple[str, float]], small: int = 1_000_000
+    df: DataFrame, keys: Sequence[str], specs: Mapping[str, tuple[str, float]], small: int = 1_000_000, whole: bool = False
 ) -> DataFrame:
     """Several exact percentiles per key: output name -> (column, q). One row per key."""
     keys = list(keys)
-    if no_hot_key(df, keys, small):
+    if whole or no_hot_key(df, keys, small):
         aggs = []
         for name, (c, q) in specs.items():
             x = F.col(c).cast("double")
@@ -341,6 +379,7 @@ def exact_percentile(
     small: int = 1_000_000,
     salt: int = 64,
     accuracy: int = 1_000_000,
+    whole: bool = False,
 ) -> DataFrame:
     """Linear-interpolated percentile per key, exact, one row per key.
 
@@ -352,7 +391,7 @@ def exact_percentile(
     keys = list(keys)
     v = F.col(value).cast("double")
     d = df.select(*keys, v.alias("_x")).filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
-    if no_hot_key(d, keys, small):
+    if whole or no_hot_key(d, keys, small):
         return d.groupBy(*keys).agg(F.percentile("_x", F.lit(float(q))).alias(name))
     step = 4.0 / min(accuracy, small)  # wider than sketch error plus one rank
     qs = F.array(F.lit(max(0.0, q - step)), F.lit(min(1.0, q + step)))

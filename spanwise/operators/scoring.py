@@ -335,21 +335,38 @@ def ablation_scores(
     scheme: str = "weighted",
 ) -> DataFrame:
     """Score every row under every mode in one pass: one output row per (row, mode)."""
-    out = []
-    for m in modes:
-        kept = {
-            n: c
-            for n, c in channels.items()
-            if n not in m.dropped and (m.groups is None or cfg.groups.get(n, "biomechanics") in m.groups)
-        }
-        score = scheme_score(kept, cfg.weights, scheme)
-        if m.interactions:
-            score = clip01(score + boosts(kept, cfg))
-        out.append(F.struct(F.lit(m.name).alias("mode"), score.alias("risk_score")))
-    d = df.select(*keep, F.inline(F.array(*out)))
+    params = F.array(
+        *[
+            F.struct(
+                F.lit(m.name).alias("mode"),
+                F.lit(m.interactions).alias("_int"),
+                *[
+                    F.lit(n not in m.dropped and (m.groups is None or cfg.groups.get(n, "biomechanics") in m.groups)).alias(f"_m_{n}")
+                    for n in channels
+                ],
+            )
+            for m in modes
+        ]
+    )
+    base = df.select(*keep, *[c.alias(f"_c_{n}") for n, c in channels.items()])
+    d = base.select("*", F.inline(params))
+    d = d.select(*keep, "mode", "_int", *[F.when(F.col(f"_m_{n}"), F.col(f"_c_{n}")).alias(f"_c_{n}") for n in channels])
+    ch = {n: F.col(f"_c_{n}") for n in channels}
+    d = d.withColumns({"_pre": scheme_score(ch, cfg.weights, scheme), "_up": boosts(ch, cfg)})
+    score = clip01(F.col("_pre") + F.when(F.col("_int"), F.col("_up")).otherwise(F.lit(0.0)))
+    d = d.select(*keep, "mode", score.alias("risk_score"))
     return d.withColumn("risk_level", band(F.col("risk_score"), cfg.cuts))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores before rows are multiplied when a scan has few splits; large scans are left alone.
+
+    For plain scans: the number of splits is read from the plan, no job runs.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 class Scenario(NamedTuple):
     name: str
     scheme: str = "weighted"

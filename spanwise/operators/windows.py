@@ -196,6 +196,7 @@ def ema(df: DataFrame, seq: Seq, x: str, alpha: float, name: str = "ema") -> Dat
     block = max(2, int(500.0 / -math.log(decay)))
     keys = list(seq.keys)
     d = scan(df, seq, index="_i")
+    # blocks are needed for the number range in any case, so they also bound the rows per task
     d = d.withColumn("_k", F.floor(F.col("_i") / block).cast("long")).withColumn("_p", (F.col("_i") % block) + 1)
     gain = F.when(F.col("_i") == 0, F.lit(1.0)).otherwise(F.lit(alpha))
     term = gain * F.col(x) * F.pow(F.lit(decay), -F.col("_p"))

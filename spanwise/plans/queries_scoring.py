@@ -370,7 +370,7 @@ ABL = f"WITH {CHN}, a AS (" + " UNION ALL ".join(_mode_sql(m) for m in MODES) +
 
 @query("ablation_modes", ABL + f" SELECT l_orderkey, l_linenumber, mode, round(rs, 9) AS risk_score, {_level('round(rs, 12)')} AS risk_level FROM a")
 def ablation_modes(spark, sf):
-    d = sc.ablation_scores(lines(spark, sf), KEYS, channels(), CFG, MODES)
+    d = sc.ablation_scores(sc.spread(lines(spark, sf)), KEYS, channels(), CFG, MODES)
     return d.select(*KEYS, "mode", rnd("risk_score"), band(F.round("risk_score", 12), CFG.cuts).alias("risk_level"))
 
 
@@ -382,7 +382,7 @@ def ablation_modes(spark, sf):
 def ablation_behaviour(spark, sf):
     from spanwise.operators.metrics import behaviour
 
-    d = sc.ablation_scores(lines(spark, sf), KEYS, channels(), CFG, MODES).withColumn("t", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    d = sc.ablation_scores(sc.spread(lines(spark, sf)), KEYS, channels(), CFG, MODES).withColumn("t", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
     d = d.withColumn("risk_level", band(F.round("risk_score", 12), CFG.cuts))
     b = behaviour(d, ["mode"], "risk_score", "risk_level", "t")
     return b.select("mode", rnd("max_score"), rnd("mean_score"), rnd("pct_high"), "first_high")
@@ -407,14 +407,14 @@ DROPS = [sc.Scenario(f"{'naive' if nv else 'explicit'}_{p}", p=p, seed=7, naive=
 SELECT scenario, count(*) AS n, round(avg(rs), 9) AS mean_score, sum(CASE WHEN round(rs, 12) >= 0.5 THEN 1 ELSE 0 END)::BIGINT AS n_high FROM d GROUP BY 1""",
 )
 def dropout_naive_vs_explicit(spark, sf):
-    d = sc.scenario_scores(lines(spark, sf), KEYS, channels(), CFG, DROPS, sc.md5_draw)
+    d = sc.scenario_scores(sc.spread(lines(spark, sf)), KEYS, channels(), CFG, DROPS, sc.md5_draw)
     return d.groupBy("scenario").agg(F.count(F.lit(1)).alias("n"), rnd(F.avg("risk_score"), "mean_score"), F.count_if(F.round("risk_score", 12) >= 0.5).alias("n_high"))
 
 
 @query("experiment_grid")
 def experiment_grid(spark, sf):
     """All 66 passes of the experiment over the channel matrix; draws come from a 64-bit hash SQL does not share."""
-    d = sc.scenario_scores(lines(spark, sf), KEYS, channels(), CFG, sc.experiment_scenarios())
+    d = sc.scenario_scores(sc.spread(lines(spark, sf)), KEYS, channels(), CFG, sc.experiment_scenarios())
     return d.groupBy("scenario").agg(
         F.count(F.lit(1)).alias("n"), rnd(F.avg("risk_score"), "mean_score"), F.sum("n_fired").alias("n_fired"),
         F.count_if(sc.at_least(F.col("risk_level"), "HIGH")).alias("n_high"),

@@ -7,6 +7,8 @@ from spanwise.operators import ordered as o
 from spanwise.operators import windows as w
 
 SEQ = o.Seq(("k",), ("t", "id"), width=7.0, chunk=16)
+WHOLE = o.Seq(("k",), ("t", "id"), width=7.0, whole=True)
+BOTH = pytest.mark.parametrize("seq", [SEQ, WHOLE], ids=["buckets", "whole"])
 
 
 def make(n=300, seed=0):
@@ -28,11 +30,12 @@ def back(df):
     return df.toPandas().sort_values(["k", "t", "id"]).reset_index(drop=True)
 
 
-def test_scan_matches_pandas(data):
+@BOTH
+def test_scan_matches_pandas(data, seq):
     p, d = data
     got = back(
         o.scan(
-            d, SEQ, index="i", total="n",
+            d, seq, index="i", total="n",
             s=o.Scan("sum", F.col("x")),
             mx=o.Scan("max", F.col("x"), exclusive=True),
             mn=o.Scan("min", F.col("x"), reverse=True),
@@ -77,10 +80,11 @@ def brute_runs(p, gap, by_value=False):
     return out
 
 
+@BOTH
 @pytest.mark.parametrize("gap,by_value", [(1, False), (2, False), (4, False), (1, True)])
-def test_runs(data, gap, by_value):
+def test_runs(data, seq, gap, by_value):
     p, d = data
-    got = back(o.runs(d, SEQ, F.col("f"), gap, F.col("v") if by_value else None))
+    got = back(o.runs(d, seq, F.col("f"), gap, F.col("v") if by_value else None))
     want = pd.Series(brute_runs(p, gap, by_value), dtype="float")
     np.testing.assert_array_equal(got["_run"].astype(float).to_numpy(), want.to_numpy())
 
@@ -102,12 +106,13 @@ def test_runs_on_balanced_buckets(data):
     np.testing.assert_array_equal(got["_run"].astype(float).to_numpy(), want.to_numpy())
 
 
-def test_frames(data):
+@BOTH
+def test_frames(data, seq):
     p, d = data
     x = F.col("x")
     got = back(
         w.features(
-            d, SEQ, 5, 3,
+            d, seq, 5, 3,
             lambda win: {
                 "g": w.central_gradient_col(x, win, 0.5),
                 "sd": w.rolling_std_col(x, win, 5),
