@@ -17,7 +17,8 @@ def clean(x: Column) -> Column:
 
 
 def clip(x: Column, lo: float = 0.0, hi: float = 1.0) -> Column:
-    return F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), x))
+    """Clip; null stays null (``greatest`` and ``least`` alone would skip it)."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), x)))
 
 
 def clip01(x: Column) -> Column:
