@@ -362,16 +362,16 @@ def _mode_sql(m: Ablation) -> str:
     x = _scheme_sql("weighted", names)
     if m.interactions:
         x = f"greatest(0.0, least(1.0, {x} + {_boost_sql(names)}))"
-    return f"SELECT l_orderkey, l_linenumber, '{m.name}' AS mode, {x} AS rs FROM ch"
+    return f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, '{m.name}' AS mode, {x} AS rs FROM ch"
 
 
 ABL = f"WITH {CHN}, a AS (" + " UNION ALL ".join(_mode_sql(m) for m in MODES) + ")"
 
 
-@query("ablation_modes", ABL + f" SELECT l_orderkey, l_linenumber, mode, round(rs, 9) AS risk_score, {_level('round(rs, 12)')} AS risk_level FROM a")
+@query("ablation_modes", ABL + f" SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, mode, round(rs, 10) AS risk_score, {_level('round(rs, 12)')} AS risk_level FROM a")
 def ablation_modes(spark, sf):
-    d = sc.ablation_scores(sc.spread(lines(spark, sf)), KEYS, channels(), CFG, MODES)
-    return d.select(*KEYS, "mode", rnd("risk_score"), band(F.round("risk_score", 12), CFG.cuts).alias("risk_level"))
+    d = sc.ablation_scores(sc.spread(lines(spark, sf)), ROW, channels(), CFG, MODES)
+    return d.select(*ROW, "mode", rnd("risk_score", d=10), band(F.round("risk_score", 12), CFG.cuts).alias("risk_level"))
 
 
 @query(

@@ -228,12 +228,12 @@ def trailing_max_level(spark, sf):
     "ema",
     f"""WITH RECURSIVE {EV}, o AS (SELECT user_id, event_id, score, row_number() OVER ({W}) i FROM ev),
 e AS (SELECT user_id, event_id, i, score AS y FROM o WHERE i = 1
- UNION ALL SELECT o.user_id, o.event_id, o.i, 0.3 * o.score + 0.7 * e.y FROM e JOIN o ON o.user_id = e.user_id AND o.i = e.i + 1)
+ UNION ALL SELECT o.user_id, o.event_id, o.i, 0.3333333333333333e0 * o.score + 0.6666666666666667e0 * e.y FROM e JOIN o ON o.user_id = e.user_id AND o.i = e.i + 1)
 SELECT user_id, event_id, round(y, 9) AS ema FROM e""",
 )
 def ema(spark, sf):
     d, seq = event_frames(spark, sf, "score")
-    return wn.ema(d, seq, "score", 0.3).select("user_id", "event_id", rnd("ema"))
+    return wn.ema(d, seq, "score", 1.0 / 3.0).select("user_id", "event_id", rnd("ema"))
 
 
 @query(
