@@ -257,8 +257,8 @@ def surrender_window_score(spark, sf):
     return dt.surrender_window(d, seq).select("vec_id", rnd("surrender_confidence"), "surrender_detected")
 
 
-@query("pose_feature_pipeline")
-def pose_feature_pipeline(spark, sf):
+@query("pose_features")
+def pose_features(spark, sf):
     d, seq = frames(spark, sf)
     f = dt.pose_features(d, seq, FPS)
     return f.select("vec_id", *[rnd(c, d=6) for c in ("torso_angle_deg", "hip_vertical_velocity", "instability_score", "guard_level", "reaction_delay_score", "anomaly_score")], "anomaly_type", "low_posture_duration_frames")
