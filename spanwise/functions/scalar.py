@@ -23,7 +23,8 @@ def clip(x: Column, lo: float = 0.0, hi: float = 1.0) -> Column:
 
 def clip01(x: Column) -> Column:
     """Clip to [0, 1] after null and NaN -> 0 and +inf -> 1."""
-    return clip(F.coalesce(F.nanvl(x, F.lit(0.0)), F.lit(0.0)))
+    # never null here, so no null test: it would repeat ``x`` in the plan
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.nanvl(x, F.lit(0.0)), F.lit(0.0))))
 
 
 def safe_div(a: Column, b: Column) -> Column:

@@ -201,7 +201,7 @@ def scheme_score(channels: Mapping[str, Column], weights: Mapping[str, float], s
     used = {n: c for n, c in channels.items() if float(weights.get(n, 0.0)) > 0}
     if not used:
         return F.lit(0.0)
-    vals = {n: clip(c) for n, c in used.items()}
+    vals = {n: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)) for n, c in used.items()}  # read only where not null
     on = {n: c.isNotNull() for n, c in used.items()}
     if scheme == "max":
         parts = [F.when(on[n], vals[n]) for n in used]
