@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanwise.llm import bpe, language, lengths
+from spanwise.llm import bpe, language, lengths, vectors
 from spanwise.plans.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,3 +56,14 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(ids, 256).alias("ids_sha256"),
         F.sha2(decoded.cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"), 0.9)
+
+
+@query
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return vectors.nearest(rows.filter(F.col("vec_id") % 50 == 0), rows, k=5)
