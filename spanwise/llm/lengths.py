@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanwise.llm.common import cut
 from spanwise.operators.ordered import Scan, Seq, scan
 
 #: Characters given to the encoder at one time where a text can be cut without changing its tokens.
@@ -61,11 +62,13 @@ def length_histogram(lengths: DataFrame, length: str = "n_tokens") -> DataFrame:
     the sorted lengths run in blocks of lengths with one carried row each, so no task sees the
     whole histogram. An empty table has no row.
     """
-    hist = lengths.groupBy(F.col(length).cast("long").alias("length")).agg(F.count("*").alias("n_docs"))
-    hist = hist.withColumn("_tokens", F.col("length") * F.col("n_docs")).withColumn("_all", F.lit(0))
-    run = scan(hist, Seq(("_all",), ("length",), 4096.0), _d=Scan("sum", F.col("n_docs")), _t=Scan("sum", F.col("_tokens")))
-    total = hist.agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("_nd"), F.coalesce(F.sum("_tokens"), F.lit(0)).alias("_nt")).withColumn("_all", F.lit(0))
-    out = run.join(total, "_all").withColumn("_db", F.col("_d") - F.col("n_docs")).withColumn("_tb", F.col("_t") - F.col("_tokens"))
+    hist = cut(lengths.groupBy(F.col(length).cast("long").alias("length")).agg(F.count("*").alias("n_docs")))
+    tokens = F.col("length") * F.col("n_docs")
+    docs, total = hist.agg(F.sum("n_docs"), F.sum(tokens)).first()
+    hist = hist.withColumn("_tokens", tokens).withColumn("_all", F.lit(0))
+    run = scan(hist, Seq(("_all",), ("length",), 512.0), _d=Scan("sum", F.col("n_docs")), _t=Scan("sum", F.col("_tokens")))
+    out = run.withColumn("_db", F.col("_d") - F.col("n_docs")).withColumn("_tb", F.col("_t") - F.col("_tokens"))
+    out = out.withColumn("_nd", F.lit(docs).cast("long")).withColumn("_nt", F.lit(total).cast("long"))
     return out.select(
         "length",
         "n_docs",
