@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanwise.llm import bpe, language, lengths, vectors
+from spanwise.llm import bpe, language, lengths, mixing, vectors
 from spanwise.plans.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,3 +67,13 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return vectors.nearest(rows.filter(F.col("vec_id") % 50 == 0), rows, k=5)
+
+
+@query
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
+    m = F.col("_mix")
+    return out.select("doc_id", m["source"].alias("source"), m["lang"].alias("lang"), m["topic"].alias("topic"), m["tokens"].alias("tokens"), F.round(m["weight"] * 1e6, 6).alias("weight"), F.round(m["probability"], 6).alias("probability"), m["sampled"].alias("sampled"))
+
+
+SQL["op3_mixing"] = mixing.oracle()
