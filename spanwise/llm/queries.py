@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanwise.llm import bpe, language, lengths, mixing, vectors
+from spanwise.llm import bpe, language, lengths, mixing, pii, vectors
 from spanwise.plans.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,3 +77,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op3_mixing"] = mixing.oracle()
+
+
+@query
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base, every = F.col("personal.base"), F.col("personal.all")
+    count = lambda k: F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long")
+    return out.select("doc_id", *[count(k).alias(f"n_{name}") for k, name in enumerate(pii.BASE)], F.sha2(pii.listing(base).cast("binary"), 256).alias("base_sha256"), pii.listing(every).alias("spans"))
