@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanwise.llm import bpe, language, lengths, mixing, pii, vectors
+from spanwise.llm import bpe, language, lengths, lines, mixing, pii, vectors
 from spanwise.plans.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,3 +85,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base, every = F.col("personal.base"), F.col("personal.all")
     count = lambda k: F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long")
     return out.select("doc_id", *[count(k).alias(f"n_{name}") for k, name in enumerate(pii.BASE)], F.sha2(pii.listing(base).cast("binary"), 256).alias("base_sha256"), pii.listing(every).alias("spans"))
+
+
+@query
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: lines, lines removed, of these only near an earlier line, and a digest of what is kept."""
+    out = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "line_dedup.*", F.length("text").cast("long").alias("kept_chars"), F.md5("text").alias("kept_md5"))
