@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanwise.llm import bpe, language, lengths, lines, mixing, pii, vectors
+from spanwise.llm import bpe, language, lengths, lines, mixing, pii, shingles, vectors
 from spanwise.plans.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,3 +92,8 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: lines, lines removed, of these only near an earlier line, and a digest of what is kept."""
     out = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "line_dedup.*", F.length("text").cast("long").alias("kept_chars"), F.md5("text").alias("kept_md5"))
+
+
+@query
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingles.near_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), 75)
