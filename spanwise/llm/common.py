@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanwise.operators.chain import cut
+from spanwise.operators.chain import cut, ensure_checkpoint_dir
 
-__all__ = ["components", "cut", "last_id", "order_key", "partitions", "same_columns"]
+__all__ = ["components", "cut", "free_name", "last_id", "order_key", "partitions", "shared_folder", "staged"]
 
 #: Stands for a missing id: it orders after every other id.
 LAST = 2**63 - 1
@@ -22,15 +24,19 @@ def order_key(value: Column) -> Column:
     return F.when(value == LAST, F.lit(None).cast("long")).otherwise(value)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     """As many as the session deals a shuffle into."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def same_columns(out: DataFrame, docs: DataFrame) -> DataFrame:
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Smallest node that each node of ``edges`` (a, b longs) can reach: (node, root).
 
@@ -58,3 +64,15 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def staged(df: DataFrame, folder: str) -> DataFrame:
+    """Written as Parquet in the folder that the cluster shares, and read again."""
+    df.write.mode("overwrite").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path below the checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid4().hex}"

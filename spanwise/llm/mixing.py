@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanwise.llm.common import cut
+from spanwise.llm.common import cut, free_name
 
 #: Tables of cells and marginals of up to this many counted rows are broadcast; beyond it joins shuffle.
 BROADCAST_ROWS = 100_000
@@ -131,8 +131,9 @@ def mix(
     key: str = "doc_id",
     text: str = "text",
     seed: int = 17,
+    into: str = "_mix",
 ) -> DataFrame:
-    """``docs`` with a column ``_mix``: struct(topic and other marginals' keys, tokens, weight, probability, sampled).
+    """``docs`` with a column ``into``: struct(topic and other marginals' keys, tokens, weight, probability, sampled).
 
     ``margins`` names the marginals (default: source, lang, and topic_of the text); ``given``
     holds target shares for some of them, the others are tempered. ``keep`` is the share of
@@ -148,16 +149,18 @@ def mix(
     shares = {n: targets(cells, n, (given or {}).get(m), temper) for n, m in zip(names, margins, strict=True)}
     shares = {n: cut(s) for n, s in shares.items()}
     done = cut(probabilities(rake(cells, names, shares), keep).select(*names, "_w", "_p"))
-    wide = docs.withColumns(keyed).withColumn("_tokens", tokens)
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    wide = docs.select(own, *[c.alias(n) for n, c in keyed.items()], tokens.alias("_tokens"), draw(key, text, seed).alias("_draw"))
     out = wide.join(bounded(done), names)
     parts = [F.when(F.col(n) != "", F.substring(F.col(n), F.lit(2), F.length(n))).alias(m) for n, m in zip(names, margins, strict=True)]
-    extra = F.struct(*parts, F.col("_tokens").alias("tokens"), F.col("_w").alias("weight"), F.col("_p").alias("probability"), (draw(key, text, seed) < F.col("_p")).alias("sampled"))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], extra.alias("_mix"))
+    extra = F.struct(*parts, F.col("_tokens").alias("tokens"), F.col("_w").alias("weight"), F.col("_p").alias("probability"), (F.col("_draw") < F.col("_p")).alias("sampled"))
+    return out.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns], extra.alias(into))
 
 
 def sample(docs: DataFrame, **how) -> DataFrame:
     """The documents that ``mix`` samples, with their own columns."""
-    return mix(docs, **how).filter("_mix.sampled").drop("_mix")
+    name = free_name(docs, "_mix")
+    return mix(docs, into=name, **how).filter(f"{name}.sampled").drop(name)
 
 
 def oracle(keep: float = 0.5, temper: float = 0.5, cycles: int = 40, seed: int = 17) -> str:

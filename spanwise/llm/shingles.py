@@ -370,7 +370,9 @@ def representatives(docs: DataFrame, percent: int = 75, key: str = "doc_id", tex
     keep = best.select("m.*", F.lit(True).alias("_set")).unionByName(every.filter(F.col("_root").isNull()).select("_doc", "_h", F.lit(False).alias("_set")).distinct())
     many = every.filter(F.col("_root").isNotNull()).groupBy("_doc", "_h").agg(F.count("*").alias("_c")).filter("_c > 1")
     keep = cut(keep.join(many, ["_doc", "_h"], "left").select(F.col("_doc").alias("_kd"), F.col("_h").alias("_kh"), (F.col("_set") & F.col("_c").isNotNull()).alias("_again")))
-    same = (last_id(key) == F.col("_kd")) & (F.xxhash64(F.col(f"`{text}`").cast("string")) == F.col("_kh"))
-    out = docs.join(keep.filter("not _again"), same, "left_semi")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    base = docs.select(row, last_id(key).alias("_kd"), F.xxhash64(F.col(f"`{text}`").cast("string")).alias("_kh"))
+    plain = lambda df: df.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
+    out = plain(base.join(keep.filter("not _again"), ["_kd", "_kh"], "left_semi"))
     again = keep.filter("_again")
-    return out if again.isEmpty() else out.unionByName(docs.join(again, same, "left_semi").dropDuplicates([key, text]))
+    return out if again.isEmpty() else out.unionByName(plain(base.join(again, ["_kd", "_kh"], "left_semi").dropDuplicates(["_kd", "_kh"])))
