@@ -163,20 +163,39 @@ def entries(digit: np.ndarray, whole: np.ndarray, doc: np.ndarray) -> Entries:
     return Entries(g[new], w[new], d[new], of)
 
 
-def planes(*columns: np.ndarray) -> bytes:
-    return b"".join(c.astype(c.dtype.newbyteorder("<")).view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns)
+#: Bytes of a digit and of an id that travel; of the rest 6 for runs (it is compared within one digit), 2 for windows.
+DIGIT, ID, RUN_REST, WINDOW_REST = 6, 8, 6, 2
 
 
-def unplanes(data: bytes, n: int, k: int) -> list[np.ndarray]:
-    return [np.frombuffer(data, np.uint8, 8 * n, 8 * n * i).reshape(8, n).T.copy().view("<u8")[:, 0] for i in range(k)]
+def planes(columns: Iterable[tuple[np.ndarray, int]]) -> bytes:
+    """The low bytes of each column, laid out byte by byte so that equal ones stand together."""
+    return b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8)[:, :k].T.tobytes() for c, k in columns)
 
 
-def packs(block: int, e: Entries, buckets: int) -> pa.RecordBatch:
-    bucket = ((e.digit >> U(32)) * U(buckets)) >> U(32)
+def unplanes(data: bytes, n: int, widths: Iterable[int]) -> list[np.ndarray]:
+    out, at = [], 0
+    for k in widths:
+        full = np.zeros((n, 8), np.uint8)
+        full[:, :k] = np.frombuffer(data, np.uint8, k * n, at).reshape(k, n).T
+        out.append(full.view("<u8")[:, 0])
+        at += k * n
+    return out
+
+
+def packs(number: int, e: Entries, buckets: int, rest: int) -> pa.RecordBatch:
+    bucket = ((e.digit >> U(16)) * U(buckets)) >> U(32)
     lo = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, int)
     hi = np.r_[lo[1:], len(bucket)] if len(lo) else lo
-    data = [planes(e.digit[a:b], e.whole[a:b], e.low[a:b].view(U)) for a, b in zip(lo, hi, strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(bucket[lo].astype(np.int32)), pa.array(np.full(len(lo), block)), pa.array(lo, pa.int64()), pa.array(data, pa.binary())], names=["bucket", "block", "base", "pack"])
+    data = [planes(((e.digit[a:b], DIGIT), (e.whole[a:b], rest), (e.low[a:b], ID))) for a, b in zip(lo, hi, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[lo].astype(np.int32)), pa.array(np.full(len(lo), number)), pa.array(lo, pa.int64()), pa.array(data, pa.binary())], names=["bucket", "block", "base", "pack"])
+
+
+def run_entries(runs: Runs, ids: np.ndarray) -> Entries:
+    return entries(runs.digit >> U(16), runs.whole >> U(16), ids[runs.doc])
+
+
+def window_entries(h: np.ndarray, doc: np.ndarray) -> Entries:
+    return entries(h >> U(16), h & U(0xFFFF), doc)
 
 
 PACKS = "bucket int, block long, base long, pack binary"
@@ -188,8 +207,9 @@ def answers(key, t: pa.Table, wide: bool) -> pa.Table:
     """For each block, which of its entries repeat (a smaller id has the same), and which are open."""
     blocks, bases = t.column("block").to_numpy(), t.column("base").to_numpy()
     raw = t.column("pack").to_pylist()
-    sizes = np.array([len(p) // 24 for p in raw])
-    digit, whole, low = (np.concatenate(c) for c in zip(*[unplanes(p, n, 3) for p, n in zip(raw, sizes, strict=True)], strict=True))
+    widths = (DIGIT, RUN_REST if wide else WINDOW_REST, ID)
+    sizes = np.array([len(p) // sum(widths) for p in raw])
+    digit, whole, low = (np.concatenate(c) for c in zip(*[unplanes(p, n, widths) for p, n in zip(raw, sizes, strict=True)], strict=True))
     low = low.view(np.int64)
     pack = np.repeat(np.arange(len(raw)), sizes)
     index = np.arange(len(digit)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + bases[pack]
@@ -278,12 +298,12 @@ def cover(ids: np.ndarray, docs: list[bytes], width: int, block: int, repeated:
     """(id, bytes, removed, removed spans, kept bytes) of each document of a block."""
     runs = runs_of(docs, width, block)
     own = ids[runs.doc]
-    first = entries(runs.digit, runs.whole, own)
+    first = run_entries(runs, ids)
     flag = np.zeros(len(first.digit), bool)
     flag[repeated] = True
     full = flag[first.of] | (own > first.low[first.of])
     run, at, h = open_windows(runs, first, ids, open_)
-    second = entries(h, h, ids[runs.doc[run]])
+    second = window_entries(h, ids[runs.doc[run]])
     flag = np.zeros(len(second.digit), bool)
     flag[window] = True
     hit = flag[second.of] | (ids[runs.doc[run]] > second.low[second.of])
@@ -313,7 +333,7 @@ def without_repeats(docs: DataFrame, width: int = 50, key: str = "doc_id", text:
     A byte goes if it lies in a string of ``width`` bytes that also starts in a document of a
     smaller id; strings are judged on the texts as given. A null text is empty; texts under
     ``width`` bytes stay. A null id orders last and is given back as null. Rows that share an
-    id do not remove each other's strings. An empty table gives no row.
+    id do not remove each other's strings. Strings are equal if their 64-bit hashes are. An empty table gives no row.
     """
     if width < 2:
         raise ValueError("width is at least 2")
@@ -326,7 +346,7 @@ def without_repeats(docs: DataFrame, width: int = 50, key: str = "doc_id", text:
             for number, data in zip(b.column("block").to_pylist(), b.column("data").to_pylist(), strict=True):
                 ids, texts = unblock(data)
                 runs = runs_of(texts, width, block)
-                yield packs(number, entries(runs.digit, runs.whole, ids[runs.doc]), buckets)
+                yield packs(number, run_entries(runs, ids), buckets, RUN_REST)
 
     wide = blocks.mapInArrow(say, PACKS).groupBy("bucket").applyInArrow(lambda k, t: answers(k, t, True), ANSWER)
     wide = cut(wide)
@@ -338,13 +358,14 @@ def without_repeats(docs: DataFrame, width: int = 50, key: str = "doc_id", text:
             if len(open_):
                 ids, texts = unblock(data)
                 runs = runs_of(texts, width, block)
-                run, _, h = open_windows(runs, entries(runs.digit, runs.whole, ids[runs.doc]), ids, open_)
-                out.append(packs(number, entries(h, h, ids[runs.doc[run]]), buckets))
+                run, _, h = open_windows(runs, run_entries(runs, ids), ids, open_)
+                out.append(packs(number, window_entries(h, ids[runs.doc[run]]), buckets, WINDOW_REST))
         return pa.Table.from_batches(out, pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("base", pa.int64()), ("pack", pa.binary())]))
 
+    # both cogroups are in one plan, so the blocks are dealt by number only once
     by = blocks.groupBy("block")
     fine = by.cogroup(wide.filter(F.col("kind") == OPEN).groupBy("block")).applyInArrow(ask, PACKS)
-    fine = cut(fine.groupBy("bucket").applyInArrow(lambda k, t: answers(k, t, False), ANSWER))
+    fine = fine.groupBy("bucket").applyInArrow(lambda k, t: answers(k, t, False), ANSWER)
 
     def finish(key, left, right):
         out = []
