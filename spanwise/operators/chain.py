@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Sequence
 
@@ -12,12 +13,20 @@ from spanwise.operators.ordered import Seq, scan
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in ``spark.checkpoint.dir``; set one only where none is."""
+    """Use the folder the cluster names in ``spark.checkpoint.dir``.
+
+    A folder of this machine's own stands in for it only on a local master, where driver and
+    executors are one process; on a cluster a missing setting is an error.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-ckpt-"))
+    if named is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="spark-ckpt-")
+    sc.setCheckpointDir(named)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -336,7 +336,8 @@ def action_signals(df: DataFrame, seq: Seq, t: str, keep: Sequence[str], least:
 
 def fall_signals(df: DataFrame, seq: Seq, t: str, keep: Sequence[str], ground: float = 0.78) -> DataFrame:
     """Fast descent, torso collapse and prolonged low posture at the end of each window."""
-    hy, ny = g.hips().y, g.joint(g.NOSE).y
+    # one hip stands for both where the other is missing
+    hy, ny = F.coalesce(g.hips().y, g.joint(11).y, g.joint(12).y), g.joint(g.NOSE).y
     angle = g.torso_angle(g.shoulders(), g.hips())
     df = df.withColumns({"_hy": hy, "_an": angle, "_lk": g.fall_likelihood(ny, hy, ground)})
 

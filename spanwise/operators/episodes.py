@@ -110,14 +110,14 @@ def persistence_gate(df: DataFrame, seq: Seq, frame: str, t: str, seconds: float
     return d.filter(keep).drop("_pf", "_h", "_hd")
 
 
-def visible(df: DataFrame, now: float, ttl: float = 14.0, limit: int = 10) -> DataFrame:
-    """Episodes seen within ``ttl`` of ``now``, newest first."""
-    return df.filter(F.col("last_seen") >= now - ttl).orderBy(F.desc("last_seen")).limit(limit)
+def visible(df: DataFrame, now: float, tie: Sequence[str], ttl: float = 14.0, limit: int = 10) -> DataFrame:
+    """Episodes seen within ``ttl`` of ``now``, newest first; equal times in the order of ``tie``."""
+    return df.filter(F.col("last_seen") >= now - ttl).orderBy(F.desc("last_seen"), *tie).limit(limit)
 
 
-def active(df: DataFrame, limit: int = 100) -> DataFrame:
-    """Open episodes, most recently seen first."""
-    return df.filter(~F.col("finished")).orderBy(F.desc("last_seen")).limit(limit)
+def active(df: DataFrame, tie: Sequence[str], limit: int = 100) -> DataFrame:
+    """Open episodes, most recently seen first; equal times in the order of ``tie``."""
+    return df.filter(~F.col("finished")).orderBy(F.desc("last_seen"), *tie).limit(limit)
 
 
 def stride_filter(df: DataFrame, frame: str, display_hz: float, infer_fps: float | None, max_stride: int) -> DataFrame:

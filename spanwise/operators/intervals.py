@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanwise.functions.scalar import dilate, norm_label, temporal_iou
 from spanwise.operators.chain import cut, jump_chain
-from spanwise.operators.ordered import START, Scan, Seq, core, exact_percentile, framed, runs, scan
+from spanwise.operators.ordered import START, Scan, Seq, core, exact_percentile, framed, range_buckets, runs, scan
 from spanwise.plans.config import EventConfig
 
 # ------------------------------------------------------------- runs and events
@@ -344,12 +347,75 @@ def candidate_pairs(
     return j.filter((F.col("iou_d") > 0) & (F.col("iou_d") >= threshold)).drop("_r0", "_r1", "_p0", "_p1")
 
 
+#: Time blocks of a matching pass, in widths of the interval join.
+BLOCKS = 64
+
+
+def _decide(t: pa.Table, order: Sequence[str], keep: Sequence[str]) -> pa.Table:
+    """One pass over a block's pairs in order: 1 taken, 0 open; pairs that lost are left out.
+
+    A side with pairs in other blocks cannot be judged here unless the pair is the first of
+    both sides; an open pair leaves later pairs of its sides open too.
+    """
+    t = t.sort_by([(c, "ascending") for c in order])
+    refs, preds = t.column("ref_id").to_pylist(), t.column("pred_id").to_pylist()
+    abroad, first = t.column("_abroad").to_pylist(), t.column("_first").to_pylist()
+    used_r, used_p, open_r, open_p = set(), set(), set(), set()
+    state = []
+    for r, p, far, sure in zip(refs, preds, abroad, first, strict=True):
+        if r in used_r or p in used_p:
+            state.append(2)
+        elif sure or not (far or r in open_r or p in open_p):
+            used_r.add(r)
+            used_p.add(p)
+            state.append(1)
+        else:
+            open_r.add(r)
+            open_p.add(p)
+            state.append(0)
+    t = t.select(list(keep)).append_column("_state", pa.array(state, pa.int32()))
+    return t.filter(pc.not_equal(t.column("_state"), 2))
+
+
+def sorted_greedy(pairs: DataFrame, keys: Sequence[str], order: Sequence[Column], at: str, width: float) -> DataFrame:
+    """One-to-one selection: pairs in ``order`` (a total order), each taken if both its sides are free.
+
+    A pass decides in each (key, time block) everything that depends on that block alone, and
+    takes pairs that are first for both their sides. What hangs on a neighbouring block waits
+    for the next pass, whose blocks are shifted by half. So the number of passes follows the
+    number of blocks that a chain of dependent pairs crosses, not its length. Only pairs still
+    open move on, and each pass is checkpointed once.
+    """
+    keys, cols = list(keys), pairs.columns
+    names = [f"_o{i}" for i in range(len(order))]
+    rest = cut(pairs.withColumns(dict(zip(names, order, strict=True))))
+    out = T.StructType([*[f for f in rest.schema.fields if f.name in {*cols, *names}], T.StructField("_state", T.IntegerType())])
+    kept = out.names[:-1]
+    decide = lambda t: _decide(t, names, kept)
+    span, taken, turn = BLOCKS * width, [], 0
+    while not rest.isEmpty():
+        b = rest.withColumn("_blk", F.floor((F.col(at) + turn % 2 * span / 2) / span).cast("long"))
+        rank = F.struct(*names)
+        for side in ("ref_id", "pred_id"):
+            own = b.groupBy(*keys, side).agg((F.min("_blk") != F.max("_blk")).alias(f"_a_{side}"), F.min(rank).alias(f"_f_{side}"))
+            b = b.join(own, [*keys, side])
+        first = (F.col("_f_ref_id") == rank) & (F.col("_f_pred_id") == rank)
+        b = b.select(*cols, *names, "_blk", (F.col("_a_ref_id") | F.col("_a_pred_id")).alias("_abroad"), first.alias("_first"))
+        done = cut(b.groupBy(*keys, "_blk").applyInArrow(decide, out))
+        taken.append(done.filter("_state = 1").select(*cols))
+        rest = done.filter("_state = 0").drop("_state")
+        turn += 1
+    return reduce(DataFrame.unionByName, taken) if taken else rest.select(*cols)
+
+
 def mutual_best(pairs: DataFrame, keys: Sequence[str], ref_order: Sequence[Column], pred_order: Sequence[Column]) -> DataFrame:
     """One-to-one selection by repeated mutual first choice.
 
     In each round a pair is taken when it is the first choice of both sides among
     what is left; used sides are removed. Under a total order this equals sorted
-    greedy selection. Only hash aggregates and equi-joins; rounds are checkpointed.
+    greedy selection. Only hash aggregates and equi-joins; rounds are checkpointed. Their
+    number is the longest chain of dependent pairs: for groups that bound it, as one frame's
+    detections do. For timelines use :func:`sorted_greedy`.
     """
     keys = list(keys)
     cols = pairs.columns
@@ -397,25 +463,32 @@ def greedy_match(
         keys = [*keys, "_lab"]
     pairs = candidate_pairs(refs, preds, keys, width, threshold, tolerance)
     order = [-F.col("iou_d"), F.col("ref_id"), F.col("pred_id")]
-    m = mutual_best(pairs, keys, order, order)
+    m = sorted_greedy(pairs, keys, order, "ref_start", width)
     if threshold <= 0:
         m = m.unionByName(_pair_leftovers(refs, preds, m, keys))
     return m.drop("_lab")
 
 
 def _pair_leftovers(refs: DataFrame, preds: DataFrame, m: DataFrame, keys: list[str]) -> DataFrame:
-    r = refs.join(m.select(*keys, "ref_id"), [*keys, "ref_id"], "left_anti")
-    p = preds.join(m.select(*keys, "pred_id"), [*keys, "pred_id"], "left_anti")
-    r = scan(r.select(*keys, "ref_id", "ref_start", "ref_end"), Seq(tuple(keys), ("ref_id",), 100_000), index="_z")
-    p = scan(p.select(*keys, "pred_id", "pred_start", "pred_end"), Seq(tuple(keys), ("pred_id",), 100_000), index="_z")
+    """Unmatched sides paired by their rank in id order. Ids of any type: they are ranked inside
+    range partitions of (key, id), and the counts of earlier partitions of a key are added."""
+    r = _ranked(refs.join(m.select(*keys, "ref_id"), [*keys, "ref_id"], "left_anti").select(*keys, "ref_id", "ref_start", "ref_end"), keys, "ref_id")
+    p = _ranked(preds.join(m.select(*keys, "pred_id"), [*keys, "pred_id"], "left_anti").select(*keys, "pred_id", "pred_start", "pred_end"), keys, "pred_id")
     j = r.join(p, [*keys, "_z"]).drop("_z")
     return j.withColumns({"iou_d": F.lit(0.0), "iou": F.lit(0.0)}).select(*m.columns)
 
 
+def _ranked(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cutting, seq = range_buckets(df, Seq(tuple(keys), (name,), 1.0), parts)
+    return scan(cutting, seq, index="_z").drop(seq.bucket)
+
+
 def best_match_per_prediction(refs: DataFrame, preds: DataFrame, keys: Sequence[str], width: float) -> DataFrame:
     """Predictions in id order take the best unused reference with IoU > 0."""
     pairs = candidate_pairs(refs, preds, keys, width, 0.0)
-    m = mutual_best(pairs, keys, [F.col("pred_id")], [-F.col("iou"), F.col("ref_id")])
+    m = sorted_greedy(pairs, keys, [F.col("pred_id"), -F.col("iou"), F.col("ref_id")], "ref_start", width)
     return preds.join(m.select(*keys, "pred_id", "ref_id", "iou"), [*keys, "pred_id"], "left").withColumn(
         "iou", F.coalesce("iou", F.lit(0.0))
     )

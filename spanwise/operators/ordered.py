@@ -103,11 +103,9 @@ def range_buckets(df: DataFrame, seq: Seq, partitions: int, name: str = "_rb") -
     number is a partition id, so the result is checkpointed before use: every
     later read must see the same numbers.
     """
-    out = (
-        df.repartitionByRange(partitions, *seq.keys, *seq.order)
-        .withColumn(name, F.spark_partition_id().cast("long"))
-        .checkpoint()
-    )
+    from spanwise.operators.chain import cut  # chain is built on this module
+
+    out = cut(df.repartitionByRange(partitions, *seq.keys, *seq.order).withColumn(name, F.spark_partition_id().cast("long")))
     return out, Seq(seq.keys, seq.order, seq.width, seq.chunk, name)
 
 

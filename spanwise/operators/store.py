@@ -41,14 +41,20 @@ def typed_value(x: Column, kind: str) -> list[Column]:
     return [x.cast("string").alias("value"), F.lit(kind).alias("value_type")]
 
 
-def list_events(df: DataFrame, start: str, tie: str, limit: int = 50_000, where: Column | None = None) -> DataFrame:
-    """Events by start time, missing times first, then id."""
+def list_events(df: DataFrame, start: str, tie: str, where: Column | None = None) -> DataFrame:
+    """All events (of a run, with ``where``) by start time, missing times first, then id."""
     d = df if where is None else df.filter(where)
-    return d.orderBy(F.col(start).asc_nulls_first(), tie).limit(limit)
+    return d.orderBy(F.col(start).asc_nulls_first(), tie)
 
 
-def list_runs(df: DataFrame, key: str, limit: int = 200) -> DataFrame:
-    return df.orderBy(F.desc(key)).limit(limit)
+def list_runs(df: DataFrame, started: str, key: str, limit: int = 200) -> DataFrame:
+    """The newest runs by start time, a report of ``limit`` rows; equal times by key."""
+    return df.orderBy(F.desc_nulls_last(started), F.desc(key)).limit(limit)
+
+
+def list_timeline(df: DataFrame, frame: str, tie: str, limit: int = 50_000) -> DataFrame:
+    """Timeline points in frame order, at most ``limit`` for one page."""
+    return df.orderBy(F.col(frame).asc_nulls_first(), tie).limit(limit)
 
 
 def find_or_create(existing: DataFrame, wanted: DataFrame, key: str) -> DataFrame:

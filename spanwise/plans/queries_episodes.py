@@ -71,10 +71,10 @@ def persistence_gate(spark, sf):
     return ep.persistence_gate(d, s, "fr", "t", 20000.0, F.col("event_type") != "view").select("event_id")
 
 
-@query("active_visible_recent", "WITH m AS (SELECT user_id, event_type, max(epoch_us(ts) / 1e6) AS l FROM events GROUP BY 1, 2) SELECT user_id, event_type, round(l, 1) AS last_seen FROM m WHERE l >= 1706659200.0 - 172800.0 ORDER BY l DESC LIMIT 25")
+@query("active_visible_recent", "WITH m AS (SELECT user_id, event_type, max(epoch_us(ts) / 1e6) AS l FROM events GROUP BY 1, 2) SELECT user_id, event_type, round(l, 1) AS last_seen FROM m WHERE l >= 1706659200.0 - 172800.0 ORDER BY l DESC, user_id, event_type LIMIT 10")
 def active_visible_recent(spark, sf):
     d = events(spark, sf).groupBy("user_id", "event_type").agg(F.max("t").alias("last_seen"))
-    return ep.visible(d, NOW, 2 * DAY, 25).select("user_id", "event_type", rnd("last_seen", d=1))
+    return ep.visible(d, NOW, ["user_id", "event_type"], 2 * DAY).select("user_id", "event_type", rnd("last_seen", d=1))
 
 
 @query("infer_stride", "SELECT event_id FROM events WHERE event_id % 3 = 0")

@@ -135,10 +135,10 @@ def window_summary(spark, sf):
     return s.select("user_id", "win_id", "n_frames", rnd("max_score"), rnd("mean_score"), F.coalesce(F.col("level_counts")["CRITICAL"], F.lit(0)).alias("n_critical"))
 
 
-@query("rules_in_window", f"WITH {WIN} SELECT user_id, win_id, array_to_string(list_sort(list(DISTINCT event_type))[1:3], ',') AS rules FROM j GROUP BY 1, 2")
+@query("rules_in_window", f"WITH {WIN} SELECT user_id, win_id, array_to_string(list_sort(list(DISTINCT event_type))[1:12], ',') AS rules FROM j GROUP BY 1, 2")
 def rules_in_window(spark, sf):
     d, w = _windows(spark, sf)
-    r = iv.rules_in_window(w, d.withColumn("rules", F.array("event_type")), ["user_id"], "lo", "hi", "t", "rules", 2 * DAY, 3)
+    r = iv.rules_in_window(w, d.withColumn("rules", F.array("event_type")), ["user_id"], "lo", "hi", "t", "rules", 2 * DAY)
     return r.select("user_id", "win_id", F.array_join("rules", ",").alias("rules"))
 
 

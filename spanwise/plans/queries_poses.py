@@ -1,6 +1,8 @@
 """Geometry and detectors with the embeddings table in the role of skeletons.
 
-The first 34 numbers are 17 (x, y) pairs shifted by 0.5; label = video, vec_id = frame order.
+The 64 numbers are (x, y) pairs shifted by 0.5 of two people: numbers 1 to 34 the 17 joints of
+person 0, numbers 35 to 64 the first 15 joints of person 1, whose last two are missing. A person
+of a label is one video (2 x label + person), vec_id its frame order.
 """
 
 from __future__ import annotations
@@ -21,7 +23,8 @@ FPS = 10.0
 
 
 def poses(spark, sf):
-    d = table(spark, sf, "embeddings").select(F.col("label").alias("video"), "vec_id", "embedding")
+    d = table(spark, sf, "embeddings").select("label", "vec_id", F.posexplode(F.array(F.slice("embedding", 1, 34), F.slice("embedding", 35, 30))).alias("p", "embedding"))
+    d = d.select((F.col("label") * 2 + F.col("p")).alias("video"), "vec_id", "p", "embedding")
     return g.read_tensor(d, "embedding", shift=0.5).drop("embedding")
 
 
@@ -30,15 +33,16 @@ def frames(spark, sf):
     return dt.index_frames(d, seq)
 
 
-def _x(k):
-    return f"(CAST(embedding[{2 * k + 1}] AS DOUBLE) + 0.5)"
+def _xy(k, p):
+    x, y = (f"(CAST(embedding[{34 * p + 2 * k + i}] AS DOUBLE) + 0.5)" for i in (1, 2))
+    return f"{x} AS x{k}, {y} AS y{k}" if 34 * p + 2 * k < 64 else f"CAST(NULL AS DOUBLE) AS x{k}, CAST(NULL AS DOUBLE) AS y{k}"
 
 
-def _y(k):
-    return f"(CAST(embedding[{2 * k + 2}] AS DOUBLE) + 0.5)"
+def _person(p):
+    return f"SELECT label * 2 + {p} AS video, vec_id, {p} AS p, " + ", ".join(_xy(k, p) for k in range(17)) + " FROM embeddings"
 
 
-P = "ps AS (SELECT label AS video, vec_id, " + ", ".join(f"{_x(k)} AS x{k}, {_y(k)} AS y{k}" for k in range(17)) + " FROM embeddings)"
+P = f"ps AS ({_person(0)} UNION ALL {_person(1)})"
 MIDS = "md AS (SELECT *, (x5 + x6) / 2.0 AS sx, (y5 + y6) / 2.0 AS sy, (x11 + x12) / 2.0 AS hx, (y11 + y12) / 2.0 AS hy FROM ps)"
 
 
@@ -74,7 +78,7 @@ def body_height_proxy(spark, sf):
 def _flex(a, b, c):
     ux, uy, vx, vy = f"(x{a}-x{b})", f"(y{a}-y{b})", f"(x{c}-x{b})", f"(y{c}-y{b})"
     cos = f"({ux}*{vx}+{uy}*{vy})/((sqrt({ux}*{ux}+{uy}*{uy})+1e-9)*(sqrt({vx}*{vx}+{vy}*{vy})+1e-9))"
-    return f"180.0 - degrees(acos(greatest(-1.0, least(1.0, {cos}))))"
+    return f"CASE WHEN {cos} IS NOT NULL THEN 180.0 - degrees(acos(greatest(-1.0, least(1.0, {cos})))) END"
 
 
 @query("joint_flexion", f"WITH {P} SELECT vec_id, round({_flex(11, 13, 15)}, 5) AS knee_l, round({_flex(12, 14, 16)}, 5) AS knee_r, round({_flex(5, 7, 9)}, 5) AS elbow_l FROM ps")
@@ -93,7 +97,7 @@ def guard_facing_scores(spark, sf):
     return poses(spark, sf).select("vec_id", rnd(g.guard_level(g.body_height()), "guard", 8), rnd(g.facing_away(), "facing", 8))
 
 
-@query("posture_flags", f"WITH {P}, {MIDS} SELECT vec_id, hy >= 0.58 AS is_low_posture, greatest(y15, y16) >= 0.82 AS near_ground FROM md")
+@query("posture_flags", f"WITH {P}, {MIDS} SELECT vec_id, hy >= 0.58 AS is_low_posture, coalesce(greatest(y15, y16) >= 0.82, false) AS near_ground FROM md")
 def posture_flags(spark, sf):
     f = g.posture_flags()
     return poses(spark, sf).select("vec_id", *[c.alias(n) for n, c in f.items()])
@@ -104,7 +108,7 @@ C13 = (0, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16)
 
 @query(
     "visibility_weighted_com",
-    f"WITH {P} SELECT vec_id, round(({' + '.join(f'x{k} * {1.0 + (k == 0)}' for k in C13)}) / 14.0, 9) AS com_x, round(({' + '.join(f'y{k} * {1.0 + (k == 0)}' for k in C13)}) / 14.0, 9) AS com_y FROM ps",
+    f"WITH {P} SELECT vec_id, round(({' + '.join(f'coalesce(x{k}, 0) * {1.0 + (k == 0)}' for k in C13)}) / (14.0 - 2 * p), 9) AS com_x, round(({' + '.join(f'coalesce(y{k}, 0) * {1.0 + (k == 0)}' for k in C13)}) / (14.0 - 2 * p), 9) AS com_y FROM ps",
 )
 def visibility_weighted_com(spark, sf):
     c = g.weighted_com({0: F.lit(2.0)})
@@ -126,19 +130,19 @@ def defence_confidences(spark, sf):
     )
 
 
-@query("normalize_unit_square", f"WITH {P} SELECT vec_id, round(greatest(0.0, least(1.0, x0)), 9) AS x0, round(greatest(0.0, least(1.0, y16)), 9) AS y16 FROM ps")
+@query("normalize_unit_square", f"WITH {P} SELECT vec_id, round(greatest(0.0, least(1.0, x0)), 9) AS x0, CASE WHEN y16 IS NOT NULL THEN round(greatest(0.0, least(1.0, y16)), 9) END AS y16 FROM ps")
 def normalize_unit_square(spark, sf):
     d = g.normalize_unit_square(poses(spark, sf))
     return d.select("vec_id", rnd("j0x", "x0"), rnd("j16y", "y16"))
 
 
-PERS = "pq AS (SELECT video, vec_id // 4 AS frame, CAST(vec_id % 4 AS INT) AS person, *  EXCLUDE (video), 17 * 1e6 + (greatest({xs}) - least({xs})) + (greatest({ys}) - least({ys})) AS q FROM ps)".format(
+PERS = "pq AS (SELECT video, vec_id // 4 AS frame, CAST(vec_id % 4 * 2 + p AS INT) AS person, *  EXCLUDE (video), (17 - 2 * p) * 1e6 + (greatest({xs}) - least({xs})) + (greatest({ys}) - least({ys})) AS q FROM ps)".format(
     xs=", ".join(f"x{k}" for k in range(17)), ys=", ".join(f"y{k}" for k in range(17))
 )
 
 
 def _persons(spark, sf):
-    return poses(spark, sf).withColumns({"frame": F.floor(F.col("vec_id") / 4), "person": (F.col("vec_id") % 4).cast("int")}).drop("video")
+    return poses(spark, sf).withColumns({"frame": F.floor(F.col("vec_id") / 4), "person": (F.col("vec_id") % 4 * 2 + F.col("p")).cast("int")}).drop("video", "p")
 
 
 @query("select_person", f"WITH {P}, {PERS}, r AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY q DESC, person) AS k FROM pq) SELECT frame, person, round(q, 4) AS quality FROM r WHERE k = 1")
@@ -148,14 +152,14 @@ def select_person(spark, sf):
     return d.groupBy("frame").agg(best.alias("b")).select("frame", "b.person", rnd("b.q", "quality", 4))
 
 
-@query("top2_persons_per_frame", "WITH q AS (SELECT vec_id // 4 AS frame, CAST(vec_id % 4 AS INT) AS person FROM embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY person) AS k FROM q) SELECT frame, person FROM r WHERE k <= 2")
+@query("top2_persons_per_frame", "WITH q AS (SELECT vec_id // 4 AS frame, CAST(vec_id % 4 * 2 + p AS INT) AS person FROM embeddings, (VALUES (0), (1)) u(p)), r AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY person) AS k FROM q) SELECT frame, person FROM r WHERE k <= 2")
 def top2_persons_per_frame(spark, sf):
     d = _persons(spark, sf).withColumn("nv", g.n_valid(range(5, 11)))
     top = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("nv")).alias("n"), "person"))), 1, 2)
     return d.groupBy("frame").agg(top.alias("t")).select("frame", F.explode("t").alias("p")).select("frame", "p.person")
 
 
-@query("opponent_proximity", f"WITH {P}, q AS (SELECT vec_id // 4 AS frame, CAST(vec_id % 4 AS INT) AS person, x0, y0, x9, y9, x10, y10 FROM ps) SELECT a.frame, a.person, round(max(greatest(exp(-22.0 * sqrt((b.x9 - a.x0) ** 2 + (b.y9 - a.y0) ** 2)), exp(-22.0 * sqrt((b.x10 - a.x0) ** 2 + (b.y10 - a.y0) ** 2)))), 8) AS near FROM q a JOIN q b ON a.frame = b.frame AND a.person <> b.person GROUP BY 1, 2")
+@query("opponent_proximity", f"WITH {P}, q AS (SELECT vec_id // 4 AS frame, CAST(vec_id % 4 * 2 + p AS INT) AS person, x0, y0, x9, y9, x10, y10 FROM ps) SELECT a.frame, a.person, round(max(greatest(exp(-22.0 * sqrt((b.x9 - a.x0) ** 2 + (b.y9 - a.y0) ** 2)), exp(-22.0 * sqrt((b.x10 - a.x0) ** 2 + (b.y10 - a.y0) ** 2)))), 8) AS near FROM q a JOIN q b ON a.frame = b.frame AND a.person <> b.person GROUP BY 1, 2")
 def opponent_proximity(spark, sf):
     d = dt.opponent_columns(_persons(spark, sf), [], "frame", "person")
     return d.select("frame", "person", rnd("opp_near", "near", 8))

@@ -293,10 +293,21 @@ def upsert_null_keys(spark, sf):
     return so.upsert(d.filter("event_id % 2 = 0"), d.filter("event_id % 2 = 1"), ["k"], "event_id", "k")
 
 
-@query("run_queries", "SELECT event_id FROM (SELECT event_id, CASE WHEN event_id % 100 = 0 THEN NULL ELSE value END AS s FROM events) ORDER BY s ASC NULLS FIRST, event_id LIMIT 200")
+@query("run_queries", "SELECT event_id FROM (SELECT event_id, CASE WHEN event_id % 100 = 0 THEN NULL ELSE value END AS s FROM events) ORDER BY s ASC NULLS FIRST, event_id")
 def run_queries(spark, sf):
     d = table(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 100 != 0, F.col("value")).alias("s"))
-    return so.list_events(d, "s", "event_id", 200).select("event_id")
+    return so.list_events(d, "s", "event_id").select("event_id")
+
+
+@query("list_runs", "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC NULLS LAST, o_orderkey DESC LIMIT 200")
+def list_runs(spark, sf):
+    return so.list_runs(table(spark, sf, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", "o_orderkey")
+
+
+@query("list_timeline", "SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice FROM lineitem ORDER BY l_orderkey ASC NULLS FIRST, l_linenumber, l_extendedprice, l_quantity LIMIT 50000")
+def list_timeline(spark, sf):
+    d = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    return so.list_timeline(d.withColumn("tie", F.struct("l_linenumber", "l_extendedprice", "l_quantity")), "l_orderkey", "tie").drop("tie")
 
 
 @query("run_lifecycle", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'finished' ELSE 'running' END AS status FROM orders")
