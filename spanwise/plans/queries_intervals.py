@@ -265,7 +265,7 @@ def failure_pivot(spark, sf):
 @query("sensitivity_grid")
 def sensitivity_grid(spark, sf):
     """One matching per grid cell; several iterated matchings are too long for one SQL text."""
-    cells = [(0.01, 4.0), (0.3, 4.0), (0.3, 0.0)]
+    cells = [(0.01, 4.0), (0.1, 4.0), (0.3, 4.0), (0.5, 4.0), (0.01, 0.0), (0.1, 0.0), (0.3, 0.0)]
     d = mt.sensitivity_grid(orders_refs(spark, sf), ship_preds(spark, sf), ["cust"], B, cells)
     return d.select("iou", "tolerance", "tp", "fp", "fn", rnd("micro_f1"))
 

@@ -271,8 +271,8 @@ def pose_features(spark, sf):
 @query("angular_kinematics")
 def angular_kinematics(spark, sf):
     d, seq = frames(spark, sf)
-    d = d.withColumns({n: c for n, c in g.joint_panel().items() if n.endswith("_flexion_deg") or n == "torso_angle_deg"})
-    cols = ["torso_angle_deg", "left_knee_flexion_deg", "right_knee_flexion_deg", "left_elbow_flexion_deg"]
+    panel = {n: c for n, c in g.joint_panel().items() if n.endswith(("_flexion_deg", "_abduction_deg")) or n == "torso_angle_deg"}
+    d, cols = d.withColumns(panel), list(panel)
     k = dt.angular_kinematics(d, seq, FPS, cols)
     return k.select("vec_id", rnd("motion_energy", d=6), *[rnd(f"{c}_acceleration", d=4) for c in cols])
 

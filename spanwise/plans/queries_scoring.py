@@ -349,10 +349,12 @@ def firing_counts(spark, sf):
 GROUPS = CFG.groups
 MODES = (
     Ablation("biomechanics_only", ("biomechanics",)),
+    Ablation("posture_only", ("posture",)),
     Ablation("anomaly_only", ("anomaly",)),
     Ablation("biomechanics_plus_posture", ("biomechanics", "posture")),
     Ablation("full_fusion"),
     Ablation("full_fusion_without_interactions", interactions=False),
+    Ablation("without_disc", dropped=("disc",)),
     Ablation("without_tax", dropped=("tax",)),
 )
 
@@ -389,13 +391,13 @@ def ablation_behaviour(spark, sf):
 
 
 def _draw(name: str, seed: int) -> str:
-    return f"CAST(('0x' || substr(md5(l_orderkey || '|' || l_linenumber || '|{name}|{seed}'), 1, 13)) AS BIGINT) / 4503599627370496.0"
+    return f"CAST(('0x' || substr(md5(l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || l_suppkey || '|{name}|{seed}'), 1, 13)) AS BIGINT) / 4503599627370496.0"
 
 
 def _drop_sql(p: float, seed: int, naive: bool, name: str) -> str:
     drop = "0.0" if naive else "NULL"
     cols = ", ".join(f"CASE WHEN {n} IS NOT NULL AND {_draw(n, seed)} < {p} THEN {drop} ELSE {n} END AS {n}" for n in WEIGHTS)
-    return f"SELECT l_orderkey, l_linenumber, '{name}' AS scenario, {FUSED} AS rs FROM (SELECT l_orderkey, l_linenumber, {cols} FROM ch)"
+    return f"SELECT l_orderkey, l_linenumber, '{name}' AS scenario, {FUSED} AS rs FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {cols} FROM ch)"
 
 
 DROPS = [sc.Scenario(f"{'naive' if nv else 'explicit'}_{p}", p=p, seed=7, naive=nv) for p in (0.1, 0.5) for nv in (False, True)]
@@ -407,14 +409,14 @@ DROPS = [sc.Scenario(f"{'naive' if nv else 'explicit'}_{p}", p=p, seed=7, naive=
 SELECT scenario, count(*) AS n, round(avg(rs), 9) AS mean_score, sum(CASE WHEN round(rs, 12) >= 0.5 THEN 1 ELSE 0 END)::BIGINT AS n_high FROM d GROUP BY 1""",
 )
 def dropout_naive_vs_explicit(spark, sf):
-    d = sc.scenario_scores(sc.spread(lines(spark, sf)), KEYS, channels(), CFG, DROPS, sc.md5_draw)
+    d = sc.scenario_scores(sc.spread(lines(spark, sf)), ROW, channels(), CFG, DROPS, sc.md5_draw)
     return d.groupBy("scenario").agg(F.count(F.lit(1)).alias("n"), rnd(F.avg("risk_score"), "mean_score"), F.count_if(F.round("risk_score", 12) >= 0.5).alias("n_high"))
 
 
 @query("experiment_grid")
 def experiment_grid(spark, sf):
     """All 66 passes of the experiment over the channel matrix; draws come from a 64-bit hash SQL does not share."""
-    d = sc.scenario_scores(sc.spread(lines(spark, sf)), KEYS, channels(), CFG, sc.experiment_scenarios())
+    d = sc.scenario_scores(sc.spread(lines(spark, sf)), ROW, channels(), CFG, sc.experiment_scenarios())
     return d.groupBy("scenario").agg(
         F.count(F.lit(1)).alias("n"), rnd(F.avg("risk_score"), "mean_score"), F.sum("n_fired").alias("n_fired"),
         F.count_if(sc.at_least(F.col("risk_level"), "HIGH")).alias("n_high"),
