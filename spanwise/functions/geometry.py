@@ -15,9 +15,10 @@ from spanwise.functions.scalar import clip, clip01, safe_div
 
 # Joint order of the 17-joint skeleton.
 JOINTS = (
-    "nose left_eye right_eye left_ear right_ear left_shoulder right_shoulder left_elbow right_elbow "
-    "left_wrist right_wrist left_hip right_hip left_knee right_knee left_ankle right_ankle"
-).split()
+    "nose", "left_eye", "right_eye", "left_ear", "right_ear", "left_shoulder", "right_shoulder", "left_elbow",
+    "right_elbow", "left_wrist", "right_wrist", "left_hip", "right_hip", "left_knee", "right_knee",
+    "left_ankle", "right_ankle",
+)
 NOSE, L_SH, R_SH, L_EL, R_EL, L_WR, R_WR, L_HIP, R_HIP, L_KN, R_KN, L_AN, R_AN = 0, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16
 
 
@@ -264,4 +265,3 @@ def proximity(a: Pt, b: Pt, gamma: float) -> Column:
     return F.exp(-gamma * dist(a, b))
 
 
-_ = safe_div

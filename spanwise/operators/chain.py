@@ -76,4 +76,3 @@ def jump_chain(df: DataFrame, keys: Sequence[str], index: str, nxt: str, block:
         path = blocks.join(on, [*keys, "_blk"])
         seen = path.select(*keys, F.explode(_visit(F.col("_rows"), F.col("_in"))).alias(index))
     return df.join(seen, [*keys, index], "left_semi").select(*df.columns)
-

@@ -188,10 +188,6 @@ def positives(labels: DataFrame, label: str) -> DataFrame:
     return labels.filter(namespace(F.col(label)).isin(*POSITIVE))
 
 
-def false_positives_per_minute(n_fp: Column, seconds: Column) -> Column:
-    return safe_div(n_fp, seconds / 60.0)
-
-
 def error_counts(outcomes: DataFrame) -> DataFrame:
     """Errors per category, most frequent first, ties by name."""
     d = outcomes.select(F.explode("errors").alias("category"))
@@ -270,16 +266,6 @@ def statistics(df: DataFrame, video: str, dims: Sequence[str]) -> DataFrame:
     return g.select(name.alias("dimension"), val.alias("value"), "n")
 
 
-def sweep_best(df: DataFrame) -> DataFrame:
-    """Best row by macro F1, then macro recall, then micro recall."""
-    return df.orderBy(F.desc("macro_f1"), F.desc("macro_recall"), F.desc("micro_recall")).limit(1)
-
-
-def sweep_parameter(path: Column) -> Column:
-    """Parameter value at the end of a folder or file name such as ``..._p90``."""
-    return F.nullif(F.regexp_extract(path, r"_p(\d+)", 1), F.lit("")).cast("int")
-
-
 def method_table(methods: DataFrame, results: DataFrame, key: str, order: str) -> DataFrame:
     """Fixed list of methods; those without results give zero rows."""
     nums = [f.name for f in results.schema.fields if f.name != key]

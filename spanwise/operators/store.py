@@ -36,11 +36,6 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], seq: str, nullab
     return latest.select(*both.columns).unionByName(both.filter(~key_ok)) if nullable else latest.select(*both.columns)
 
 
-def typed_value(x: Column, kind: str) -> list[Column]:
-    """Parameter value as text with a type tag."""
-    return [x.cast("string").alias("value"), F.lit(kind).alias("value_type")]
-
-
 def list_events(df: DataFrame, start: str, tie: str, where: Column | None = None) -> DataFrame:
     """All events (of a run, with ``where``) by start time, missing times first, then id."""
     d = df if where is None else df.filter(where)
@@ -139,8 +134,3 @@ def evidence_text(evidence: Column, kind: Column, limit: int = 900) -> Column:
     """``kind: key=value; ...`` with keys in order, cut to ``limit`` characters."""
     pairs = F.transform(F.array_sort(F.map_entries(evidence)), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
     return F.substring(F.concat(kind, F.lit(": "), F.array_join(pairs, "; ")), 1, limit)
-
-
-def keyword_hit(text: Column, words: Sequence[str]) -> Column:
-    s = slug(text)
-    return reduce(lambda a, b: a | b, [s.contains(w) for w in words])

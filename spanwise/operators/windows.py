@@ -14,7 +14,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from spanwise.functions.scalar import clip, clip01
+from spanwise.functions.scalar import clip
 from spanwise.operators.ordered import START, Scan, Seq, chunk_window, core, exact_percentile, framed, runs, scan
 
 Stage = Callable[[WindowSpec], Mapping[str, Column]]
@@ -287,8 +287,3 @@ def limb_stages(
         return {"anomaly_score": score, "anomaly_type": kind}
 
     return first, second
-
-
-def without_limb_columns(df: DataFrame) -> DataFrame:
-    """Used when knee or ankle columns are absent: score 0, type ``none``."""
-    return df.withColumns({"anomaly_score": F.lit(0.0), "anomaly_type": F.lit("none")})

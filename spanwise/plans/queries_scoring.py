@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanwise.functions.scalar import SAFETY_LEVELS, band, clip01, fused_mean
+from spanwise.functions.scalar import SAFETY_LEVELS, band, fused_mean
 from spanwise.operators import scoring as sc
 from spanwise.operators import windows as wn
 from spanwise.plans.adapters import EV, EVENT_SEQ, event_frames, events, rnd
@@ -482,6 +482,3 @@ def channel_matrix(spark, sf):
     d = scan(d, seq, index="i").select("user_id", "event_id", "event_type", "i")
     w = d.filter("event_type = 'error'").select("user_id", (F.col("i") / 10.0 + 0.05).alias("s"), (F.col("i") / 10.0 + 0.25).alias("e"))
     return interval_mask(d, w, ["user_id"], "i", 10.0, "s", "e", "y_impact").select("user_id", "event_id", "y_impact")
-
-
-_ = clip01

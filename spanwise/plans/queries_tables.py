@@ -11,7 +11,7 @@ from spanwise.operators import quality as qa
 from spanwise.operators import store as so
 from spanwise.operators.chain import ensure_checkpoint_dir
 from spanwise.operators.ordered import Seq, scan
-from spanwise.plans.adapters import DAY, EV, event_frames, events, rnd
+from spanwise.plans.adapters import EV, event_frames, events, rnd
 from spanwise.plans.registry import query
 from spanwise.plans.session import table
 from spanwise.sources import readers as rd
@@ -409,6 +409,3 @@ def timecode_parse(spark, sf):
     i = F.col("event_id")
     t = F.format_string("%d:%02d:%02d", F.floor(i / 3600), F.floor(i / 60) % 60, i % 60)
     return table(spark, sf, "events").select("event_id", fx.timecode_seconds(F.when(i % 5 == 4, F.concat(t, F.lit("x"))).otherwise(t)).alias("seconds"))
-
-
-_ = DAY

@@ -15,7 +15,16 @@ EVENT = (
     "event_level string, eventLevel string, level string, category string, title string, description string, score double, max_risk_score double, "
     "start_frame string, end_frame string"
 )
-BUNDLE = f"video_id string, fps double, events array<struct<{EVENT}>>, events_risk_only array<struct<{EVENT}>>, anomaly_events array<struct<{EVENT}>>, strike_events array<struct<{EVENT}>>".replace("array<struct<" + EVENT, "array<struct<" + EVENT.replace(" string", ":string").replace(" double", ":double"))
+BUNDLE_EVENT = (
+    "video_id:string, event_id:string, start_time:double, end_time:double, startTime:double, "
+    "endTime:double, event_type:string, eventType:string, event_level:string, eventLevel:string, "
+    "level:string, category:string, title:string, description:string, score:double, "
+    "max_risk_score:double, start_frame:string, end_frame:string"
+)
+BUNDLE = (
+    f"video_id string, fps double, events array<struct<{BUNDLE_EVENT}>>, events_risk_only array<struct<{BUNDLE_EVENT}>>, "
+    f"anomaly_events array<struct<{BUNDLE_EVENT}>>, strike_events array<struct<{BUNDLE_EVENT}>>"
+)
 SPAN = "event_id:string,start_time:double,end_time:double,event_type:string,confidence:double,notes:string"
 ANNOTATION = f"video string, case_id string, time_unit string, clip_start_time double, clip_end_time double, events array<struct<{SPAN}>>"
 NAMESPACED = (
@@ -25,10 +34,12 @@ NAMESPACED = (
 )
 # 33 landmark names in index order.
 LANDMARKS = (
-    "nose left_eye_inner left_eye left_eye_outer right_eye_inner right_eye right_eye_outer left_ear right_ear mouth_left mouth_right "
-    "left_shoulder right_shoulder left_elbow right_elbow left_wrist right_wrist left_pinky right_pinky left_index right_index left_thumb right_thumb "
-    "left_hip right_hip left_knee right_knee left_ankle right_ankle left_heel right_heel left_foot_index right_foot_index"
-).split()
+    "nose", "left_eye_inner", "left_eye", "left_eye_outer", "right_eye_inner", "right_eye", "right_eye_outer",
+    "left_ear", "right_ear", "mouth_left", "mouth_right", "left_shoulder", "right_shoulder", "left_elbow",
+    "right_elbow", "left_wrist", "right_wrist", "left_pinky", "right_pinky", "left_index", "right_index",
+    "left_thumb", "right_thumb", "left_hip", "right_hip", "left_knee", "right_knee", "left_ankle",
+    "right_ankle", "left_heel", "right_heel", "left_foot_index", "right_foot_index",
+)
 
 
 def trim_names(df: DataFrame) -> DataFrame:

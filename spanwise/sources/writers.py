@@ -44,11 +44,6 @@ def metric_rows(per_item: DataFrame, pooled: DataFrame, macro: DataFrame, item:
     return a.unionByName(macro.withColumn(item, F.lit("macro")), allowMissingColumns=True)
 
 
-def write_small_csv(df: DataFrame, path: str) -> None:
-    """A small report as one file."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
-
-
 def write_star(tables: dict[str, DataFrame], path: str, mode: str = "append") -> None:
     """Run tables as parquet; run tables are partitioned by run."""
     for name, df in tables.items():
