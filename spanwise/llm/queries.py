@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanwise.llm import bpe, language, lengths, lines, mixing, pii, repeats, shingles, vectors
+from spanwise.llm import bpe, language, lengths, lines, mixing, oracles, pii, repeats, shingles, vectors
 from spanwise.plans.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,3 +103,6 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeats.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), 50)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL |= {"op8_jaccard_join": oracles.NEAR_DOCUMENTS, "op9_embedding_near_dedup": oracles.NEAR_VECTORS}
