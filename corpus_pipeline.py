@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanwise.llm import bpe, language, lines, mixing, shingles
-from spanwise.llm.common import free_name, shared_folder, staged
+from spanwise.llm.common import free_name, shared_folder, small_batches, staged
 from spanwise.llm.queries import vocabulary
 from spanwise.plans.session import table
 
@@ -33,6 +33,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Null and empty texts have no letter, so they go here. Learned from the labelled rows of
     ``docs``; where none is labelled nothing can be judged and every text with a letter stays.
     """
+    small_batches(spark)
     model = language.fit(docs)
     if not model.languages:
         return docs.filter(F.col("text").rlike("\\p{L}"))
@@ -55,6 +56,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def join_near_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones."""
+    small_batches(spark)
     return columns_of(shingles.representatives(docs, 75), docs)
 
 
@@ -65,6 +67,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, lang, n_tokens, ids (little-endian unsigned 32-bit integers) and decoded (the tokens as text)."""
+    small_batches(spark)
     out = bpe.with_codes(docs.select("doc_id", "source", "lang", "text"), vocabulary("word_bpe_49k.json"), into="_coded")
     ids = F.col("_coded.ids")
     return out.select("doc_id", "source", "lang", (F.octet_length(ids) / 4).cast("long").alias("n_tokens"), ids.alias("ids"), F.col("_coded.decoded").alias("decoded"))

@@ -200,7 +200,8 @@ def with_codes(docs: DataFrame, path: str, text: str = "text", into: str = "code
                     lo, size = hi, 0
             yield pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.string())], names=["ids", "decoded"])
 
-    return docs.withColumn(into, code(F.col(text)))
+    # so marked, it is worked out once, whatever uses its fields
+    return docs.withColumn(into, code.asNondeterministic()(F.col(text)))
 
 
 def decode_ids(coded: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spanwise.operators.chain import cut, ensure_checkpoint_dir
 
-__all__ = ["components", "cut", "free_name", "last_id", "order_key", "partitions", "shared_folder", "staged"]
+__all__ = ["components", "cut", "free_name", "last_id", "order_key", "partitions", "shared_folder", "small_batches", "staged"]
 
 #: Stands for a missing id: it orders after every other id.
 LAST = 2**63 - 1
@@ -66,6 +66,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Whole texts go to Python in batches of fewer rows than Spark's default, unless the session has set its own number."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def staged(df: DataFrame, folder: str) -> DataFrame:
     """Written as Parquet in the folder that the cluster shares, and read again."""
     df.write.mode("overwrite").parquet(folder)

@@ -160,7 +160,8 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> Column
                 score[seen] = p[seen]
             yield pd.DataFrame({"lang_pred": lang, "score": score})
 
-    return guess(F.col(text))
+    # so marked, it is worked out once, also where a filter and a column both use it
+    return guess.asNondeterministic()(F.col(text))
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text", into: str = "language") -> DataFrame:
