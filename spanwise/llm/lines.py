@@ -3,7 +3,7 @@
 Only DataFrame functions. Equal lines are first made one row. Two lines at distance one agree
 when one character is deleted at the right place; hashes of such variants are joined. So that
 not every line emits a variant for each of its characters, two filters that lose no pair come
-first: halves (one half of the two lines must be equal) and blocks (everything around one
+first: halves (one half of the two lines must be equal, by hash) and blocks (everything around one
 block of 32 characters must be equal); only characters of blocks whose surroundings occur in
 several lines are deleted.
 """
@@ -13,9 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanwise.llm.common import last_id
+from spanwise.llm.common import cut, last_id
 
 BLOCK = 32
+#: Hashes of lines up to this many are broadcast.
+BROADCAST_LINES = 1_000_000
 
 
 def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -35,6 +37,13 @@ def roles(n: Column) -> Column:
     return F.array(n, n - 1)
 
 
+def halves(line: Column, n: Column) -> Column:
+    """Hashes of the line's first and last half in both of its frames; equal lengths give one hash."""
+    front = F.array_distinct(F.transform(roles(n), lambda f: F.floor((f + 1) / 2).cast("int")))
+    back = F.array_distinct(F.transform(roles(n), lambda f: f - F.floor((f + 1) / 2).cast("int")))
+    return F.concat(F.transform(front, lambda h: F.xxhash64(F.lit("p"), h, left(line, h))), F.transform(back, lambda h: F.xxhash64(F.lit("s"), h, tail(line, h))))
+
+
 def left(s: Column, n: Column) -> Column:
     return F.substring(s, F.lit(1), F.greatest(n, F.lit(0)))
 
@@ -44,25 +53,34 @@ def tail(s: Column, n: Column) -> Column:
     return F.when(n > 0, F.substring(s, F.length(s) - n + 1, n)).otherwise("")
 
 
-def earlier_neighbours(classes: DataFrame) -> DataFrame:
-    """For classes (_a, _b hashes of the line, _first, _line): _a, _b and _near, the first
-    occurrence of the earliest other line at distance one, where that is earlier."""
+def candidates(lines: DataFrame) -> DataFrame:
+    """_a, _first, _line of lines that share a half with a different line.
+
+    Only hashes of halves are compared; the text of the few lines that are left is then
+    gathered, one row per distinct line. The list of these is broadcast if its counted rows
+    are at most BROADCAST_LINES; beyond that the lines are dealt by hash to meet it.
+    """
+    keys = lines.select("_a", F.explode(halves(F.col("_line"), F.length("_line"))).alias("_key"))
+    several = keys.groupBy("_key").agg(F.min("_a").alias("lo"), F.max("_a").alias("hi")).filter("lo <> hi").select("_key")
+    hot = cut(keys.join(several, "_key", "left_semi").select("_a").distinct())
+    hot = F.broadcast(hot) if hot.count() <= BROADCAST_LINES else hot
+    first = F.min(F.struct(F.struct("_doc", "_pos", "_hash").alias("at"), F.col("_line").alias("line"))).alias("m")
+    return cut(lines.join(hot, "_a").groupBy("_a").agg(first).select("_a", F.col("m.at").alias("_first"), F.col("m.line").alias("_line")))
+
+
+def earlier_neighbours(lines: DataFrame) -> DataFrame:
+    """_a (hash of a line) and _near, the first occurrence of the earliest other line at distance
+    one, where that is earlier than the line's own."""
     line, n = F.col("_line"), F.length("_line")
     frame = F.col("_n")
-
-    # halves
-    half = F.floor((frame + 1) / 2).cast("int")
-    keys = F.array(F.xxhash64(F.lit("p"), frame, left(line, half)), F.xxhash64(F.lit("s"), frame, tail(line, frame - half)))
-    halves = classes.select("_a", "_b", "_line", F.explode(roles(n)).alias("_n")).filter("_n > 0")
-    hot = shared(halves.select("_a", "_b", "_n", F.explode(keys).alias("_key")), "_key").select("_a", "_b", "_n").distinct()
+    near = candidates(lines).withColumn("_n", F.explode(roles(n))).filter("_n > 0")
 
     # blocks
-    near = classes.join(hot, ["_a", "_b"])
     block = F.col("_block")
     start, rest = block * BLOCK, F.greatest(frame - (block + 1) * BLOCK, F.lit(0))
     near = near.withColumn("_block", F.explode(F.sequence(F.lit(0), F.floor((frame - 1) / BLOCK).cast("int"))))
     around = [F.xxhash64(F.lit(seed), frame, block, left(line, start), F.lit(seed), tail(line, rest)) for seed in (3, 5)]
-    near = near.select("_a", "_b", "_first", (n > frame).alias("_longer"), around[0].alias("_key"), around[1].alias("_key2"), F.substring(line, start + 1, n - start - rest).alias("_part"))
+    near = near.select("_a", "_first", (n > frame).alias("_longer"), around[0].alias("_key"), around[1].alias("_key2"), F.substring(line, start + 1, n - start - rest).alias("_part"))
     near = shared(near, "_key")
 
     # variants: a character replaced (same place deleted in both), or one inserted in the longer line
@@ -73,10 +91,10 @@ def earlier_neighbours(classes: DataFrame) -> DataFrame:
     whole = lambda s: F.struct(F.xxhash64(F.lit(13), "_key", s).alias("v"), F.xxhash64(F.lit(17), "_key2", s).alias("u"))
     gone = F.array_distinct(F.transform(cuts, lambda i: whole(drop(i))))
     variants = near.select(
-        "_a", "_b", "_first", "_part", "_longer",
+        "_a", "_first", "_part", "_longer",
         F.explode(F.when(F.col("_longer"), gone).otherwise(F.array_append(same, whole(part)))).alias("_v"),
     )
-    variants = variants.select("_a", "_b", "_first", "_part", "_longer", "_v.v", "_v.u")
+    variants = variants.select("_a", "_first", "_part", "_longer", "_v.v", "_v.u")
     one = F.struct("_first", "_part")
     low = variants.groupBy("v", "u").agg(F.min(F.when(~F.col("_longer"), one)).alias("_short"), F.min(F.when(F.col("_longer"), one)).alias("_long"), F.count("*").alias("_k"))
     found = variants.join(low.filter("_k > 1"), ["v", "u"])
@@ -85,7 +103,7 @@ def earlier_neighbours(classes: DataFrame) -> DataFrame:
     others = F.array(F.col("_short"), F.when(~F.col("_longer"), F.col("_long")))
     other = F.array_min(F.filter(others, lambda o: o.isNotNull() & (o["_first"] < F.col("_first")) & (F.levenshtein(o["_part"], F.col("_part"), 1) == 1)))
     found = found.withColumn("_other", other).filter(F.col("_other").isNotNull())
-    return found.groupBy("_a", "_b").agg(F.min("_other._first").alias("_near"))
+    return found.groupBy("_a").agg(F.min("_other._first").alias("_near"))
 
 
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 20, edits: int = 1) -> DataFrame:
@@ -101,15 +119,15 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
     lines = lines_of(docs, key, text).filter(F.length("_line") >= min_chars)
     lines = lines.select("_doc", "_hash", "_pos", F.xxhash64(F.lit(1), "_line").alias("_a"), F.xxhash64(F.lit(2), "_line").alias("_b"), "_line")
     at = F.struct("_doc", "_pos", "_hash")
-    classes = lines.groupBy("_a", "_b").agg(F.min(F.struct(at.alias("at"), F.col("_line").alias("line"))).alias("m"), F.count("*").alias("_k"))
-    classes = classes.select("_a", "_b", F.col("m.at").alias("_first"), F.col("m.line").alias("_line"), "_k")
-    verdict = classes.select("_a", "_b", "_first", "_k")
+    classes = lines.groupBy("_a").agg(F.min(F.struct(at.alias("at"), F.col("_b").alias("b"))).alias("m"), F.count("*").alias("_k"))
+    verdict = classes.select("_a", F.col("m.b").alias("_same"), F.col("m.at").alias("_first"), "_k")
     if edits:
-        verdict = verdict.join(earlier_neighbours(classes), ["_a", "_b"], "left").filter("_k > 1 or _near is not null")
+        verdict = verdict.join(earlier_neighbours(lines), "_a", "left").filter("_k > 1 or _near is not null")
     else:
         verdict = verdict.filter("_k > 1").withColumn("_near", F.lit(None).cast("struct<_doc:long,_pos:int,_hash:long>"))
+    verdict = cut(verdict)
     by = F.least("_first", "_near")
-    out = lines.select("_doc", "_hash", "_pos", "_a", "_b").join(verdict, ["_a", "_b"])
+    out = lines.select("_doc", "_hash", "_pos", "_a", "_b").join(verdict, "_a").filter(F.col("_b") == F.col("_same"))
     return out.filter(by < at).select("_doc", "_hash", "_pos", (F.col("_first") == at).alias("_near"), by.alias("_by"))
 
 
