@@ -25,6 +25,8 @@ GATHER = 1_000_000
 BROADCAST_IDS = 200_000
 #: Sets of a group compared with one other at one time.
 STRIP = 4096
+#: Rounds in which each set tries its nearest partner outside its component, before all open pairs are tried.
+NEAREST_ROUNDS = 2
 #: Partition seeds a set may go through; see ``signatures``.
 SEEDS = 6
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -140,8 +142,48 @@ def apart(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def possible(n: int, m: int, a: bytes, b: bytes, percent: int) -> bool:
-    return 100 * min(n, m) >= percent * max(n, m) and apart(a, b) * (100 + percent) <= (n + m) * (100 - percent)
+def distance(n: int, m: int, a: bytes, b: bytes, percent: int) -> float | None:
+    """Share of elements proven to differ, or None if size or sketch rules the pair out."""
+    if 100 * min(n, m) < percent * max(n, m):
+        return None
+    d = apart(a, b)
+    return d / (n + m) if d * (100 + percent) <= (n + m) * (100 - percent) else None
+
+
+def across_group(e: np.ndarray, root: np.ndarray, n: np.ndarray, marks: list[bytes], percent: int, best: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a group (in order of size) across components that size and sketch allow, without
+    its smallest set, and how far apart their sketches are; ``best``: for each set only the nearest."""
+    hub = e.min()
+    words = [np.frombuffer(x, np.uint64) for x in marks]
+    short = min(map(len, words))
+    bits = np.stack([x if len(x) == short else np.bitwise_xor.reduce(x.reshape(-1, short), axis=0) for x in words])
+    out, far = [np.zeros((0, 2), np.int64)], [np.zeros(0)]
+    near, partner = np.full(len(e), np.inf), np.zeros(len(e), np.int64)
+    for i in range(len(e) - 1):
+        if e[i] == hub:
+            continue
+        # by size: only later ones within the size ratio
+        top = int(np.searchsorted(n, n[i] * 100 // percent, side="right"))
+        for lo in range(i + 1, top, STRIP):
+            q = np.arange(lo, min(lo + STRIP, top))
+            q = q[(root[q] != root[i]) & (e[q] != hub)]
+            d = np.bitwise_count(bits[q] ^ bits[i]).sum(axis=1, dtype=np.int64) / (n[q] + n[i])
+            q, d = q[d * (100 + percent) <= 100 - percent + 1e-9], d[d * (100 + percent) <= 100 - percent + 1e-9]
+            if not len(q):
+                continue
+            if best:
+                closer = d < near[q]
+                near[q[closer]], partner[q[closer]] = d[closer], i
+                k = int(d.argmin())
+                if d[k] < near[i]:
+                    near[i], partner[i] = d[k], q[k]
+            else:
+                out.append(np.stack([np.minimum(e[q], e[i]), np.maximum(e[q], e[i])], axis=1))
+                far.append(d)
+    if best:
+        has = np.flatnonzero(np.isfinite(near))
+        return np.stack([e[partner[has]], e[has]], axis=1), near[has]
+    return np.concatenate(out), np.concatenate(far)
 
 
 # ---- Spark -------------------------------------------------------------------------------
@@ -160,7 +202,7 @@ def facts(rows: DataFrame, text: str) -> DataFrame:
 
 
 def groups_of(rows: DataFrame, text: str, percent: int) -> DataFrame:
-    """_g, _members: sets (packed hashes) that share a signature, at least two.
+    """_members: sets (packed hashes, sorted) that share a signature, at least two.
 
     Signatures travel in packs, one per batch of documents and bucket of signatures, in which
     equal sets stand once. A pack is sorted and laid out by byte, so it compresses.
@@ -219,9 +261,9 @@ def groups_of(rows: DataFrame, text: str, percent: int) -> DataFrame:
         end = np.r_[start[1:], len(h)]
         keep = end - start > 1
         data = [e[lo:hi].tobytes() for lo, hi in zip(start[keep], end[keep], strict=True)]
-        return pa.table({"_g": pa.array(h[start[keep]].view(np.int64)), "_members": pa.array(data, pa.binary())})
+        return pa.table({"_members": pa.array(data, pa.binary())})
 
-    return rows.select(text).mapInArrow(emit, "_bucket int, _pack binary").groupBy("_bucket").applyInArrow(gather, "_g long, _members binary")
+    return rows.select(text).mapInArrow(emit, "_bucket int, _pack binary").groupBy("_bucket").applyInArrow(gather, "_members binary")
 
 
 def chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -273,15 +315,17 @@ def near_sets(docs: DataFrame, percent: int = 75, key: str = "doc_id", text: str
 
     Equal sets are one set from the start. In a group of sets that share a signature each set
     is first held against the group's smallest; of those that can reach the threshold by
-    size and sketch, one per set is verified exactly, and components are formed. Then only
-    groups that still hold more than one component are looked at again: their pairs across
-    components, less those that size and sketch rule out, are verified. So every pair that
+    size and sketch, each set's nearest is verified exactly, and components are formed. Then
+    only groups that still hold more than one component are looked at again: first each set's
+    nearest partner in another component, at last all pairs across components, less those
+    that size and sketch rule out, are verified. So every pair that
     can be a link is verified or already joined, and no group's pairs are all listed.
     """
     rows = docs.select(last_id(key).alias("_doc"), F.col(text).cast("string").alias(text))
     every = cut(facts(rows, text))
     reps = cut(every.filter(F.col("_e").isNotNull()).groupBy("_e").agg(F.min("_doc").alias("_doc")))
-    groups = cut(groups_of(rows, text, percent))
+    # many signatures have the same members
+    groups = cut(groups_of(rows, text, percent).distinct())
 
     def star(batches):
         for b in batches:
@@ -298,13 +342,21 @@ def near_sets(docs: DataFrame, percent: int = 75, key: str = "doc_id", text: str
     def rule_out(batches):
         for b in batches:
             c = {k: b.column(k).to_pylist() for k in ("n", "m", "x", "y")}
-            keep = [possible(*v, percent) for v in zip(c["n"], c["m"], c["x"], c["y"], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(keep, pa.bool_())), b.column("b").filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
+            d = pa.array([distance(*v, percent) for v in zip(c["n"], c["m"], c["x"], c["y"], strict=True)], pa.float64())
+            keep = d.is_valid()
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep), d.filter(keep)], names=["a", "b", "d"])
 
     one = marks.select(F.col("_e").alias("a"), F.col("_n").alias("n"), F.col("_s").alias("x"))
     two = marks.select(F.col("_e").alias("b"), F.col("_n").alias("m"), F.col("_s").alias("y"))
-    able = spokes.join(one, "a").join(two, "b").mapInArrow(rule_out, "a long, b long")
-    links = verified(cut(able.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")), rows, reps, text, percent)
+    able = cut(spokes.join(one, "a").join(two, "b").mapInArrow(rule_out, "a long, b long, d double"))
+
+    def nearest_of(pairs: DataFrame) -> DataFrame:
+        """Each b's nearest a, as pairs a < b."""
+        one = pairs.groupBy("b").agg(F.min(F.struct("d", "a"))["a"].alias("a"))
+        return one.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    tried = cut(nearest_of(able))
+    links = verified(tried, rows, reps, text, percent)
     roots = roots_of(links)
 
     def spread(batches):
@@ -313,35 +365,43 @@ def near_sets(docs: DataFrame, percent: int = 75, key: str = "doc_id", text: str
             g = np.repeat(b.column("_g").to_numpy(), [len(x) for x in m])
             yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(np.concatenate(m) if m else np.zeros(0, np.int64))], names=["_g", "_e"])
 
-    members = groups.mapInArrow(spread, "_g long, _e long").join(roots, "_e", "left").withColumn("_root", F.coalesce("_root", "_e"))
-    members = cut(members)
-    open_ = members.groupBy("_g").agg(F.min("_root").alias("lo"), F.max("_root").alias("hi")).filter("lo <> hi").select("_g")
-    left = members.join(open_, "_g", "left_semi").join(marks, "_e")
-
-    def across(key, t):
-        e, r, n = (t.column(c).to_numpy() for c in ("_e", "_root", "_n"))
-        s = t.column("_s").to_pylist()
-        order = np.lexsort((e, n))
-        e, r, n, s = e[order], r[order], n[order], [np.frombuffer(s[i], np.uint64) for i in order]
-        short = min(map(len, s), default=1)
-        bits = np.stack([np.bitwise_xor.reduce(x.reshape(-1, short), axis=0) for x in s])
-        out = []
-        for i in range(len(e)):
-            # by size: only later ones within the size ratio
-            top = int(np.searchsorted(n, n[i] * 100 // percent, side="right"))
-            for lo in range(i + 1, top, STRIP):
-                q = np.arange(lo, min(lo + STRIP, top))
-                q = q[r[q] != r[i]]
-                differ = np.bitwise_count(bits[q] ^ bits[i]).sum(axis=1, dtype=np.int64)
-                q = q[differ * (100 + percent) <= (n[q] + n[i]) * (100 - percent)]
-                out.append(np.stack([np.minimum(e[q], e[i]), np.maximum(e[q], e[i])], axis=1))
-        pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
-
-    rest = cut(left.select("_g", "_e", "_root", "_n", "_s").groupBy("_g").applyInArrow(across, "a long, b long").distinct())
-    more = verified(rest, rows, reps, text, percent)
-    if not more.isEmpty():
-        roots = roots_of(links.unionByName(more))
+    # pairs with a group's smallest are in ``able``; groups of three and more have others
+    large = groups.filter(F.octet_length("_members") >= 24).select(F.xxhash64("_members").alias("_g"), "_members")
+    members = large.mapInArrow(spread, "_g long, _e long")
+    some = F.pmod("_g", F.lit(4 * partitions(docs.sparkSession)))
+
+    def open_pairs(roots: DataFrame, best: bool) -> DataFrame:
+        """Pairs (a, b, d) across components: with a group's smallest, and among the others of groups that hold several components."""
+
+        def across(key, t):
+            g, e, r, n = (t.column(c).to_numpy() for c in ("_g", "_e", "_root", "_n"))
+            s = t.column("_s").to_pylist()
+            order = np.lexsort((e, n, g))
+            bound = np.flatnonzero(np.r_[True, np.diff(g[order]) != 0, True])
+            got = [across_group(*[v[order[lo:hi]] for v in (e, r, n)], [s[i] for i in order[lo:hi]], percent, best) for lo, hi in zip(bound[:-1], bound[1:], strict=True)]
+            pairs, far = (np.concatenate(c) for c in zip(*got, strict=True))
+            pairs, first = np.unique(pairs, axis=0, return_index=True)
+            return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1]), "d": pa.array(far[first])})
+
+        held = members.join(roots, "_e", "left").withColumn("_root", F.coalesce("_root", "_e"))
+        open_ = held.groupBy("_g").agg(F.min("_root").alias("lo"), F.max("_root").alias("hi")).filter("lo <> hi").select("_g")
+        held = held.join(open_, "_g", "left_semi").join(marks, "_e").select(some.alias("_some"), "_g", "_e", "_root", "_n", "_s")
+        inner = held.groupBy("_some").applyInArrow(across, "a long, b long, d double")
+        ra, rb = roots.select(F.col("_e").alias("a"), F.col("_root").alias("ra")), roots.select(F.col("_e").alias("b"), F.col("_root").alias("rb"))
+        outer = able.join(ra, "a", "left").join(rb, "b", "left").filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b", "d")
+        return inner.unionByName(outer)
+
+    # Nearest partners first: what they join need not be listed. Then whatever is still open.
+    for best in (*[True] * NEAREST_ROUNDS, False):
+        now = open_pairs(roots, best)
+        now = cut((nearest_of(now) if best else now.select("a", "b").distinct()).join(tried, ["a", "b"], "left_anti"))
+        if now.isEmpty():
+            continue
+        more = verified(now, rows, reps, text, percent)
+        tried = tried.unionByName(now)
+        if not more.isEmpty():
+            links = cut(links.unionByName(more))
+            roots = roots_of(links)
     return every.join(roots, "_e", "left").withColumn("_root", F.coalesce("_root", "_e"))
 
 

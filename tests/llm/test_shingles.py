@@ -62,7 +62,7 @@ def test_signatures_share_for_every_close_pair():
             both = len(np.intersect1d(a, b))
             if len(b) and 100 * both >= percent * (len(a) + len(b) - both):
                 assert len(np.intersect1d(shingles.signatures(a, percent), shingles.signatures(b, percent))), (len(a), len(b), both)
-                assert shingles.possible(len(a), len(b), shingles.sketch(a), shingles.sketch(b), percent)
+                assert shingles.distance(len(a), len(b), shingles.sketch(a), shingles.sketch(b), percent) is not None
 
 
 def test_representatives(spark):
