@@ -1,4 +1,4 @@
-"""Line dedup within an edit distance of one, by a deletion-neighbourhood join.
+"""Line dedup within an edit bound, by a join of deletion neighbourhoods (bound 1) or of pieces (from 2).
 
 Only DataFrame functions. Equal lines are first made one row. Two lines at distance one agree
 when one character is deleted at the right place; hashes of such variants are joined. So that
@@ -6,6 +6,10 @@ not every line emits a variant for each of its characters, two filters that lose
 first: halves (one half of the two lines must be equal, by hash) and blocks (everything around one
 block of 32 characters must be equal); only characters of blocks whose surroundings occur in
 several lines are deleted.
+
+For a bound k of two or more a line is cut into k + 1 pieces; of two lines within k edits one
+piece of the shorter stands in the longer at a bounded shift. Lines that share such a piece are
+compared with ``levenshtein``; a piece that m lines share costs up to m x m / 2 comparisons.
 """
 
 from __future__ import annotations
@@ -16,6 +20,8 @@ from pyspark.sql import functions as F
 from spanwise.llm.common import cut, last_id
 
 BLOCK = 32
+#: Bound of the query and the pipeline: two edits, three from 400 characters, four from 800.
+NEAR = {"edits": 2, "per": 400, "most": 4}
 #: Hashes of lines up to this many are broadcast.
 BROADCAST_LINES = 1_000_000
 
@@ -53,14 +59,40 @@ def tail(s: Column, n: Column) -> Column:
     return F.when(n > 0, F.substring(s, F.length(s) - n + 1, n)).otherwise("")
 
 
-def candidates(lines: DataFrame) -> DataFrame:
-    """_a, _first, _line of lines that share a half with a different line.
+def bound(n: Column, edits: int, per: int, most: int) -> Column:
+    """Edits by which two lines may differ, the shorter one having n characters."""
+    return F.least(F.lit(most), F.lit(edits) + F.floor(n / per)).cast("int") if per else F.lit(edits)
+
+
+def pieces(line: Column, n: Column, edits: int, per: int, most: int) -> Column:
+    """struct(key, own): hashes of the pieces of a line (own), and of what stands in it where a piece
+    of a line d characters shorter may be found.
 
-    Only hashes of halves are compared; the text of the few lines that are left is then
+    With t edits, piece i of 0..t is shifted by at most i (edits before it) and by d give or take
+    t - i (edits behind it): some equal piece lies within both (Pass-Join's multi-match selection).
+    """
+    places = [
+        (t, d, i, by)
+        for t in range(edits, most + 1)
+        for d in range(t + 1)
+        for i in range(t + 1)
+        for by in range(max(-i, d - (t - i)), min(i, d + (t - i)) + 1)
+    ]
+    every = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip("tdib", p, strict=True)]) for p in places])
+    mine = F.filter(every, lambda x: (n > x["d"]) & (bound(n - x["d"], edits, per, most) == x["t"]))
+    begin = lambda x, i: F.floor((n - x["d"]) * i / (x["t"] + 1)).cast("int")
+    part = lambda x: F.substring(line, begin(x, x["i"]) + x["b"] + 1, begin(x, x["i"] + 1) - begin(x, x["i"]))
+    return F.array_distinct(F.transform(mine, lambda x: F.struct(F.xxhash64(n - x["d"], x["i"], part(x)).alias("key"), ((x["d"] == 0) & (x["b"] == 0)).alias("own"))))
+
+
+def candidates(lines: DataFrame, hashes: Column) -> DataFrame:
+    """_a, _first, _line of lines that share a hash with a different line.
+
+    Only ``hashes`` (of halves or pieces) are compared; the text of the few lines that are left is then
     gathered, one row per distinct line. The list of these is broadcast if its counted rows
     are at most BROADCAST_LINES; beyond that the lines are dealt by hash to meet it.
     """
-    keys = lines.select("_a", F.explode(halves(F.col("_line"), F.length("_line"))).alias("_key"))
+    keys = lines.select("_a", F.explode(hashes).alias("_key"))
     several = keys.groupBy("_key").agg(F.min("_a").alias("lo"), F.max("_a").alias("hi")).filter("lo <> hi").select("_key")
     hot = cut(keys.join(several, "_key", "left_semi").select("_a").distinct())
     hot = F.broadcast(hot) if hot.count() <= BROADCAST_LINES else hot
@@ -73,7 +105,7 @@ def earlier_neighbours(lines: DataFrame) -> DataFrame:
     one, where that is earlier than the line's own."""
     line, n = F.col("_line"), F.length("_line")
     frame = F.col("_n")
-    near = candidates(lines).withColumn("_n", F.explode(roles(n))).filter("_n > 0")
+    near = candidates(lines, halves(line, n)).withColumn("_n", F.explode(roles(n))).filter("_n > 0")
 
     # blocks
     block = F.col("_block")
@@ -106,23 +138,42 @@ def earlier_neighbours(lines: DataFrame) -> DataFrame:
     return found.groupBy("_a").agg(F.min("_other._first").alias("_near"))
 
 
-def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 20, edits: int = 1) -> DataFrame:
+def earlier_within(lines: DataFrame, edits: int, per: int, most: int) -> DataFrame:
+    """As ``earlier_neighbours`` for a bound of two edits and more."""
+    own = pieces(F.col("_line"), F.length("_line"), edits, per, most)
+    near = candidates(lines, F.array_distinct(F.transform(own, lambda x: x["key"])))
+    rows = near.select("_a", "_first", "_line", F.explode(own).alias("_p")).select("_a", "_first", "_line", "_p.key", "_p.own")
+    several = rows.groupBy("key").agg(F.min("_a").alias("lo"), F.max("_a").alias("hi"), F.bool_or("own").alias("any")).filter("any and lo <> hi").select("key")
+    rows = cut(rows.join(several, "key", "left_semi"))
+    short = rows.filter("own").select("key", *[F.col(c).alias(f"_s{c}") for c in ("_a", "_first", "_line")])
+    n = F.length("_s_line")
+    apart = F.levenshtein(F.col("_s_line"), F.col("_line"), most)
+    close = (F.col("_s_a") != F.col("_a")) & (F.length("_line") >= n) & apart.between(F.lit(1), bound(n, edits, per, most))
+    found = short.join(rows, (short["key"] == rows["key"]) & close)
+    later = F.when(F.col("_s_first") < F.col("_first"), F.col("_a")).otherwise(F.col("_s_a"))
+    return found.groupBy(later.alias("_a")).agg(F.min(F.least("_s_first", "_first")).alias("_near"))
+
+
+def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 20, edits: int = 1, per: int = 0, most: int | None = None) -> DataFrame:
     """One row per line to remove: _doc, _hash (of the text), _pos, _near (no equal line is earlier), _by (the line kept for it).
 
-    A line goes if an earlier line of the corpus, by (id, position), equals it or is at edit
-    distance one (``edits`` 0: equals it); what else is removed does not matter. Lines under
+    A line goes if an earlier line of the corpus, by (id, position), equals it or is within
+    ``edits`` edits (0: equals it); with ``per`` one edit more for each ``per`` characters of the
+    shorter line, up to ``most``. What else is removed does not matter. Lines under
     ``min_chars`` characters stay. A null id comes last; texts that share an id are ordered by
     their hash, equal rows are judged alike. The order of lines decides ties, so none is left.
     """
-    if edits not in (0, 1):
-        raise ValueError("edits is 0 or 1")
+    most = max(edits, most or 0) if per else edits
+    if edits < 0 or per < 0 or (per and (edits < 2 or most == edits)):
+        raise ValueError("edits is 0 or more; per needs edits of 2 or more and a larger most")
     lines = lines_of(docs, key, text).filter(F.length("_line") >= min_chars)
     lines = lines.select("_doc", "_hash", "_pos", F.xxhash64(F.lit(1), "_line").alias("_a"), F.xxhash64(F.lit(2), "_line").alias("_b"), "_line")
     at = F.struct("_doc", "_pos", "_hash")
     classes = lines.groupBy("_a").agg(F.min(F.struct(at.alias("at"), F.col("_b").alias("b"))).alias("m"), F.count("*").alias("_k"))
     verdict = classes.select("_a", F.col("m.b").alias("_same"), F.col("m.at").alias("_first"), "_k")
     if edits:
-        verdict = verdict.join(earlier_neighbours(lines), "_a", "left").filter("_k > 1 or _near is not null")
+        near = earlier_neighbours(lines) if edits == 1 else earlier_within(lines, edits, per, most)
+        verdict = verdict.join(near, "_a", "left").filter("_k > 1 or _near is not null")
     else:
         verdict = verdict.filter("_k > 1").withColumn("_near", F.lit(None).cast("struct<_doc:long,_pos:int,_hash:long>"))
     verdict = cut(verdict)
@@ -131,14 +182,14 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
     return out.filter(by < at).select("_doc", "_hash", "_pos", (F.col("_first") == at).alias("_near"), by.alias("_by"))
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 20, edits: int = 1, into: str = "line_dedup") -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 20, edits: int = 1, into: str = "line_dedup", per: int = 0, most: int | None = None) -> DataFrame:
     """``docs`` with ``text`` without its removed lines, and a struct(n_lines, n_removed, n_near).
 
     Removed lines are listed per document (by position) and cut out as gaps between the rest,
     in linear time. A null text stays null, with no lines; an empty text is one empty line. A
     text that loses every line becomes empty. Other columns are untouched, whatever their names.
     """
-    gone = removed_lines(docs, key, text, min_chars, edits)
+    gone = removed_lines(docs, key, text, min_chars, edits, per, most)
     gone = gone.groupBy("_doc", "_hash").agg(F.array_sort(F.collect_set("_pos")).alias("_gone"), F.count_distinct(F.when(F.col("_near"), F.col("_pos"))).alias("_near"))
     base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), last_id(key).alias("_doc"), F.xxhash64(text).alias("_hash"))
     both = base.join(gone, ["_doc", "_hash"], "left")

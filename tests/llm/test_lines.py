@@ -1,6 +1,6 @@
 import random
 
-from spanwise.llm.lines import dedup_lines
+from spanwise.llm.lines import dedup_lines, removed_lines
 
 
 def distance(a, b):
@@ -73,3 +73,40 @@ def test_repeated_rows_and_null_ids(spark):
 
 def test_no_documents(spark):
     assert dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_bounds_of_two_and_more(spark):
+    rng = random.Random(11)
+    base = ["".join(rng.choice("ab é") for _ in range(n)) for n in (1, 2, 4, 9, 20, 29, 30, 31, 59, 61, 90)]
+    docs = []
+    for i in range(60):
+        some = []
+        for _ in range(rng.randrange(1, 4)):
+            s = rng.choice(base)
+            for _ in range(rng.randrange(0, 6)):
+                s = edit(rng, s)
+            some.append(s)
+        docs.append((i, "\n".join(some)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    every = [(i, p, ln) for i, t in docs for p, ln in enumerate(t.split("\n"))]
+    for how, k in (({"edits": 2}, lambda n: 2), ({"edits": 3}, lambda n: 3), ({"edits": 2, "per": 30, "most": 4}, lambda n: min(4, 2 + n // 30))):
+        for least in (1, 20) if how == {"edits": 2} else (1,):
+            rows = [r for r in every if len(r[2]) >= least]
+            want = {}
+            for at, (i, p, ln) in enumerate(rows):
+                by = [o[:2] for o in rows[:at] if levenshtein(ln, o[2]) <= k(min(len(ln), len(o[2])))]
+                if by:
+                    want[i, p] = by[0]
+            got = removed_lines(df, min_chars=least, **how).collect()
+            assert {(r["_doc"], r["_pos"]): (r["_by"]["_doc"], r["_by"]["_pos"]) for r in got} == want
+            assert len(got) == len(want) > 20
