@@ -47,7 +47,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that an earlier line nearly equals; n_chars follows. A document that
     loses lines and has only blank ones left goes, others stay."""
     name = free_name(docs, "_lines")
-    out = lines.dedup_lines(docs, into=name, **lines.NEAR)
+    out = lines.dedup_lines(docs, into=name, **lines.NEAR, **lines.EQUAL)
     fewer = F.col(name)["n_removed"] > 0
     lost = fewer & (F.trim(F.translate("text", "\t\n\r", "   ")) == "")
     changed = F.when(fewer, F.length("text").cast("long")).otherwise(F.col("n_chars"))

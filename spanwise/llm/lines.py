@@ -22,6 +22,8 @@ from spanwise.llm.common import cut, last_id
 BLOCK = 32
 #: Bound of the query and the pipeline: two edits, three from 400 characters, four from 800.
 NEAR = {"edits": 2, "per": 400, "most": 4}
+#: Both remove equal lines of any length that are not blank.
+EQUAL = {"least": 1}
 #: Hashes of lines up to this many are broadcast.
 BROADCAST_LINES = 1_000_000
 
@@ -154,25 +156,29 @@ def earlier_within(lines: DataFrame, edits: int, per: int, most: int) -> DataFra
     return found.groupBy(later.alias("_a")).agg(F.min(F.least("_s_first", "_first")).alias("_near"))
 
 
-def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 20, edits: int = 1, per: int = 0, most: int | None = None) -> DataFrame:
+def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 20, edits: int = 1, per: int = 0, most: int | None = None, least: int | None = None) -> DataFrame:
     """One row per line to remove: _doc, _hash (of the text), _pos, _near (no equal line is earlier), _by (the line kept for it).
 
     A line goes if an earlier line of the corpus, by (id, position), equals it or is within
     ``edits`` edits (0: equals it); with ``per`` one edit more for each ``per`` characters of the
     shorter line, up to ``most``. What else is removed does not matter. Lines under
-    ``min_chars`` characters stay. A null id comes last; texts that share an id are ordered by
+    ``min_chars`` characters are not searched for near ones; they stay too, unless they have at
+    least ``least`` characters (default: ``min_chars``), are not blank and equal an earlier line. A null id comes last; texts that share an id are ordered by
     their hash, equal rows are judged alike. The order of lines decides ties, so none is left.
     """
     most = max(edits, most or 0) if per else edits
     if edits < 0 or per < 0 or (per and (edits < 2 or most == edits)):
         raise ValueError("edits is 0 or more; per needs edits of 2 or more and a larger most")
-    lines = lines_of(docs, key, text).filter(F.length("_line") >= min_chars)
+    searched = F.length("_line") >= min_chars
+    equal = (F.length("_line") >= (min_chars if least is None else least)) & F.col("_line").rlike("\\S")
+    lines = lines_of(docs, key, text).filter(searched | equal)
     lines = lines.select("_doc", "_hash", "_pos", F.xxhash64(F.lit(1), "_line").alias("_a"), F.xxhash64(F.lit(2), "_line").alias("_b"), "_line")
     at = F.struct("_doc", "_pos", "_hash")
     classes = lines.groupBy("_a").agg(F.min(F.struct(at.alias("at"), F.col("_b").alias("b"))).alias("m"), F.count("*").alias("_k"))
     verdict = classes.select("_a", F.col("m.b").alias("_same"), F.col("m.at").alias("_first"), "_k")
     if edits:
-        near = earlier_neighbours(lines) if edits == 1 else earlier_within(lines, edits, per, most)
+        long = lines.filter(searched)
+        near = earlier_neighbours(long) if edits == 1 else earlier_within(long, edits, per, most)
         verdict = verdict.join(near, "_a", "left").filter("_k > 1 or _near is not null")
     else:
         verdict = verdict.filter("_k > 1").withColumn("_near", F.lit(None).cast("struct<_doc:long,_pos:int,_hash:long>"))
@@ -182,14 +188,14 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
     return out.filter(by < at).select("_doc", "_hash", "_pos", (F.col("_first") == at).alias("_near"), by.alias("_by"))
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 20, edits: int = 1, into: str = "line_dedup", per: int = 0, most: int | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 20, edits: int = 1, into: str = "line_dedup", per: int = 0, most: int | None = None, least: int | None = None) -> DataFrame:
     """``docs`` with ``text`` without its removed lines, and a struct(n_lines, n_removed, n_near).
 
     Removed lines are listed per document (by position) and cut out as gaps between the rest,
     in linear time. A null text stays null, with no lines; an empty text is one empty line. A
     text that loses every line becomes empty. Other columns are untouched, whatever their names.
     """
-    gone = removed_lines(docs, key, text, min_chars, edits, per, most)
+    gone = removed_lines(docs, key, text, min_chars, edits, per, most, least)
     gone = gone.groupBy("_doc", "_hash").agg(F.array_sort(F.collect_set("_pos")).alias("_gone"), F.count_distinct(F.when(F.col("_near"), F.col("_pos"))).alias("_near"))
     base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), last_id(key).alias("_doc"), F.xxhash64(text).alias("_hash"))
     both = base.join(gone, ["_doc", "_hash"], "left")

@@ -90,7 +90,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: lines, lines removed, of these only near an earlier line, and a digest of what is kept."""
-    out = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), **lines.NEAR)
+    out = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), **lines.NEAR, **lines.EQUAL)
     return out.select("doc_id", "line_dedup.*", F.length("text").cast("long").alias("kept_chars"), F.md5("text").alias("kept_md5"))
 
 

@@ -1,6 +1,7 @@
 import random
 
 from spanwise.llm.lines import dedup_lines, removed_lines
+from spanwise.llm.queries import op1_line_dedup
 
 
 def distance(a, b):
@@ -110,3 +111,16 @@ def test_bounds_of_two_and_more(spark):
             got = removed_lines(df, min_chars=least, **how).collect()
             assert {(r["_doc"], r["_pos"]): (r["_by"]["_doc"], r["_by"]["_pos"]) for r in got} == want
             assert len(got) == len(want) > 20
+
+
+def test_short_lines_go_when_equal(spark):
+    docs = spark.createDataFrame([(1, "Menu\nlonger line that is kept, number 1\n\n \t"), (2, "Menu\nMenus\n\n \t"), (3, "Menu"), (4, "a" * 19 + "\n" + "a" * 18 + "b")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["text"], r["line_dedup"]["n_removed"], r["line_dedup"]["n_near"]) for r in dedup_lines(docs, edits=2, least=1).collect()}
+    assert got == {1: ("Menu\nlonger line that is kept, number 1\n\n \t", 0, 0), 2: ("Menus\n\n \t", 1, 0), 3: ("", 1, 0), 4: ("a" * 19 + "\n" + "a" * 18 + "b", 0, 0)}
+
+
+def test_query_removes_short_and_near_lines(spark, tmp_path):
+    docs = [(1, "Menu\nthe quick brown fox jumps over the dog"), (2, "Menu\nthe quick brown fix jumps over the dogs"), (3, "Menu")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["n_removed"], r["n_near"], r["kept_chars"]) for r in op1_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: (0, 0, 43), 2: (2, 1, 0), 3: (1, 0, 0)}
