@@ -80,7 +80,10 @@ def pieces(line: Column, n: Column, edits: int, per: int, most: int) -> Column:
         for i in range(t + 1)
         for by in range(max(-i, d - (t - i)), min(i, d + (t - i)) + 1)
     ]
-    every = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip("tdib", p, strict=True)]) for p in places])
+    listed = lambda t: F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip("tdib", p, strict=True)]) for p in places if p[0] == t]) if t else F.slice(listed(edits), 1, 0)
+    high, low = bound(n, edits, per, most), bound(F.greatest(n - most, F.lit(0)), edits, per, most)
+    # nearly every line has one bound for all its frames
+    every = F.concat(*[F.when(F.lit(t).between(low, high), listed(t)).otherwise(listed(0)) for t in range(edits, most + 1)]) if per else listed(edits)
     mine = F.filter(every, lambda x: (n > x["d"]) & (bound(n - x["d"], edits, per, most) == x["t"]))
     begin = lambda x, i: F.floor((n - x["d"]) * i / (x["t"] + 1)).cast("int")
     part = lambda x: F.substring(line, begin(x, x["i"]) + x["b"] + 1, begin(x, x["i"] + 1) - begin(x, x["i"]))
@@ -142,9 +145,9 @@ def earlier_neighbours(lines: DataFrame) -> DataFrame:
 
 def earlier_within(lines: DataFrame, edits: int, per: int, most: int) -> DataFrame:
     """As ``earlier_neighbours`` for a bound of two edits and more."""
-    own = pieces(F.col("_line"), F.length("_line"), edits, per, most)
-    near = candidates(lines, F.array_distinct(F.transform(own, lambda x: x["key"])))
-    rows = near.select("_a", "_first", "_line", F.explode(own).alias("_p")).select("_a", "_first", "_line", "_p.key", "_p.own")
+    own = pieces(F.col("_line"), F.col("_n"), edits, per, most)  # _n: counted once a line, not once a piece
+    near = candidates(lines.withColumn("_n", F.length("_line")), F.array_distinct(F.transform(own, lambda x: x["key"])))
+    rows = near.withColumn("_n", F.length("_line")).select("_a", "_first", "_line", F.explode(own).alias("_p")).select("_a", "_first", "_line", "_p.key", "_p.own")
     several = rows.groupBy("key").agg(F.min("_a").alias("lo"), F.max("_a").alias("hi"), F.bool_or("own").alias("any")).filter("any and lo <> hi").select("key")
     rows = cut(rows.join(several, "key", "left_semi"))
     short = rows.filter("own").select("key", *[F.col(c).alias(f"_s{c}") for c in ("_a", "_first", "_line")])
