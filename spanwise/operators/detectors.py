@@ -102,7 +102,7 @@ def strikes(df: DataFrame, seq: Seq, speed: str, fps: float, pct: float = 0.85,
 # Tap detector constants.
 TAP = dict(
     smooth=3, vel_pct=0.75, peak_hand=0.88, peak_foot=0.85, height=0.42, emit=0.22, window=1.5, repeats=2, pad=4, band=0.55,
-    osc_hand=0.35, osc_foot=0.45, trap_low=0.55, trap_high=0.45, cap=12.0, norm=8.0, opp_weight=0.25, trap_scale=18.0, tuck_margin=0.02, tuck_low=0.45,
+    osc_hand=0.35, osc_foot=0.45, trap_low=0.55, trap_high=0.45, cap=12.0, norm=8.0, opp_weight=0.25, opp_gamma=12.0, trap_scale=18.0, tuck_margin=0.02, tuck_low=0.45,
 )
 
 
@@ -307,6 +307,42 @@ def opponent_columns(df: DataFrame, keys: Sequence[str], frame: str, person: str
     return j.groupBy(*keys, frame, person).agg(F.coalesce(F.max(near), F.lit(0.0)).alias("opp_near"))
 
 
+def with_opponent(df: DataFrame, seq: Seq, fps: float, pair: Sequence[str], person: str) -> DataFrame:
+    """``df`` with what the persons of one ``pair`` mean to each other, frame by frame.
+
+    ``opp_near``: closest opponent wrist to the head; ``opp_motion``: the opponent's smoothed mean
+    speed; ``opp_touch``: the own wrists' closeness to the opponent's hips; ``post_impact``: within
+    the impact window behind the end of an opponent's strike. A frame without opponent has 0 and
+    false. Persons of a pair share the frame index ``i``.
+    """
+    keys, pair = list(seq.keys), list(pair)
+    joints = (g.L_WR, g.R_WR, g.L_EL, g.R_EL, 5, 6, g.L_HIP, g.R_HIP)
+    d = _frames(
+        df, seq, 2, 2,
+        lambda w: {"_om": joint_speed(w, joints, fps, "mean"), "_sp": joint_speed(w, (g.L_WR, g.R_WR), fps)},
+        lambda w: {"_os": wn.edge_smooth_col(F.col("_om"), w, VUL["smooth"])},
+    )
+    hips, wrist = g.hips(), g.mid(g.joint(g.L_WR), g.joint(g.R_WR))
+    d = cut(d.withColumns({"_hipx": hips.x, "_hipy": hips.y, "_wrx": wrist.x, "_wry": wrist.y}))
+    near = opponent_columns(d, pair, "i", person, VUL["near_gamma"])
+    me = d.select(*pair, "i", person, "_wrx", "_wry")
+    other = d.select(*pair, "i", F.col(person).alias("_op"), "_os", "_hipx", "_hipy")
+    j = me.join(other, [*pair, "i"]).filter(F.col("_op") != F.col(person))
+    touch = F.exp(-TAP["opp_gamma"] * F.hypot(F.col("_wrx") - F.col("_hipx"), F.col("_wry") - F.col("_hipy")))
+    cues = j.groupBy(*pair, "i", person).agg(F.max("_os").alias("opp_motion"), F.max(touch).alias("opp_touch"))
+
+    who = d.select(*keys, *pair, person).distinct()
+    hits = strikes(d.select(*keys, "i", "n", F.col("_sp").alias("speed")), seq, "speed", fps).join(who, keys)
+    last = max(2, int(VUL["impact_window"] * fps))
+    hits = hits.select(*pair, F.col(person).alias("_by"), F.col("end_index").alias("_lo"), (F.col("end_index") + last).alias("_hi"))
+    hits = who.join(hits, pair).filter(F.col("_by") != F.col(person)).select(*keys, "_lo", "_hi")
+    after = points_in_intervals(d.select(*keys, "i"), hits, keys, "i", "_lo", "_hi", 64).select(*keys, "i").distinct()
+
+    out = df.join(near, [*pair, "i", person], "left").join(cues, [*pair, "i", person], "left")
+    out = out.join(after.withColumn("post_impact", F.lit(True)), [*keys, "i"], "left")
+    return cut(out.fillna(0.0, ["opp_near", "opp_motion", "opp_touch"]).fillna(False, ["post_impact"]))
+
+
 # ------------------------------------------------------------- typed signals
 
 

@@ -33,6 +33,13 @@ def frames(spark, sf):
     return dt.index_frames(d, seq)
 
 
+def pairs(spark, sf):
+    """Frames with the columns that the two persons of an embedding give each other."""
+    d, seq = frames(spark, sf)
+    d = d.withColumn("pair", F.floor(F.col("video") / 2))
+    return dt.with_opponent(d, seq, FPS, ["pair"], "p"), seq
+
+
 def _xy(k, p):
     x, y = (f"(CAST(embedding[{34 * p + 2 * k + i}] AS DOUBLE) + 0.5)" for i in (1, 2))
     return f"{x} AS x{k}, {y} AS y{k}" if 34 * p + 2 * k < 64 else f"CAST(NULL AS DOUBLE) AS x{k}, CAST(NULL AS DOUBLE) AS y{k}"
@@ -217,22 +224,22 @@ def person_strike_speed(spark, sf):
 @query("tap_detector")
 def tap_detector(spark, sf):
     """Impulse clusters; brute-force test against an array version."""
-    d, seq = frames(spark, sf)
-    return dt.taps(d, seq, FPS)
+    d, seq = pairs(spark, sf)
+    return dt.taps(d, seq, FPS, near=F.col("opp_touch"))
 
 
 @query("vulnerability_detector")
 def vulnerability_detector(spark, sf):
     """Four candidate types with vetoes; brute-force test against an array version."""
-    d, seq = frames(spark, sf)
+    d, seq = pairs(spark, sf)
     return dt.vulnerabilities(d, seq, FPS)
 
 
 @query("candidate_predictions")
 def candidate_predictions(spark, sf):
     """Both detectors in one schema, in (start, type) order."""
-    d, seq = frames(spark, sf)
-    a = dt.taps(d, seq, FPS).select("video", "event_type", "start_time", "end_time", "score")
+    d, seq = pairs(spark, sf)
+    a = dt.taps(d, seq, FPS, near=F.col("opp_touch")).select("video", "event_type", "start_time", "end_time", "score")
     b = dt.vulnerabilities(d, seq, FPS).select("video", "event_type", "start_time", "end_time", "score")
     return a.unionByName(b).orderBy("start_time", "event_type")
 

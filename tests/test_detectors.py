@@ -10,6 +10,7 @@ from spanwise.operators import detectors as dt
 from spanwise.operators import resampling as rs
 from spanwise.operators import tracking as tr
 from spanwise.operators.ordered import Seq
+from spanwise.plans import queries_poses
 
 FPS = 10.0
 T = 140
@@ -301,3 +302,27 @@ def test_resampling(spark):
     se = a.std() / np.sqrt(10)
     assert b.mean == pytest.approx(a.mean())
     assert b.ci_low == pytest.approx(a.mean() - 1.96 * se, abs=0.03) and b.ci_high == pytest.approx(a.mean() + 1.96 * se, abs=0.03)
+
+
+def test_opponent_reaches_the_queries(spark, tmp_path):
+    """Person 0 falls and lies still; person 1 strikes, then holds both wrists at the other's head."""
+    r = np.random.default_rng(3)
+    me = skeleton(1)
+    noise = r.normal(0, 0.001, me.shape)
+    noise[96:120] *= 0.1
+    me[:] = np.nanmedian(me[:28], 0) + noise
+    f = np.interp(np.arange(T), [60, 76], [1.0, 0.1])[:, None]
+    me[:, :, 1] = 0.86 + (me[:, :, 1] - 0.86) * f
+    other = np.nanmedian(skeleton(2)[:28], 0) + r.normal(0, 0.02, me.shape)
+    other[76:80, 9:11, 0] += np.array([0.3, 0.0, 0.3, 0.0])[:, None]
+    other[84:, 9:11] = me[84:, :1] + r.normal(0, 0.02, (T - 84, 2, 2))
+    rows = [(7, i, [float(x) for x in np.concatenate([me[i].reshape(-1), other[i, :15].reshape(-1)]) - 0.5]) for i in range(T)]
+    spark.createDataFrame(rows, "label int, vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    d, _ = queries_poses.pairs(spark, str(tmp_path))
+    a = d.filter("p = 0").orderBy("i").toPandas()
+    gap = np.linalg.norm(other[:, 9:11] - me[:, :1], axis=2).min(1)
+    np.testing.assert_allclose(a.opp_near, np.exp(-22 * gap), atol=1e-5)
+    gap = np.linalg.norm(me[:, 9:11].mean(1) - other[:, 11:13].mean(1), axis=1)
+    np.testing.assert_allclose(a.opp_touch, np.exp(-12 * gap), atol=1e-5)
+    got = queries_poses.vulnerability_detector(spark, str(tmp_path)).toPandas()
+    assert set(got[got.video == 14].event_type) == set(dt.KINDS.values())
