@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanwise.llm import bpe, language, lengths, lines, mixing, oracles, pii, repeats, shingles, vectors
+from spanwise.llm import bpe, language, lengths, lines, middle, mixing, oracles, pii, repeats, shingles, vectors
+from spanwise.llm.common import small_batches
 from spanwise.plans.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,4 +106,14 @@ def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    out = middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    output, form = F.col("fim.output"), F.col("fim.form")
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return out.select("doc_id", "fim.n", "fim.form", "fim.prefix_chars", "fim.middle_chars", digest(output).alias("output_sha256"), digest(middle.restored(output, form)).alias("restored_sha256"))
+
+
+SQL["op11_fill_in_middle"] = oracles.FILL_IN_MIDDLE
 SQL |= {"op8_jaccard_join": oracles.NEAR_DOCUMENTS, "op9_embedding_near_dedup": oracles.NEAR_VECTORS}
