@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanwise.llm import bpe, language, lengths, lines, middle, mixing, oracles, pii, repeats, shingles, vectors
+from spanwise.llm import bpe, credentials, language, lengths, lines, middle, mixing, oracles, pii, repeats, shingles, vectors
 from spanwise.llm.common import small_batches
 from spanwise.plans.session import table
 
@@ -115,5 +115,17 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "fim.n", "fim.form", "fim.prefix_chars", "fim.middle_chars", digest(output).alias("output_sha256"), digest(middle.restored(output, form)).alias("restored_sha256"))
 
 
+@query
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned from a sample of the documents; all are scanned."""
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = credentials.find_secrets(docs, credentials.fit(docs))
+    every, tagged = F.col("secrets"), credentials.KINDS.index("tagged")
+    base = F.filter(every, lambda s: s["kind"] != tagged)
+    count = lambda k: F.size(F.filter(every, lambda s: s["kind"] == k)).cast("long")
+    return out.select("doc_id", *[count(k).alias(f"n_{name}") for k, name in enumerate(credentials.KINDS)], F.sha2(credentials.listing(base).cast("binary"), 256).alias("base_sha256"), credentials.listing(every).alias("spans"))
+
+
 SQL["op11_fill_in_middle"] = oracles.FILL_IN_MIDDLE
 SQL |= {"op8_jaccard_join": oracles.NEAR_DOCUMENTS, "op9_embedding_near_dedup": oracles.NEAR_VECTORS}
