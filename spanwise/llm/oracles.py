@@ -32,3 +32,31 @@ f AS (SELECT *, least(c1, c2) AS a, greatest(c1, c2) AS b, CASE WHEN t = '' OR c
 p AS (SELECT *, substring(t, 1, a) AS pre, substring(t, a + 1, b - a) AS mid, substring(t, b + 1) AS suf FROM f)
 SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
 sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
+
+def manifest(levels: int = 9, over: int = 4) -> str:
+    """Hash trees with up to 8^levels leaves each and 8^over trees; a level whose tree has one node passes it on."""
+    fields = ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)")
+    said = lambda f: f"coalesce(CAST(octet_length(encode({f})) AS VARCHAR) || ':' || {f}, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(said(f) for f in (*fields, text)) + ")"
+    shift = "list_reduce(list_prepend(xor({c}, {b}), range(8)), lambda x, _: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))"
+    crc = f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), [CAST(ascii(x) AS BIGINT) FOR x IN string_split(CAST(doc_id AS VARCHAR), '')]), lambda c, b: {shift.format(c='c', b='b')}), 4294967295)"
+    text = f"CASE WHEN {crc} % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END"
+    steps = [
+        f"""WITH d AS (SELECT doc_id, lang, {leaf('text')} AS leaf, {leaf(text)} AS seen FROM documents),
+g0 AS (SELECT coalesce('+' || lang, '') AS g, doc_id, leaf, seen, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM d),
+a0 AS (SELECT g, i, leaf AS h, n FROM g0),
+t0 AS (SELECT g, i, doc_id, leaf, seen AS f, '' AS pr FROM g0)"""
+    ]
+
+    def climb(nodes: str, rows: str, count: int) -> None:
+        for k in range(count):
+            steps.append(f"""{nodes}p{k} AS (SELECT g, i, n, coalesce(string_agg(h, '') OVER (PARTITION BY g, i // 8 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS b, coalesce(string_agg(h, '') OVER (PARTITION BY g, i // 8 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS a FROM {nodes}{k}),
+{nodes}{k + 1} AS (SELECT g, i // 8 AS i, CASE WHEN max(n) = 1 THEN max(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h, CAST(ceil(max(n) / 8.0) AS BIGINT) AS n FROM {nodes}{k} GROUP BY g, i // 8),
+{rows}{k + 1} AS (SELECT g, i // 8 AS i, {rows}{k}.* EXCLUDE (g, i, f, pr), CASE WHEN n = 1 THEN f ELSE sha256(b || f || a) END AS f, pr || b || a AS pr FROM {rows}{k} JOIN {nodes}p{k} USING (g, i))""")
+
+    climb("a", "t", levels)
+    steps.append(f"""b0 AS (SELECT 0 AS g, row_number() OVER (ORDER BY g) - 1 AS i, h, count(*) OVER () AS n, g AS tree FROM a{levels}),
+u0 AS (SELECT 0 AS g, b0.i, doc_id, leaf, b0.h AS subroot, f, pr FROM t{levels} t JOIN b0 ON t.g = b0.tree)""")
+    climb("b", "u", over)
+    return ",\n".join(steps) + f"\nSELECT doc_id, leaf, subroot, h AS root, sha256(pr) AS proof_sha256, f AS folded_root, f = h AS verified FROM u{over} JOIN b{over} USING (g, i)"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanwise.llm import bpe, credentials, language, lengths, lines, middle, mixing, oracles, pii, repeats, shingles, vectors
+from spanwise.llm import bpe, credentials, language, lengths, lines, merkle, middle, mixing, oracles, pii, repeats, shingles, vectors
 from spanwise.llm.common import small_batches
 from spanwise.plans.session import table
 
@@ -115,6 +115,23 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "fim.n", "fim.form", "fim.prefix_chars", "fim.middle_chars", digest(output).alias("output_sha256"), digest(middle.restored(output, form)).alias("restored_sha256"))
 
 
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third row (by hash of its id) is then tampered with: its text is lower-cased."""
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    docs = table(spark, sf_dir, "documents").select(*fields)
+    number = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    text = F.when(F.crc32(number) % 3 == 0, lowered).otherwise(F.col("text"))
+    seen = merkle.leaf_hash([*[F.col(f) for f in fields[:-1]], text])
+    out = merkle.manifest(docs.withColumn("seen", seen), fields, carry=["seen"])
+    out = out.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("proof")).cast("binary"), 256).alias("proof_sha256"), merkle.folded(F.col("seen"), F.col("proof")).alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+SQL["op12_merkle_manifest"] = oracles.manifest()
+
+
 @query
 def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learned from a sample of the documents; all are scanned."""
