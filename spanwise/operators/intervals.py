@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import pyarrow as pa
@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from spanwise.functions.scalar import dilate, norm_label, temporal_iou
 from spanwise.operators.chain import cut, jump_chain
-from spanwise.operators.ordered import START, Scan, Seq, core, exact_percentile, framed, range_buckets, runs, scan
+from spanwise.operators.ordered import START, Scan, Seq, balance, core, exact_percentile, framed, range_buckets, runs, scan
 from spanwise.plans.config import EventConfig
 
 # ------------------------------------------------------------- runs and events
@@ -347,8 +347,8 @@ def candidate_pairs(
     return j.filter((F.col("iou_d") > 0) & (F.col("iou_d") >= threshold)).drop("_r0", "_r1", "_p0", "_p1")
 
 
-#: Time blocks of a matching pass, in widths of the interval join.
-BLOCKS = 64
+#: Pairs of one island that are decided in one pass, in order, by one task.
+ISLAND = 1_000_000
 
 
 def _decide(t: pa.Table, order: Sequence[str], keep: Sequence[str]) -> pa.Table:
@@ -377,33 +377,88 @@ def _decide(t: pa.Table, order: Sequence[str], keep: Sequence[str]) -> pa.Table:
     return t.filter(pc.not_equal(t.column("_state"), 2))
 
 
-def sorted_greedy(pairs: DataFrame, keys: Sequence[str], order: Sequence[Column], at: str, width: float) -> DataFrame:
+def _in_order(batches: Iterator[pa.RecordBatch], group: Sequence[str], keep: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sides are both free when they come; ``group`` columns tell islands apart.
+
+    Rows are sorted by group, then rank, so only the used sides of one island are remembered.
+    """
+    now, used_r, used_p = None, set(), set()
+    for b in batches:
+        hit = []
+        lists = [b.column(c).to_pylist() for c in (*group, "ref_id", "pred_id")]
+        for i, (*where, r, p) in enumerate(zip(*lists, strict=True)):
+            if where != now:
+                now, used_r, used_p = where, set(), set()
+            if r not in used_r and p not in used_p:
+                used_r.add(r)
+                used_p.add(p)
+                hit.append(i)
+        yield b.take(pa.array(hit, pa.int64())).select(list(keep))
+
+
+def sorted_greedy(pairs: DataFrame, keys: Sequence[str], order: Sequence[Column], limit: int = ISLAND) -> DataFrame:
     """One-to-one selection: pairs in ``order`` (a total order), each taken if both its sides are free.
 
-    A pass decides in each (key, time block) everything that depends on that block alone, and
-    takes pairs that are first for both their sides. What hangs on a neighbouring block waits
-    for the next pass, whose blocks are shifted by half. So the number of passes follows the
-    number of blocks that a chain of dependent pairs crosses, not its length. Only pairs still
-    open move on, and each pass is checkpointed once.
+    Pairs that share a side overlap in time, so a key falls apart into islands: stretches that no
+    pair's hull crosses. They are found by one running maximum, each is decided in one pass in
+    order, and islands are dealt over tasks in packs. An island of more than ``limit`` pairs
+    is decided in blocks of ``limit`` instead (see ``_in_blocks``).
     """
     keys, cols = list(keys), pairs.columns
     names = [f"_o{i}" for i in range(len(order))]
-    rest = cut(pairs.withColumns(dict(zip(names, order, strict=True))))
-    out = T.StructType([*[f for f in rest.schema.fields if f.name in {*cols, *names}], T.StructField("_state", T.IntegerType())])
+    sides = [F.col(f"{s}_{e}").cast("double") for s in ("ref", "pred") for e in ("start", "end")]
+    hull = {"_lo": F.least(*sides), "_hi": F.greatest(*sides)}
+    ranked = cut(pairs.withColumns({**dict(zip(names, order, strict=True)), **hull}))
+    d, seq = balance(ranked, Seq(tuple(keys), ("_lo", *names), 1.0), limit)
+    d = scan(d, seq, index="_i", _reach=Scan("max", F.col("_hi"), exclusive=True))
+    opens = F.col("_reach").isNull() | (F.col("_lo") > F.col("_reach"))
+    d = scan(d, seq, _island=Scan("max", F.when(opens, F.col("_i"))))
+    small = [*cols, *names, "_i", "_island", "_lo"]
+    d = cut(d.select(*small))
+    large = d.groupBy(*keys, "_island").agg(F.count("*").alias("_n")).filter(F.col("_n") > limit).drop("_n")
+    large = cut(large)
+    hot = not large.isEmpty()
+    rest = d.join(large, [*keys, "_island"], "left_anti").select(*small) if hot else d
+    pack = F.floor(F.col("_island") / limit)
+    group = [*keys, "_island"]
+    dealt = rest.repartition(*keys, pack).sortWithinPartitions(*group, *names)
+    out = dealt.mapInArrow(lambda it: _in_order(it, group, cols), pairs.schema)
+    if hot:
+        out = out.unionByName(_in_blocks(d.join(large, group, "left_semi").select(*cols, *names, "_lo"), cols, keys, names, limit))
+    return cut(out)
+
+
+def _in_blocks(rest: DataFrame, cols: Sequence[str], keys: Sequence[str], names: Sequence[str], limit: int) -> DataFrame:
+    """Greedy selection in passes over blocks of at most ``limit`` pairs, counted in time order.
+
+    A pass decides in each block everything that depends on that block alone, and takes pairs
+    that are first for both their sides; open pairs of a side taken in any block then go. What
+    hangs on a neighbouring block waits for the next pass, whose blocks are counted anew among
+    the pairs left and begin half a block earlier. So the number of passes follows the number of blocks
+    that a chain of dependent pairs crosses, not its length. Each pass is checkpointed.
+    """
+    held = [*cols, *names, "_lo"]
+    out = T.StructType([*[f for f in rest.schema.fields if f.name in held], T.StructField("_state", T.IntegerType())])
     kept = out.names[:-1]
     decide = lambda t: _decide(t, names, kept)
-    span, taken, turn = BLOCKS * width, [], 0
+    taken, turn = [], 0
+    rank = F.struct(*names)
     while not rest.isEmpty():
-        b = rest.withColumn("_blk", F.floor((F.col(at) + turn % 2 * span / 2) / span).cast("long"))
-        rank = F.struct(*names)
+        d, seq = balance(rest, Seq(tuple(keys), ("_lo", *names), 1.0), limit)
+        b = scan(d, seq, index="_i").withColumn("_blk", F.floor((F.col("_i") + turn % 2 * (limit // 2)) / limit).cast("long"))
+        b = cut(b.select(*held, "_blk"))
         for side in ("ref_id", "pred_id"):
             own = b.groupBy(*keys, side).agg((F.min("_blk") != F.max("_blk")).alias(f"_a_{side}"), F.min(rank).alias(f"_f_{side}"))
             b = b.join(own, [*keys, side])
         first = (F.col("_f_ref_id") == rank) & (F.col("_f_pred_id") == rank)
-        b = b.select(*cols, *names, "_blk", (F.col("_a_ref_id") | F.col("_a_pred_id")).alias("_abroad"), first.alias("_first"))
+        b = b.select(*held, "_blk", (F.col("_a_ref_id") | F.col("_a_pred_id")).alias("_abroad"), first.alias("_first"))
         done = cut(b.groupBy(*keys, "_blk").applyInArrow(decide, out))
-        taken.append(done.filter("_state = 1").select(*cols))
+        hit = done.filter("_state = 1").select(*cols)
+        taken.append(hit)
         rest = done.filter("_state = 0").drop("_state")
+        for side in ("ref_id", "pred_id"):
+            rest = rest.join(hit.select(*keys, side), [*keys, side], "left_anti")
+        rest = cut(rest.select(*held))
         turn += 1
     return reduce(DataFrame.unionByName, taken) if taken else rest.select(*cols)
 
@@ -448,6 +503,7 @@ def greedy_match(
     threshold: float = 0.3,
     tolerance: float = 0.0,
     same_label: bool = False,
+    limit: int = ISLAND,
 ) -> DataFrame:
     """One-to-one matches by IoU descending, ties by (ref_id, pred_id).
 
@@ -463,7 +519,7 @@ def greedy_match(
         keys = [*keys, "_lab"]
     pairs = candidate_pairs(refs, preds, keys, width, threshold, tolerance)
     order = [-F.col("iou_d"), F.col("ref_id"), F.col("pred_id")]
-    m = sorted_greedy(pairs, keys, order, "ref_start", width)
+    m = sorted_greedy(pairs, keys, order, limit)
     if threshold <= 0:
         m = m.unionByName(_pair_leftovers(refs, preds, m, keys))
     return m.drop("_lab")
@@ -485,10 +541,10 @@ def _ranked(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     return scan(cutting, seq, index="_z").drop(seq.bucket)
 
 
-def best_match_per_prediction(refs: DataFrame, preds: DataFrame, keys: Sequence[str], width: float) -> DataFrame:
+def best_match_per_prediction(refs: DataFrame, preds: DataFrame, keys: Sequence[str], width: float, limit: int = ISLAND) -> DataFrame:
     """Predictions in id order take the best unused reference with IoU > 0."""
     pairs = candidate_pairs(refs, preds, keys, width, 0.0)
-    m = sorted_greedy(pairs, keys, [F.col("pred_id"), -F.col("iou"), F.col("ref_id")], "ref_start", width)
+    m = sorted_greedy(pairs, keys, [F.col("pred_id"), -F.col("iou"), F.col("ref_id")], limit)
     return preds.join(m.select(*keys, "pred_id", "ref_id", "iou"), [*keys, "pred_id"], "left").withColumn(
         "iou", F.coalesce("iou", F.lit(0.0))
     )

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanwise.functions.scalar import f_beta, namespace, rank_of, safe_div
-from spanwise.operators.intervals import greedy_match, label_outcome, overlaps_any
+from spanwise.operators.intervals import candidate_pairs, greedy_match, label_outcome, overlaps_any, sorted_greedy
 
 
 def prf(tp: Column, fp: Column, fn: Column, beta: float | None = None) -> list[Column]:
@@ -94,13 +94,26 @@ def contribution_share(per_video: DataFrame, video: str) -> DataFrame:
 def sensitivity_grid(
     refs: DataFrame, preds: DataFrame, keys: Sequence[str], width: float, cells: Sequence[tuple[float, float]]
 ) -> DataFrame:
-    """Pooled metrics for each (IoU, tolerance); one matching per cell."""
-    out = []
-    for iou, tol in cells:
-        m = greedy_match(refs, preds, keys, width, iou, tol)
-        c = event_counts(refs, preds, m, keys)
-        out.append(micro_macro(c).select(F.lit(float(iou)).alias("iou"), F.lit(float(tol)).alias("tolerance"), "tp", "fp", "fn", "micro_f1"))
-    return reduce(DataFrame.unionByName, out)
+    """Pooled metrics for each (IoU, tolerance), by one matching of all cells.
+
+    Pairs are found once for each tolerance, at its least threshold, and copied to the cells they
+    reach; cell and key then name the series.
+    """
+    cell = ["iou", "tolerance"]
+    found = []
+    for tol in sorted({t for _, t in cells}):
+        steps = F.array(*[F.lit(float(i)) for i, t in cells if t == tol])
+        least = min(i for i, t in cells if t == tol)
+        pairs = candidate_pairs(refs, preds, keys, width, least, tol).drop("iou")
+        found.append(pairs.withColumn("tolerance", F.lit(float(tol))).withColumn("iou", F.explode(F.filter(steps, lambda s: F.col("iou_d") >= s))))
+    m = sorted_greedy(reduce(DataFrame.unionByName, found), [*cell, *keys], [-F.col("iou_d"), F.col("ref_id"), F.col("pred_id")])
+    tp = m.groupBy(*cell).agg(F.count(F.lit(1)).alias("tp"))
+    grid = F.array(*[F.struct(F.lit(float(i)).alias("iou"), F.lit(float(t)).alias("tolerance")) for i, t in cells])
+    sizes = refs.select(F.lit(1).alias("_r"), F.lit(0).alias("_p")).unionByName(preds.select(F.lit(0).alias("_r"), F.lit(1).alias("_p")))
+    sizes = sizes.agg(F.sum("_r").alias("_r"), F.sum("_p").alias("_p")).select("_r", "_p", F.inline(grid))
+    tp_, r, p = (F.coalesce(c, F.lit(0)) for c in (F.col("tp"), F.col("_r"), F.col("_p")))
+    out = sizes.join(tp, cell, "left").select(*cell, tp_.alias("tp"), (p - tp_).alias("fp"), (r - tp_).alias("fn"))
+    return out.withColumn("micro_f1", safe_div(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")))
 
 
 def failure_pivot(failures: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -157,31 +157,23 @@ def impact_windows(spark, sf):
 # ------------------------------------------------- matching: order by order
 
 
-def _small_refs(spark, sf):
-    r, p = orders_refs(spark, sf), ship_preds(spark, sf)
-    return r, p
+# Greedy matching in SQL: the pairs of a customer in sorted order, one a step, with lists of the used sides.
+def _pairs_sql(name: str, cells: str, half: float, threshold: str) -> str:
+    iou = IOU
+    return f"""{name} AS (SELECT {cells}cust, ref_id, pred_id, rs AS ref_start, ps AS pred_start, re AS ref_end, pe AS pred_end, {iou} AS v FROM (SELECT r.cust, ref_id, pred_id, ref_start AS rs, pred_start AS ps, ref_end AS re, pred_end AS pe,
+ greatest(0.0, ref_start - {half}) AS ref_start, ref_end + {half} AS ref_end, greatest(0.0, pred_start - {half}) AS pred_start, pred_end + {half} AS pred_end
+ FROM refs r JOIN preds p ON r.cust = p.cust AND ref_start - {half} < pred_end + {half} AND pred_start - {half} < ref_end + {half}) WHERE {iou} > 0 AND {iou} >= {threshold})"""
 
 
-MATCH = (0.2, 4.0)
-# Greedy matching in SQL: repeatedly take the pairs that are the first choice of both sides (fixed number of rounds; the last
-# round finds nothing more on these tables).
-def _match_sql(rounds: int) -> str:
-    iou = IOU
-    out = [
-        f"""{REFS}, {PREDS}, pr0 AS (SELECT cust, ref_id, pred_id, rs AS ref_start, ps AS pred_start, re AS ref_end, pe AS pred_end, {iou} AS v FROM (SELECT r.cust, ref_id, pred_id, ref_start AS rs, pred_start AS ps, ref_end AS re, pred_end AS pe,
- greatest(0.0, ref_start - 2.0) AS ref_start, ref_end + 2.0 AS ref_end, greatest(0.0, pred_start - 2.0) AS pred_start, pred_end + 2.0 AS pred_end
- FROM refs r JOIN preds p ON r.cust = p.cust AND ref_start - 2.0 < pred_end + 2.0 AND pred_start - 2.0 < ref_end + 2.0) WHERE {iou} >= 0.2)"""
-    ]
-    for i in range(rounds):
-        out.append(
-            f"""h{i} AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cust, ref_id ORDER BY v DESC, ref_id, pred_id) AS a, row_number() OVER (PARTITION BY cust, pred_id ORDER BY v DESC, ref_id, pred_id) AS b FROM pr{i}) WHERE a = 1 AND b = 1),
-pr{i + 1} AS MATERIALIZED (SELECT * FROM pr{i} p WHERE NOT EXISTS (SELECT 1 FROM h{i} h WHERE h.cust = p.cust AND h.ref_id = p.ref_id) AND NOT EXISTS (SELECT 1 FROM h{i} h WHERE h.cust = p.cust AND h.pred_id = p.pred_id))"""
-        )
-    hits = " UNION ALL ".join(f"SELECT cust, ref_id, pred_id, ref_start, pred_start, ref_end, pred_end FROM h{i}" for i in range(rounds))
-    return ", ".join(out) + f", mt AS ({hits})"
+def _taken_sql(pairs: str, order: str = "v DESC, ref_id, pred_id", key: str = "cust") -> str:
+    free = "NOT list_contains(sg.us, sq.ref_id) AND NOT list_contains(sg.ut, sq.pred_id)"
+    return f"""sq AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS k FROM {pairs}),
+sg AS (SELECT DISTINCT {key}, CAST(0 AS BIGINT) AS k, list(ref_id)[1:0] AS us, list(pred_id)[1:0] AS ut, false AS hit FROM sq GROUP BY {key} UNION ALL
+ SELECT {', '.join(f'sq.{c.strip()}' for c in key.split(','))}, sq.k, CASE WHEN {free} THEN list_append(sg.us, sq.ref_id) ELSE sg.us END, CASE WHEN {free} THEN list_append(sg.ut, sq.pred_id) ELSE sg.ut END, {free} FROM sg JOIN sq ON {' AND '.join(f'sq.{c.strip()} = sg.{c.strip()}' for c in key.split(','))} AND sq.k = sg.k + 1),
+mt AS MATERIALIZED (SELECT sq.* FROM sq JOIN sg USING ({key}, k) WHERE hit)"""
 
 
-MSQL = _match_sql(12)
+MSQL = f"{REFS}, {PREDS}, {_pairs_sql('pr', '', 2.0, '0.2')}, {_taken_sql('pr')}"
 
 
 def _matched(spark, sf):
@@ -189,7 +181,7 @@ def _matched(spark, sf):
     return r, p, iv.greedy_match(r, p, ["cust"], B, 0.2, 4.0)
 
 
-@query("greedy_match", f"WITH {MSQL} SELECT cust, ref_id, pred_id, round(pred_start - ref_start, 6) AS onset FROM mt")
+@query("greedy_match", f"WITH RECURSIVE {MSQL} SELECT cust, ref_id, pred_id, round(pred_start - ref_start, 6) AS onset FROM mt")
 def greedy_match(spark, sf):
     _, _, m = _matched(spark, sf)
     return m.select("cust", "ref_id", "pred_id", rnd(F.col("pred_start") - F.col("ref_start"), "onset", 6))
@@ -206,7 +198,7 @@ def _per_video(spark, sf):
     return mt.event_counts(r, p, m, ["cust"])
 
 
-@query("greedy_match_metrics", f"WITH {COUNTS} SELECT cust, tp, fp, fn, round(p, 9) AS precision, round(r, 9) AS recall, round(f1, 9) AS f1, round(on_, 6) AS mean_onset FROM pv")
+@query("greedy_match_metrics", f"WITH RECURSIVE {COUNTS} SELECT cust, tp, fp, fn, round(p, 9) AS precision, round(r, 9) AS recall, round(f1, 9) AS f1, round(on_, 6) AS mean_onset FROM pv")
 def greedy_match_metrics(spark, sf):
     d = _per_video(spark, sf)
     return d.select("cust", "tp", "fp", "fn", rnd("precision"), rnd("recall"), rnd("f1"), rnd("mean_onset", d=6))
@@ -214,7 +206,7 @@ def greedy_match_metrics(spark, sf):
 
 @query(
     "micro_macro",
-    f"WITH {COUNTS}, s AS (SELECT sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, avg(p) AS mp, avg(r) AS mr, avg(f1) AS mf FROM pv) SELECT CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, round(2.0 * tp / (2 * tp + fp + fn), 9) AS micro_f1, round(mp, 9) AS macro_precision, round(mr, 9) AS macro_recall, round(mf, 9) AS macro_f1 FROM s",
+    f"WITH RECURSIVE {COUNTS}, s AS (SELECT sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, avg(p) AS mp, avg(r) AS mr, avg(f1) AS mf FROM pv) SELECT CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, round(2.0 * tp / (2 * tp + fp + fn), 9) AS micro_f1, round(mp, 9) AS macro_precision, round(mr, 9) AS macro_recall, round(mf, 9) AS macro_f1 FROM s",
 )
 def micro_macro(spark, sf):
     d = mt.micro_macro(_per_video(spark, sf))
@@ -223,7 +215,7 @@ def micro_macro(spark, sf):
 
 @query(
     "micro_macro_rollup",
-    f"WITH {COUNTS}, q AS (SELECT cust % 3 AS method, cust, tp, fp, fn FROM pv), s AS (SELECT method, cust, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM q GROUP BY ROLLUP(method, cust) HAVING method IS NOT NULL) SELECT method, cust, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, round(CASE WHEN tp > 0 THEN 2.0 * tp / (2 * tp + fp + fn) ELSE 0.0 END, 9) AS f1 FROM s",
+    f"WITH RECURSIVE {COUNTS}, q AS (SELECT cust % 3 AS method, cust, tp, fp, fn FROM pv), s AS (SELECT method, cust, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM q GROUP BY ROLLUP(method, cust) HAVING method IS NOT NULL) SELECT method, cust, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, round(CASE WHEN tp > 0 THEN 2.0 * tp / (2 * tp + fp + fn) ELSE 0.0 END, 9) AS f1 FROM s",
 )
 def micro_macro_rollup(spark, sf):
     d = _per_video(spark, sf).withColumn("method", F.col("cust") % 3)
@@ -232,7 +224,7 @@ def micro_macro_rollup(spark, sf):
 
 @query(
     "leave_one_out",
-    f"WITH {COUNTS}, q AS (SELECT cust % 10 AS video, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM pv GROUP BY 1), s AS (SELECT video AS excluded, sum(tp) OVER () - tp AS tp, sum(fp) OVER () - fp AS fp, sum(fn) OVER () - fn AS fn FROM q) SELECT excluded, CAST(tp AS BIGINT) AS tp, round(2.0 * tp / (2 * tp + fp + fn), 9) AS f1 FROM s",
+    f"WITH RECURSIVE {COUNTS}, q AS (SELECT cust % 10 AS video, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM pv GROUP BY 1), s AS (SELECT video AS excluded, sum(tp) OVER () - tp AS tp, sum(fp) OVER () - fp AS fp, sum(fn) OVER () - fn AS fn FROM q) SELECT excluded, CAST(tp AS BIGINT) AS tp, round(2.0 * tp / (2 * tp + fp + fn), 9) AS f1 FROM s",
 )
 def leave_one_out(spark, sf):
     d = _per_video(spark, sf).groupBy((F.col("cust") % 10).alias("video")).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
@@ -241,7 +233,7 @@ def leave_one_out(spark, sf):
 
 @query(
     "contribution_share",
-    f"WITH {COUNTS}, q AS (SELECT cust % 10 AS video, sum(tp) AS tp, sum(tp + fn) AS gt FROM pv GROUP BY 1) SELECT video, CAST(gt AS BIGINT) AS n_gt, CAST(tp AS BIGINT) AS tp, round(gt / sum(gt) OVER (), 9) AS share_gt, round(tp / sum(tp) OVER (), 9) AS share_tp FROM q",
+    f"WITH RECURSIVE {COUNTS}, q AS (SELECT cust % 10 AS video, sum(tp) AS tp, sum(tp + fn) AS gt FROM pv GROUP BY 1) SELECT video, CAST(gt AS BIGINT) AS n_gt, CAST(tp AS BIGINT) AS tp, round(gt / sum(gt) OVER (), 9) AS share_gt, round(tp / sum(tp) OVER (), 9) AS share_tp FROM q",
 )
 def contribution_share(spark, sf):
     d = _per_video(spark, sf).groupBy((F.col("cust") % 10).alias("video")).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
@@ -250,7 +242,7 @@ def contribution_share(spark, sf):
 
 @query(
     "failure_pivot",
-    f"""WITH {MSQL}, l AS (SELECT CASE WHEN pred_start - ref_start > 0.25 THEN 'delayed_onset' WHEN pred_start - ref_start < -0.25 THEN 'early_onset' END AS k FROM mt),
+    f"""WITH RECURSIVE {MSQL}, l AS (SELECT CASE WHEN pred_start - ref_start > 0.25 THEN 'delayed_onset' WHEN pred_start - ref_start < -0.25 THEN 'early_onset' END AS k FROM mt),
 j AS (SELECT r.cust, ref_id, pred_id FROM refs r JOIN preds p ON r.cust = p.cust AND ref_start <= pred_end AND pred_start <= ref_end)
 SELECT (SELECT count(*) FROM l WHERE k = 'delayed_onset') AS delayed_onset, (SELECT count(*) FROM l WHERE k = 'early_onset') AS early_onset,
  (SELECT count(*) FROM refs) - (SELECT count(*) FROM mt) AS false_negative, (SELECT count(*) FROM preds) - (SELECT count(*) FROM mt) AS false_positive,
@@ -261,17 +253,28 @@ def failure_pivot(spark, sf):
     return mt.failure_pivot(iv.failure_taxonomy(r, p, m, ["cust"], B), [])
 
 
-@query("sensitivity_grid")
+def _grid_sql() -> str:
+    cells = {4.0: "0.01, 0.1, 0.3, 0.5", 0.0: "0.01, 0.1, 0.3"}
+    found = ", ".join(_pairs_sql(f"pr{i}", "", tol / 2, "0.01") for i, tol in enumerate(cells))
+    every = " UNION ALL ".join(f"SELECT c.iou, CAST({tol} AS DOUBLE) AS tolerance, pr{i}.* FROM pr{i} JOIN (SELECT unnest([{steps}])::DOUBLE AS iou) c ON v >= iou" for i, (tol, steps) in enumerate(cells.items()))
+    return f"""WITH RECURSIVE {REFS}, {PREDS}, {found}, pr AS ({every}), {_taken_sql('pr', key='iou, tolerance, cust')},
+s AS (SELECT iou, tolerance, count(*) AS tp, (SELECT count(*) FROM preds) - count(*) AS fp, (SELECT count(*) FROM refs) - count(*) AS fn FROM mt GROUP BY 1, 2)
+SELECT iou, tolerance, tp, fp, fn, round(2.0 * tp / (2 * tp + fp + fn), 9) AS micro_f1 FROM s"""
+
+
+@query("sensitivity_grid", _grid_sql())
 def sensitivity_grid(spark, sf):
-    """One matching per grid cell; several iterated matchings are too long for one SQL text."""
     cells = [(0.01, 4.0), (0.1, 4.0), (0.3, 4.0), (0.5, 4.0), (0.01, 0.0), (0.1, 0.0), (0.3, 0.0)]
     d = mt.sensitivity_grid(orders_refs(spark, sf), ship_preds(spark, sf), ["cust"], B, cells)
     return d.select("iou", "tolerance", "tp", "fp", "fn", rnd("micro_f1"))
 
 
-@query("best_match_per_prediction")
+@query(
+    "best_match_per_prediction",
+    f"WITH RECURSIVE {REFS}, {PREDS}, {_pairs_sql('pr', '', 0.0, '0.0')}, {_taken_sql('pr', 'pred_id, v DESC, ref_id')} SELECT p.cust, p.pred_id, mt.ref_id, round(coalesce(mt.v, 0.0), 9) AS iou FROM preds p LEFT JOIN mt USING (cust, pred_id)",
+)
 def best_match_per_prediction(spark, sf):
-    """Predictions in order take the best unused reference (order-dependent; brute-force test)."""
+    """Predictions in order take the best unused reference."""
     m = iv.best_match_per_prediction(orders_refs(spark, sf), ship_preds(spark, sf), ["cust"], B)
     return m.select("cust", "pred_id", "ref_id", rnd("iou"))
 
@@ -301,7 +304,7 @@ c2 AS (SELECT *, coalesce(2 * p * r / nullif(p + r, 0), 0.0) AS f1, coalesce(5 *
 
 @query(
     "namespaced_metrics",
-    f"""WITH {NSQL} SELECT label, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, round(p, 9) AS precision, round(r, 9) AS recall, round(f1, 9) AS f1, round(f2, 9) AS f2 FROM c2
+    f"""WITH RECURSIVE {NSQL} SELECT label, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, round(p, 9) AS precision, round(r, 9) AS recall, round(f1, 9) AS f1, round(f2, 9) AS f2 FROM c2
 UNION ALL SELECT 'macro', NULL, NULL, NULL, round(avg(p), 9), round(avg(r), 9), round(avg(f1), 9), round(avg(f2), 9) FROM c2 WHERE label <> 'micro'""",
 )
 def namespaced_metrics(spark, sf):
@@ -311,7 +314,7 @@ def namespaced_metrics(spark, sf):
 
 @query(
     "error_records",
-    f"""WITH {NSQL}, x AS (SELECT cust, pred_id, pred_start, pred_end FROM preds ANTI JOIN mt USING (cust, pred_id)),
+    f"""WITH RECURSIVE {NSQL}, x AS (SELECT cust, pred_id, pred_start, pred_end FROM preds ANTI JOIN mt USING (cust, pred_id)),
 e AS (SELECT 'wrong_subtype' AS category FROM mm WHERE rl <> pl UNION ALL SELECT 'early_detection' FROM mm WHERE rl = pl AND pred_start < ref_start - 0.05 UNION ALL SELECT 'late_detection' FROM mm WHERE rl = pl AND pred_start > ref_start + 0.05
  UNION ALL SELECT 'missed_event' FROM refs ANTI JOIN mt USING (cust, ref_id)
  UNION ALL SELECT CASE WHEN EXISTS (SELECT 1 FROM refs r WHERE r.cust = x.cust AND r.status = 'P' AND ref_start < pred_end AND pred_start < ref_end) THEN 'false_positive_scramble'
