@@ -29,7 +29,7 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){11,18}+(?![ -]?[0-9])",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "contact": r"(?i)(?<![a-z0-9._-])[a-z0-9._-]{1,64}+ ?(?:\(at\)|\[at\]| at ) ?[a-z0-9-]{1,63}+(?: ?(?:\(dot\)|\[dot\]| dot ) ?[a-z0-9-]{1,63}+)+",
+    "contact": r"(?i)(?<![a-z0-9._-])[a-z0-9._-]{1,64}+ ?(?:\(at\)|\[at\]| at ) ?[a-z0-9-]{1,63}+(?: ?(?:\(dot\)|\[dot\]| dot ) ?[a-z0-9-]{1,63}+)++",
     "localphone": r"(?<![0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "secret": r"(?i)(?<![a-z])(?:token|secret|password|passwd|api[_-]?key)[ \t]{0,4}[=:][ \t]{0,4}[\"']?[A-Za-z0-9_+/=-]{8,256}",
@@ -43,9 +43,13 @@ POSITIVE = "mail|contact|call|phone|tel|fax|mobile|reach|card|visa|master|paymen
 NEGATIVE = "version|release|isbn|order no|invoice|part no|serial|example|section|chapter|dummy|placeholder"
 # ---- end of fixed values ----
 
+#: Entries of a block in running sums over the spans of one text.
+RUN = 256
+#: After every position.
+LONGEST = 2**31 - 1
 BEFORE = 40
 CONTEXTS = 64
-SPAN = "array<struct<start:int,end:int,what:string>>"
+SPAN = "array<struct<start:int,end:int,what:string,before:string>>"
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -53,20 +57,48 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """Running sums, maxima or minima of an array of ints, the own entry included.
+
+    Entries are folded in blocks of RUN and the blocks' last values folded in turn, so the
+    arrays that grow entry by entry stay short and the work linear.
+    """
+
+    def folded(items: Column) -> Column:
+        grow = lambda acc, x: F.array_append(acc, combine(F.element_at(acc, -1), x))
+        first = lambda part: F.slice(part, 1, 1)
+        return let(items, lambda part: F.aggregate(F.slice(part, F.lit(2), F.greatest(F.size(part) - 1, F.lit(0))), first(part), grow))
+
+    def joined(values: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / RUN).cast("int"))
+        blocks = F.transform(starts, lambda b: folded(F.slice(values, b * RUN + 1, F.lit(RUN))))
+
+        def carried(parts: Column) -> Column:
+            ends = folded(F.transform(parts, lambda p: F.element_at(p, -1)))
+            return let(ends, lambda e: F.flatten(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.transform(p, lambda v: combine(F.get(e, i - 1), v))))))
+
+        return let(blocks, carried)
+
+    return F.when(F.size(values) == 0, values).otherwise(let(values, joined))
+
+
 def find(text: Column, pattern: str) -> Column:
-    """Start, end (code points, end exclusive) and string of each match."""
+    """Start, end (code points, end exclusive) and string of each match, and up to BEFORE characters before it.
+
+    These reach back over at most two earlier matches; they are cut from the pieces between the
+    matches, since a substring of the whole text costs its whole length each time.
+    """
     none = F.array().cast(SPAN)
 
     def placed(m: Column) -> Column:
-        def walk(p: Column) -> Column:
-            zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
-
-            def step(s: Column, i: Column) -> Column:
-                start = s["at"] + F.length(p[i])
-                end = start + F.length(m[i])
-                return F.struct(end.alias("at"), F.array_append(s["out"], F.struct(start.alias("start"), end.alias("end"), m[i].alias("what"))).alias("out"))
+        def near(p: Column, i: Column) -> Column:
+            far = [F.coalesce(F.get(a, i - k), F.lit("")) for k in (2, 1) for a in (p, m)]
+            own = F.get(p, i)
+            return F.when(F.length(own) >= BEFORE, F.right(own, F.lit(BEFORE))).otherwise(F.right(F.concat(*[F.right(x, F.lit(BEFORE)) for x in far], own), F.lit(BEFORE)))
 
-            return F.aggregate(F.sequence(F.lit(0), F.size(m) - 1), zero, step, lambda s: s["out"])
+        def walk(p: Column) -> Column:
+            ends = running(F.transform(m, lambda x, i: F.length(x) + F.length(F.get(p, i))), lambda a, b: a + b)
+            return let(ends, lambda e: F.transform(m, lambda x, i: F.struct((F.get(e, i) - F.length(x)).alias("start"), F.get(e, i).alias("end"), x.alias("what"), near(p, i).alias("before"))))
 
         return F.when(F.size(m) == 0, none).otherwise(let(F.split(text, pattern, -1), walk))
 
@@ -146,20 +178,18 @@ def context_vote(before: Column) -> Column:
 RICH = "array<struct<start:int,end:int,kind:int,votes:int,shape:int,context:int>>"
 
 
-def enrich(text: Column, kind: str, spans: Column) -> Column:
+def enrich(kind: str, spans: Column) -> Column:
     """Spans with their vote pattern (base 3), shape and hashed context word."""
     k = F.lit(kind)
 
     def rich(s: Column) -> Column:
-        lo = F.greatest(s["start"] - BEFORE, F.lit(0))
-
         def with_before(before: Column) -> Column:
             pattern = (format_vote(k, s["what"]) + 1) * 9 + (gazetteer_vote(k, s["what"]) + 1) * 3 + context_vote(before) + 1
             shape = F.least(F.floor(F.length(s["what"]) / 4), F.lit(15)) * 2 + F.when(s["what"].rlike("[ .()-]"), 1).otherwise(0)
             word = F.pmod(F.xxhash64(F.regexp_extract(before, "([\\p{L}]+)[^\\p{L}]*$", 1)), F.lit(CONTEXTS))
             return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(KINDS.index(kind)).alias("kind"), pattern.cast("int").alias("votes"), shape.cast("int").alias("shape"), word.cast("int").alias("context"))
 
-        return let(F.lower(F.substring(text, lo + 1, s["start"] - lo)), with_before)
+        return let(F.lower(s["before"]), with_before)
 
     return F.transform(spans, rich)
 
@@ -257,19 +287,23 @@ def find_personal_data(docs: DataFrame, text: str = "text", into: str = "persona
     the checkpoint folder once, without texts, and read for the two counts and the result.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
-    found = F.concat(*[enrich(whole, k, candidates(whole, k)) for k in KINDS]).cast(RICH)
+    found = F.concat(*[enrich(k, candidates(whole, k)) for k in KINDS]).cast(RICH)
     kept = cut(docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != text], found.alias(into)))
     model = fit(kept.select(F.explode(F.col(into)).alias("s")).select("s.*"))
     score = lambda s: lookup(model.prior, s["kind"]) + lookup(model.weight, shape_feature(s["kind"], s["shape"])) + lookup(model.weight, context_feature(s["context"]))
     slim = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))
-    base = F.filter(F.col(into), lambda s: s["kind"] < len(BASE))
-
-    def both(b: Column) -> Column:
-        free = lambda s: ~F.exists(b, lambda x: (x["start"] < s["end"]) & (s["start"] < x["end"]))
-        more = F.filter(F.col(into), lambda s: (s["kind"] >= len(BASE)) & (score(s) >= limit) & free(s))
-        return F.struct(F.array_sort(F.transform(b, slim)).alias("base"), F.array_sort(F.transform(F.concat(b, more), slim)).alias("all"))
-
-    return kept.withColumn(into, let(base, both))
+    is_base = lambda s: s["kind"] < len(BASE)
+
+    def free(every: Column) -> Column:
+        """Spans in order, without those added ones that overlap a base span before or after them."""
+        reach = running(F.transform(every, lambda s: F.when(is_base(s), s["end"]).otherwise(-1)), F.greatest)
+        ahead = F.reverse(running(F.reverse(F.transform(every, lambda s: F.when(is_base(s), s["start"]).otherwise(LONGEST))), F.least))
+        clear = lambda r, n: F.filter(every, lambda s, i: is_base(s) | ((F.get(r, i) <= s["start"]) & (F.get(n, i) >= s["end"])))
+        return let(reach, lambda r: let(ahead, lambda n: clear(r, n)))
+
+    chosen = F.array_sort(F.filter(F.col(into), lambda s: is_base(s) | (score(s) >= limit)))
+    both = lambda x: F.struct(F.array_sort(F.transform(F.filter(x, is_base), slim)).alias("base"), F.array_sort(F.transform(x, slim)).alias("all"))
+    return kept.withColumn(into, let(let(chosen, free), both))
 
 
 def listing(spans: Column) -> Column:

@@ -1,6 +1,9 @@
 import random
 import re
+import time
+from itertools import accumulate
 
+import pytest
 from pyspark.sql import functions as F
 
 from spanwise.llm import pii
@@ -77,3 +80,33 @@ def test_labelers_are_weighed():
     counts = [(0, a * 9 + b * 3 + a, 100) for a in (0, 2) for b in (0, 2)] + [(0, 2 * 9 + 0 + 1, 10)]
     post = pii.expectation_maximisation(counts)
     assert post[0, 2 * 9 + 0 + 2] > 0.9 > 0.1 > post[0, 0 + 2 * 3 + 0]
+
+
+@pytest.mark.parametrize("piece", [" dot com", "(dot)a", "[dot] b"])
+def test_long_repeats_of_added_patterns(spark, piece):
+    """Recursive matching of these ended the executor before."""
+    text = "joe at x" + piece * 100_000
+    docs = spark.createDataFrame([(1, text), (2, "mail joe@example.com"), (3, "+1 " * 50_000), (4, "DE12 " + "ABCD " * 100_000), (5, "token=" + "x" * 500_000), (6, "555 " * 100_000)], "doc_id long, text string")
+    rows = pii.find_personal_data(docs).collect()
+    assert len(rows) == 6
+    assert [[s["start"], s["end"]] for s in next(r for r in rows if r["doc_id"] == 2)["personal"]["base"]] == [[5, 20]]
+
+
+def test_many_spans_in_one_text(spark):
+    """Work is linear in the spans: base and added ones by the ten thousands, all placed."""
+    n = 50_000
+    text = "a@b.com 555-123-4567 x at y dot com; " * n
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    t0 = time.time()
+    row = pii.find_personal_data(docs).select(F.col("personal.base").alias("base"), F.size("personal.all").alias("n")).collect()[0]
+    assert time.time() - t0 < 60
+    assert [(s["start"], s["end"]) for s in row["base"]] == [(37 * i, 37 * i + 7) for i in range(n)]
+    assert row["n"] >= n
+
+
+def test_running(spark):
+    values = [[], [3], list(range(1, 258)), [5, -1, 5, 9, 2] * 200]
+    d = spark.createDataFrame([(v,) for v in values], "v array<int>")
+    got = d.select("v", pii.running(F.col("v"), lambda a, b: a + b).alias("s"), pii.running(F.col("v"), F.greatest).alias("m")).collect()
+    for r in got:
+        assert r["s"] == list(accumulate(r["v"])) and r["m"] == list(accumulate(r["v"], max))
