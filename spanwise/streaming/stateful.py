@@ -7,10 +7,10 @@ trigger gives the batch result. The batch operator lives in ``operators.episodes
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -104,15 +104,84 @@ def read_stream(spark, path: str, schema, glob: str, fmt: str = "parquet") -> Da
     return spark.readStream.schema(schema).option("pathGlobFilter", glob).format(fmt).load(path)
 
 
-def run_to_table(stream: DataFrame, out: str, checkpoint: str) -> None:
-    """Process what is available and append it to parquet, then stop (restartable from the checkpoint)."""
+def run_to_table(stream: DataFrame, out: str, checkpoint: str) -> int:
+    """Process what is available and append it to parquet, then stop (restartable from the checkpoint).
+
+    Returns how many rows came behind the watermark and were dropped by stateful operators.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         # one folder per trigger, overwritten on retry: the write is idempotent
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
+    return run_available(stream, write, checkpoint)
+
+
+def run_available(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> int:
+    """One run over what is available; the number of rows dropped behind the watermark."""
     q = stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
     q.awaitTermination()
+    return sum(o["numRowsDroppedByWatermark"] for p in q.recentProgress for o in p["stateOperators"])
+
+
+def stateful_session(spark: SparkSession) -> SparkSession:
+    """A session of its own with the state store that stateful processors need; the caller's settings stay."""
+    own = spark.newSession()
+    for k, v in spark.conf.getAll.items():
+        if k.startswith("spark.sql.") and own.conf.isModifiable(k):
+            own.conf.set(k, v)
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return own
+
+
+def in_steps(parts: Sequence[DataFrame], build: Callable[[DataFrame], DataFrame], folder: str) -> tuple[DataFrame, int]:
+    """Feed ``parts`` to a stream one after the other: each is written below ``folder`` and read in a run of its own.
+
+    Every run starts from the checkpoint of the one before, so state and watermark carry over
+    as after a restart. Returns all rows that came out (with ``batch``) and the number of rows dropped.
+    """
+    own = stateful_session(parts[0].sparkSession)
+    dropped = 0
+    for k, part in enumerate(parts):
+        part.write.mode("overwrite").parquet(f"{folder}/in/part-{k}")
+        src = own.readStream.schema(part.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+        dropped += run_to_table(build(src), f"{folder}/out", f"{folder}/checkpoint")
+    return parts[0].sparkSession.read.parquet(f"{folder}/out"), dropped
+
+
+class UpsertSink:
+    """A ``foreachBatch`` sink that keeps the latest row of each key, with a ledger of batches.
+
+    A batch is written to a folder of its own; then its number goes to the ledger. Readers see
+    ledger batches only, so a half-written one is invisible; a batch that is replayed finds itself in
+    the ledger and changes nothing. Of several rows of a key the one of the latest batch
+    counts; within a batch the last by ``order``.
+    """
+
+    def __init__(self, folder: str, keys: Sequence[str], order: Sequence[str]) -> None:
+        self.folder, self.keys, self.order = folder, list(keys), list(order)
+
+    def _ledger(self, spark: SparkSession) -> DataFrame:
+        return spark.read.schema("batch long, n_rows long").option("recursiveFileLookup", "true").parquet(f"{self.folder}/ledger")
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        empty = spark.createDataFrame([], "batch long, n_rows long")
+        empty.write.mode("append").parquet(f"{self.folder}/ledger")
+        if not self._ledger(spark).filter(F.col("batch") == batch_id).isEmpty():
+            return
+        at = f"{self.folder}/data/batch={batch_id}"
+        values = [c for c in batch.columns if c not in self.keys]
+        best = F.max_by(F.struct(*values), F.struct(*self.order)).alias("_v")
+        batch.groupBy(*self.keys).agg(best).select(*self.keys, "_v.*").write.mode("overwrite").parquet(at)
+        done = spark.read.parquet(at).agg(F.lit(batch_id).cast("long").alias("batch"), F.count(F.lit(1)).alias("n_rows"))
+        done.write.mode("append").parquet(f"{self.folder}/ledger")
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        """The latest row of every key."""
+        d = spark.read.parquet(f"{self.folder}/data").join(self._ledger(spark).select("batch"), "batch", "left_semi")
+        values = [c for c in d.columns if c not in (*self.keys, "batch")]
+        return d.groupBy(*self.keys).agg(F.max_by(F.struct(*values), "batch").alias("_v")).select(*self.keys, "_v.*")
 
 
 def timeline_points(df: DataFrame, frame: str, level: str, stride: int) -> DataFrame:
