@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
 
 import pyarrow as pa
@@ -212,29 +212,99 @@ def interval_mask(
     return frames.join(hits, [*keys, index], "left").withColumn(name, F.coalesce(name, F.lit(0)))
 
 
+#: Values of a node of the range tree.
+FAN = 64
+
+
+def _spans(ivs: DataFrame, frames: DataFrame, keys: Sequence[str], lo: str, hi: str, t: str, width: float, sums: Mapping[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """Frames with a dense index ``_j``; and for each distinct interval that holds a frame ``_w`` (its columns),
+    the first and last index inside (``_a``, ``_z``), and the sums over the frames inside.
+
+    The bounds of the intervals are put among the frames; one running sum over each series gives
+    every prefix, and an interval is the difference of two. No frame meets an interval.
+    """
+    keys = list(keys)
+    w = F.struct(*ivs.columns).alias("_w")
+    held = list(dict.fromkeys(c for c in frames.columns if c not in keys))
+    f = frames.select(*keys, F.col(t).cast("double").alias("_t"), F.lit(1).alias("_q"), F.struct(*held).alias("_f"))
+    ends = F.inline(F.array(*[F.struct(F.col(c).cast("double").alias("_t"), F.lit(q).alias("_q")) for c, q in ((lo, 0), (hi, 2))]))
+    d = f.unionByName(ivs.distinct().select(*keys, w, ends), allowMissingColumns=True)
+    d, seq = balance(d, Seq(tuple(keys), ("_t", "_q"), width))
+    one = F.when(F.col("_q") == 1, F.lit(1)).otherwise(0)
+    d = cut(scan(d, seq, _i=Scan("sum", one), **{f"_p_{n}": Scan("sum", F.when(F.col("_q") == 1, c)) for n, c in sums.items()}))
+    at = lambda c, q: F.max(F.when(F.col("_q") == q, F.col(c)))
+    spans = d.filter(F.col("_w").isNotNull()).groupBy(*keys, "_w").agg(
+        at("_i", 0).alias("_a"), (at("_i", 2) - 1).alias("_z"), *[(at(f"_p_{n}", 2) - at(f"_p_{n}", 0)).alias(n) for n in sums]
+    )
+    points = d.filter("_q = 1").select(*keys, (F.col("_i") - 1).alias("_j"), "_f.*")
+    return points, spans.filter("_z >= _a")
+
+
+def _range_fold(points: DataFrame, spans: DataFrame, keys: Sequence[str], value: Column, fold: Callable[[Column], Column], name: str) -> DataFrame:
+    """``_w`` and the fold of ``value`` over each span of indices.
+
+    Blocks of FAN values, and above them nodes of FAN folded blocks, and so on: a span is at most
+    two slices of a node on each level, found by one equi-join. The tree has rows / FAN nodes
+    and one row more for every FAN of those.
+    """
+    keys = list(keys)
+    blocks = lambda d: d.groupBy(*keys, F.floor(F.col("_j") / FAN).cast("long").alias("_b")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct((F.col("_j") % FAN).alias("p"), F.col("_v").alias("v")))), lambda x: x["v"]).alias("_vals")
+    )
+    level = cut(blocks(points.select(*keys, "_j", value.alias("_v"))))
+    nodes, asked = [], []
+    a, z = F.col("_a").cast("long"), F.col("_z").cast("long")
+    height = 0
+    top = spans.agg(F.max("_z")).first()[0] or 0
+    while True:
+        nodes.append(level.select(*keys, F.lit(height).alias("_l"), "_b", "_vals"))
+        left, right = F.floor(a / FAN).cast("long"), F.floor(z / FAN).cast("long")
+        part = lambda b, lo, hi, h=height: F.struct(F.lit(h).alias("_l"), b.alias("_b"), (lo + 1).cast("int").alias("_from"), (hi - lo + 1).cast("int").alias("_len"))
+        last = F.lit(FAN - 1)
+        same, some = left == right, a <= z
+        asked += [F.when(some & same, part(left, a % FAN, z % FAN)), F.when(some & ~same, part(left, a % FAN, last)), F.when(some & ~same, part(right, F.lit(0), z % FAN))]
+        a, z = left + 1, right - 1
+        if top < FAN:
+            break
+        level = blocks(level.select(*keys, F.col("_b").alias("_j"), fold(F.col("_vals")).alias("_v")))
+        height, top = height + 1, top // FAN
+    tree = reduce(DataFrame.unionByName, nodes)
+    wanted = spans.select(*keys, "_w", F.inline(F.array_compact(F.array(*asked))))
+    met = wanted.join(tree, [*keys, "_l", "_b"]).select("_w", fold(F.slice("_vals", F.col("_from"), F.col("_len"))).alias("_v"))
+    return met.groupBy("_w").agg(fold(F.collect_list("_v")).alias(name))
+
+
 def window_summary(
     ivs: DataFrame, frames: DataFrame, keys: Sequence[str], lo: str, hi: str, t: str, score: str, level: str, width: float
 ) -> DataFrame:
-    """Per interval: frames inside, maximum and mean score, rows per level."""
-    by = list(ivs.columns)
-    j = points_in_intervals(frames.select(*keys, t, score, level), ivs, keys, t, lo, hi, width)
-    per = j.groupBy(*by, level).agg(F.count(F.lit(1)).alias("_n"), F.max(score).alias("_x"), F.sum(score).alias("_s"))
-    return per.groupBy(*by).agg(
-        F.sum("_n").alias("n_frames"),
-        F.max("_x").alias("max_score"),
-        (F.sum("_s") / F.sum("_n")).alias("mean_score"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct(level, "_n")))).alias("level_counts"),
-    )
+    """Per distinct interval: frames inside, maximum and mean score, rows per level (at most 64 levels).
+
+    Intervals without frames are left out. Counts and sums are differences of prefix sums, maxima
+    come from a range tree, so the work follows frames plus intervals, not their pairs.
+    """
+    levels = sorted(r[0] for r in frames.select(level).distinct().limit(65).collect() if r[0] is not None)
+    if len(levels) > 64:
+        raise ValueError("more than 64 levels")
+    sums = {"_s": F.coalesce(F.col("_f")[score].cast("double"), F.lit(0.0)), **{f"_n{i}": F.when(F.col("_f")[level] == v, 1).otherwise(0) for i, v in enumerate(levels)}}
+    points, spans = _spans(ivs, frames.select(*keys, t, score, level), keys, lo, hi, t, width, sums)
+    spans = cut(spans)
+    best = _range_fold(points, spans, keys, F.col(score), F.array_max, "max_score")
+    n = F.col("_z") - F.col("_a") + 1
+    counts = F.filter(F.array(*[F.struct(F.lit(v).alias("key"), F.col(f"_n{i}").alias("value")) for i, v in enumerate(levels)]), lambda x: x["value"] > 0)
+    return spans.join(best, "_w").select("_w.*", n.alias("n_frames"), "max_score", (F.col("_s") / n).alias("mean_score"), F.map_from_entries(counts).alias("level_counts"))
 
 
 def rules_in_window(
     ivs: DataFrame, frames: DataFrame, keys: Sequence[str], lo: str, hi: str, t: str, rules: str, width: float, limit: int = 12
 ) -> DataFrame:
-    """Sorted distinct rule names seen inside each interval, at most ``limit``."""
-    by = list(ivs.columns)
-    j = points_in_intervals(frames.select(*keys, t, rules), ivs, keys, t, lo, hi, width)
-    d = j.select(*by, F.explode(rules).alias("_rule")).distinct()
-    return d.groupBy(*by).agg(F.slice(F.array_sort(F.collect_set("_rule")), 1, limit).alias("rules"))
+    """Sorted distinct rule names seen inside each distinct interval, at most ``limit``; none seen, no row.
+
+    Sets of names are joined block by block in a range tree; no frame meets an interval.
+    """
+    points, spans = _spans(ivs, frames.select(*keys, t, rules), keys, lo, hi, t, width, {})
+    found = _range_fold(points, cut(spans), keys, F.coalesce(F.col(rules), F.array().cast("array<string>")), lambda x: F.array_distinct(F.flatten(x)), "rules")
+    names = F.array_compact("rules")
+    return found.filter(F.size(names) > 0).select("_w.*", F.slice(F.array_sort(names), 1, limit).alias("rules"))
 
 
 def impact_windows(
