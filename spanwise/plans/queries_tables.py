@@ -409,3 +409,26 @@ def timecode_parse(spark, sf):
     i = F.col("event_id")
     t = F.format_string("%d:%02d:%02d", F.floor(i / 3600), F.floor(i / 60) % 60, i % 60)
     return table(spark, sf, "events").select("event_id", fx.timecode_seconds(F.when(i % 5 == 4, F.concat(t, F.lit("x"))).otherwise(t)).alias("seconds"))
+
+
+@query(
+    "annotation_documents",
+    """WITH d AS (SELECT o_custkey AS c, year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY 1, 2),
+r AS (SELECT CASE WHEN c % 7 = 0 THEN NULL ELSE 'c' || c || '-' || y END AS video, n, CASE WHEN c % 7 = 0 THEN 'not a document' ELSE concat_ws(',', CASE WHEN c % 13 = 0 THEN 'ends before it starts' END, CASE WHEN c % 11 = 0 THEN 'unknown event type' END) END AS reasons FROM d)
+SELECT video, reasons, count(*) AS n_documents, CAST(sum(CASE WHEN reasons = '' THEN n ELSE 0 END) AS BIGINT) AS n_events FROM r GROUP BY 1, 2""",
+)
+def annotation_documents(spark, sf):
+    """One JSON document per customer and year, some cut short or with wrong events; good events and rejects with reasons."""
+    at = _scratch(spark)
+    c, kind = F.col("o_custkey"), F.element_at(F.array(*[F.lit(t) for t in rd.ANNOTATION_TYPES]), F.pmod(F.col("o_orderkey"), F.lit(4)).cast("int") + 1)
+    start = F.dayofyear("o_orderdate").cast("double")
+    event = F.struct(start.alias("start_time"), (start + F.when(c % 13 == 0, -1.0).otherwise(1.0)).alias("end_time"), F.when(c % 11 == 0, "DANCE").otherwise(kind).alias("event_type"))
+    docs = table(spark, sf, "orders").groupBy("o_custkey", F.year("o_orderdate").alias("y")).agg(F.collect_list(event).alias("events"))
+    text = F.to_json(F.struct(F.concat(F.lit("c"), c, F.lit("-"), F.col("y")).alias("video"), "events"))
+    docs.select(F.when(c % 7 == 0, F.substring(text, F.lit(1), F.length(text) - 2)).otherwise(text).alias("value")).write.text(at)
+    read = rd.annotation_documents(spark, at)
+    rd.quarantine(read, f"{at}-rejected")
+    good = rd.annotation_events(read).groupBy("video").agg(F.count(F.lit(1)).alias("n"))
+    bad = spark.read.schema("video string, reasons array<string>").json(f"{at}-rejected")
+    out = bad.select("video", "reasons", F.lit(0).cast("long").alias("n")).unionByName(good.select("video", F.array().cast("array<string>").alias("reasons"), "n"))
+    return out.groupBy("video", F.array_join("reasons", ",").alias("reasons")).agg(F.count(F.lit(1)).alias("n_documents"), F.sum("n").alias("n_events"))

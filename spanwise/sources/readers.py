@@ -124,6 +124,43 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     return d.select("video", "case_id", "clip_start_time", "clip_end_time", F.posexplode("events").alias("pos", "_e")).select("*", "_e.*").drop("_e")
 
 
+#: Event types an annotation document may use (fixed values).
+ANNOTATION_TYPES = ("FALL", "KO", "SURRENDER", "INSTABILITY")
+
+
+def annotation_documents(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Every annotation document with the reasons to reject it (sorted; none: it is good).
+
+    Text that is no JSON of the schema lands in ``_corrupt`` and is one reason; others are a missing
+    video, no list of events, and for its events an unknown type, missing or reversed times and a
+    confidence outside 0 to 1. One document a line, or one a file with ``multi_line``.
+    """
+    read = spark.read.schema(f"{ANNOTATION}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").option("multiLine", multi_line)
+    d = read.json(path)
+    some = lambda test: F.exists(F.coalesce("events", F.array().cast(f"array<struct<{SPAN}>>")), lambda e: F.coalesce(test(e), F.lit(True)))
+    reasons = {
+        "no video": F.coalesce(F.trim("video") == "", F.lit(True)),
+        "no events": F.col("events").isNull(),
+        "unknown event type": some(lambda e: ~e["event_type"].isin(*ANNOTATION_TYPES)),
+        "missing time": some(lambda e: e["start_time"].isNull() | e["end_time"].isNull()),
+        "ends before it starts": some(lambda e: F.coalesce(e["end_time"] < e["start_time"], F.lit(False))),
+        "confidence outside 0 to 1": some(lambda e: F.coalesce(~e["confidence"].between(0, 1), F.lit(False))),
+    }
+    found = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in sorted(reasons.items())]))
+    return d.withColumn("reasons", F.when(F.col("_corrupt").isNotNull(), F.array(F.lit("not a document"))).otherwise(found))
+
+
+def annotation_events(documents: DataFrame) -> DataFrame:
+    """Reference intervals of the good documents of :func:`annotation_documents`, one row per event."""
+    d = documents.filter(F.size("reasons") == 0)
+    return d.select("video", "case_id", "clip_start_time", "clip_end_time", F.posexplode("events").alias("pos", "_e")).select("*", "_e.*").drop("_e")
+
+
+def quarantine(documents: DataFrame, path: str) -> None:
+    """The rejected documents with their reasons, written beside the good rows."""
+    documents.filter(F.size("reasons") > 0).write.mode("overwrite").json(path)
+
+
 def read_namespaced(spark: SparkSession, path: str) -> DataFrame:
     return namespaced(spark.read.schema(NAMESPACED).option("multiLine", True).json(path))
 

@@ -82,3 +82,26 @@ def test_micro_macro(spark):
     d = spark.createDataFrame([("a", 5, 5, 0, 0.5, 1.0, 2 / 3), ("b", 0, 0, 10, 0.0, 0.0, 0.0)], "v string, tp int, fp int, fn int, precision double, recall double, f1 double")
     r = mt.micro_macro(d).first()
     assert r.micro_f1 == pytest.approx(0.4) and r.macro_f1 == pytest.approx(1 / 3)
+
+
+def test_annotation_documents_are_rejected_with_reasons(spark, tmp_path):
+    lines = [
+        '{"video": "v1", "events": [{"start_time": 1.0, "end_time": 2.0, "event_type": "KO", "confidence": 0.5}, {"start_time": 3, "end_time": 3, "event_type": "FALL"}]}',
+        '{"video": "v2", "events": []}',
+        '{"video": " ", "events": [{"start_time": 1, "end_time": 2, "event_type": "KO"}]}',
+        '{"video": "v4"}',
+        '{"video": "v5", "events": [{"start_time": 4, "end_time": 2, "event_type": "ko", "confidence": 1.5}, {"end_time": 2, "event_type": null}]}',
+        '{"video": "v6", "events": [',
+        "plain text",
+    ]
+    (tmp_path / "docs.json").write_text("\n".join(lines))
+    docs = rd.annotation_documents(spark, str(tmp_path / "docs.json"))
+    got = sorted((r["video"] or "", tuple(r["reasons"])) for r in docs.collect())
+    assert got == sorted([
+        ("v1", ()), ("v2", ()), (" ", ("no video",)), ("v4", ("no events",)),
+        ("v5", ("confidence outside 0 to 1", "ends before it starts", "missing time", "unknown event type")),
+        ("", ("not a document",)), ("", ("not a document",)),
+    ])
+    assert [(r["video"], r["start_time"], r["event_type"]) for r in rd.annotation_events(docs).orderBy("pos").collect()] == [("v1", 1.0, "KO"), ("v1", 3.0, "FALL")]
+    rd.quarantine(docs, str(tmp_path / "rejected"))
+    assert spark.read.json(str(tmp_path / "rejected")).count() == 5
