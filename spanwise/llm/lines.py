@@ -1,4 +1,4 @@
-"""Line dedup within an edit bound, by a join of deletion neighbourhoods (bound 1) or of pieces (from 2).
+"""Line dedup within an edit bound, by a join of hashed keys that near lines must share.
 
 Only DataFrame functions. Equal lines are first made one row. Two lines at distance one agree
 when one character is deleted at the right place; hashes of such variants are joined. So that
@@ -7,9 +7,14 @@ first: halves (one half of the two lines must be equal, by hash) and blocks (eve
 block of 32 characters must be equal); only characters of blocks whose surroundings occur in
 several lines are deleted.
 
-For a bound k of two or more a line is cut into k + 1 pieces; of two lines within k edits one
-piece of the shorter stands in the longer at a bounded shift. Lines that share such a piece are
-compared with ``levenshtein``; a piece that m lines share costs up to m x m / 2 comparisons.
+For a bound k of two or more every line has k + 1 segments, the first ones counted from its
+start, the others from its end, of a width that lines of about one length share. With k edits
+some segment i has at most i edits before it, none in it and at most k - i behind it, so the
+other line holds it at most min(i, k - i) characters away: 5, 8 or 13 keys for k of 2, 3 or 4.
+Lines that share a key are compared with ``levenshtein`` where a key has few pairs. Where it has
+many, the longer rest beside the segment, which holds at most k - i (or i) edits, is cut in the
+same way, and key and segment together are the next key. A rest of at most SHORT characters emits
+its deletion variants: all that is left of it without up to that many characters.
 """
 
 from __future__ import annotations
@@ -24,6 +29,10 @@ BLOCK = 32
 NEAR = {"edits": 2, "per": 400, "most": 4}
 #: Both remove equal lines of any length that are not blank.
 EQUAL = {"least": 1}
+#: Keys with more pairs than this are cut further.
+PAIRS = 4096
+#: Rests up to this long emit their deletion variants.
+SHORT = 12
 #: Hashes of lines up to this many are broadcast.
 BROADCAST_LINES = 1_000_000
 
@@ -66,28 +75,49 @@ def bound(n: Column, edits: int, per: int, most: int) -> Column:
     return F.least(F.lit(most), F.lit(edits) + F.floor(n / per)).cast("int") if per else F.lit(edits)
 
 
-def pieces(line: Column, n: Column, edits: int, per: int, most: int) -> Column:
-    """struct(key, own): hashes of the pieces of a line (own), and of what stands in it where a piece
-    of a line d characters shorter may be found.
+def width(n: Column) -> Column:
+    """``n`` with all but its three highest bits cleared: what lines of about one length share."""
+    low = F.greatest(F.length(F.bin(n)) - 3, F.lit(0))
+    return F.call_function("shiftleft", F.call_function("shiftright", n, low), low)
+
+
+def frames(n: Column, k, most: int) -> Column:
+    """struct(width, k, own) for the line as the shorter of two (own) and as the longer one; ``k`` gives the bound for a length."""
+    of = [F.when((n >= d) & (k(n - d) >= d), F.struct(width(n - d).alias("width"), k(n - d).alias("k"), ((width(n - d) == width(n)) & (k(n - d) == k(n))).alias("own"))) for d in range(most + 1)]
+    return F.array_compact(F.array_distinct(F.array(*of)))
+
+
+def segments(line: Column, n: Column, frame: Column, k: int, seed: Column, key_only: bool = False) -> Column:
+    """Keys of the segments for bound ``k``, each where it stands and where it may stand: key, or
+    struct(key, own, rest, left): the longer rest beside it and the edits that are left for it."""
+    out = []
+    size = F.floor(frame["width"] / (k + 1)).cast("int")
+    for i in range(k + 1):
+        reach = min(i, k - i)
+        start = size * i if 2 * i <= k else n - size * (k + 1 - i)
+        for by in range(-reach, reach + 1):
+            key = F.xxhash64(seed, frame["width"], frame["k"], F.lit(i), F.substring(line, start + by + 1, size))
+            rest, edits = (F.substring(line, start + by + size + 1, n), k - i) if 2 * i <= k else (left(line, start + by), i)
+            own = frame["own"] if by == 0 else F.lit(False)
+            out.append(key if key_only else F.struct(key.alias("key"), own.alias("own"), rest.alias("rest"), F.lit(edits).alias("left")))
+    return F.array(*out)
+
+
+def by_bound(k: Column, edits: int, most: int, of) -> Column:
+    """``of(t)`` for the row's bound t."""
+    out = of(most)
+    for t in range(most - 1, edits - 1, -1):
+        out = F.when(k == t, of(t)).otherwise(out)
+    return out
 
-    With t edits, piece i of 0..t is shifted by at most i (edits before it) and by d give or take
-    t - i (edits behind it): some equal piece lies within both (Pass-Join's multi-match selection).
-    """
-    places = [
-        (t, d, i, by)
-        for t in range(edits, most + 1)
-        for d in range(t + 1)
-        for i in range(t + 1)
-        for by in range(max(-i, d - (t - i)), min(i, d + (t - i)) + 1)
-    ]
-    listed = lambda t: F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip("tdib", p, strict=True)]) for p in places if p[0] == t]) if t else F.slice(listed(edits), 1, 0)
-    high, low = bound(n, edits, per, most), bound(F.greatest(n - most, F.lit(0)), edits, per, most)
-    # nearly every line has one bound for all its frames
-    every = F.concat(*[F.when(F.lit(t).between(low, high), listed(t)).otherwise(listed(0)) for t in range(edits, most + 1)]) if per else listed(edits)
-    mine = F.filter(every, lambda x: (n > x["d"]) & (bound(n - x["d"], edits, per, most) == x["t"]))
-    begin = lambda x, i: F.floor((n - x["d"]) * i / (x["t"] + 1)).cast("int")
-    part = lambda x: F.substring(line, begin(x, x["i"]) + x["b"] + 1, begin(x, x["i"] + 1) - begin(x, x["i"]))
-    return F.array_distinct(F.transform(mine, lambda x: F.struct(F.xxhash64(n - x["d"], x["i"], part(x)).alias("key"), ((x["d"] == 0) & (x["b"] == 0)).alias("own"))))
+
+def variants(rest: Column, edits: Column, most: int) -> Column:
+    """All that is left of a text without up to ``edits`` of its characters."""
+    out = F.array(rest)
+    drop = lambda s: F.transform(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), lambda i: F.concat(left(s, i - 1), F.substring(s, i + 1, F.length(s))))
+    for e in range(1, most + 1):
+        out = F.when(edits >= e, F.array_distinct(F.concat(out, F.flatten(F.transform(out, drop))))).otherwise(out)
+    return out
 
 
 def candidates(lines: DataFrame, hashes: Column) -> DataFrame:
@@ -143,22 +173,55 @@ def earlier_neighbours(lines: DataFrame) -> DataFrame:
     return found.groupBy("_a").agg(F.min("_other._first").alias("_near"))
 
 
-def earlier_within(lines: DataFrame, edits: int, per: int, most: int) -> DataFrame:
-    """As ``earlier_neighbours`` for a bound of two edits and more."""
-    own = pieces(F.col("_line"), F.col("_n"), edits, per, most)  # _n: counted once a line, not once a piece
-    near = candidates(lines.withColumn("_n", F.length("_line")), F.array_distinct(F.transform(own, lambda x: x["key"])))
-    rows = near.withColumn("_n", F.length("_line")).select("_a", "_first", "_line", F.explode(own).alias("_p")).select("_a", "_first", "_line", "_p.key", "_p.own")
-    several = rows.groupBy("key").agg(F.min("_a").alias("lo"), F.max("_a").alias("hi"), F.bool_or("own").alias("any")).filter("any and lo <> hi").select("key")
-    rows = cut(rows.join(several, "key", "left_semi"))
+def finer(rows: DataFrame, most: int) -> DataFrame:
+    """Rows of keys with many pairs under longer keys; ``last`` where nothing is left to cut."""
+    n = F.length("rest")
+    whole = rows.filter(F.col("left") == 0).select("_a", "_first", "_line", F.xxhash64("key", "rest").alias("key"), "own", F.lit("").alias("rest"), "left", F.lit(True).alias("last"))
+    short = rows.filter((F.col("left") > 0) & (n <= SHORT)).withColumn("_v", F.explode(variants(F.col("rest"), F.col("left"), most)))
+    short = short.select("_a", "_first", "_line", F.xxhash64("key", "_v").alias("key"), "own", F.lit("").alias("rest"), "left", F.lit(True).alias("last"))
+    out = whole.unionByName(short)
+    for t in range(1, most + 1):
+        some = rows.filter((F.col("left") == t) & (n > SHORT)).withColumn("_n", n)
+        some = some.withColumn("_f", F.explode(frames(F.col("_n"), lambda _: F.lit(t), t)))
+        some = some.withColumn("_s", F.explode(segments(F.col("rest"), F.col("_n"), F.col("_f"), t, F.col("key"))))
+        # the shorter line need not have the shorter rest: roles of this cut do not bind
+        out = out.unionByName(some.select("_a", "_first", "_line", "_s.key", "own", "_s.rest", "_s.left", F.lit(False).alias("last")))
+    return out
+
+
+def compared(rows: DataFrame, edits: int, per: int, most: int) -> DataFrame:
+    """_a and _near for pairs of rows that share a key, one of them as its own."""
     short = rows.filter("own").select("key", *[F.col(c).alias(f"_s{c}") for c in ("_a", "_first", "_line")])
     n = F.length("_s_line")
     apart = F.levenshtein(F.col("_s_line"), F.col("_line"), most)
-    close = (F.col("_s_a") != F.col("_a")) & (F.length("_line") >= n) & apart.between(F.lit(1), bound(n, edits, per, most))
+    close = (F.col("_s_a") != F.col("_a")) & (F.length("_line") >= n) & (F.length("_line") <= n + most) & apart.between(F.lit(1), bound(n, edits, per, most))
     found = short.join(rows, (short["key"] == rows["key"]) & close)
     later = F.when(F.col("_s_first") < F.col("_first"), F.col("_a")).otherwise(F.col("_s_a"))
     return found.groupBy(later.alias("_a")).agg(F.min(F.least("_s_first", "_first")).alias("_near"))
 
 
+def earlier_within(lines: DataFrame, edits: int, per: int, most: int) -> DataFrame:
+    """As ``earlier_neighbours`` for a bound of two edits and more."""
+    of = lambda n: bound(n, edits, per, most)
+    line, n, frame = F.col("_line"), F.col("_n"), F.col("_f")
+    cutting = lambda key_only: by_bound(frame["k"], edits, most, lambda t: segments(line, n, frame, t, F.lit(0), key_only))
+    framed = lambda df: df.withColumn("_n", F.length("_line")).withColumn("_f", F.explode(frames(n, of, most)))
+    near = candidates(framed(lines), cutting(True))
+    rows = framed(near).withColumn("_s", F.explode(cutting(False)))
+    rows = rows.select("_a", "_first", "_line", "_s.key", "_s.own", "_s.rest", "_s.left", F.lit(False).alias("last"))
+    found = None
+    while True:
+        sizes = rows.groupBy("key").agg(F.min("_a").alias("lo"), F.max("_a").alias("hi"), F.count("*").alias("_c"), F.count_if("own").alias("_o")).filter("_o > 0 and lo <> hi")
+        rows = cut(rows.join(sizes.select("key", (F.col("_c") * F.col("_o")).alias("_pairs")), "key"))
+        many = ~F.col("last") & (F.col("_pairs") > PAIRS)
+        part = compared(rows.filter(~many), edits, per, most)
+        found = part if found is None else found.unionByName(part)
+        rows = rows.filter(many)
+        if rows.isEmpty():
+            return found.groupBy("_a").agg(F.min("_near").alias("_near"))
+        rows = finer(rows, most)
+
+
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 20, edits: int = 1, per: int = 0, most: int | None = None, least: int | None = None) -> DataFrame:
     """One row per line to remove: _doc, _hash (of the text), _pos, _near (no equal line is earlier), _by (the line kept for it).
 

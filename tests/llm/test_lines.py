@@ -1,5 +1,6 @@
 import random
 
+from spanwise.llm import lines
 from spanwise.llm.lines import dedup_lines, removed_lines
 from spanwise.llm.queries import op1_line_dedup
 
@@ -124,3 +125,19 @@ def test_query_removes_short_and_near_lines(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: (r["n_removed"], r["n_near"], r["kept_chars"]) for r in op1_line_dedup(spark, str(tmp_path)).collect()}
     assert got == {1: (0, 0, 43), 2: (2, 1, 0), 3: (1, 0, 0)}
+
+
+def test_keys_with_many_pairs_are_cut_further(spark, monkeypatch):
+    monkeypatch.setattr(lines, "PAIRS", 3)
+    rng = random.Random(5)
+    base = ["a common start of many lines, then " + "".join(rng.choice("ab") for _ in range(n)) + " and a common end of them" for n in (4, 9, 30)]
+    docs = [(i, edit(rng, rng.choice(base) if i % 3 else edit(rng, rng.choice(base)))) for i in range(45)]
+    docs += [(100 + i, edit(rng, "x" * 25)) for i in range(5)]
+    got = removed_lines(spark.createDataFrame(docs, "doc_id long, text string"), min_chars=1, edits=2).collect()
+    want = {}
+    for at, (i, ln) in enumerate(docs):
+        by = [o for o, other in docs[:at] if levenshtein(ln, other) <= 2]
+        if by:
+            want[i, 0] = by[0]
+    assert {(r["_doc"], r["_pos"]): r["_by"]["_doc"] for r in got} == want
+    assert len(want) > 20
