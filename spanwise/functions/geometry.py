@@ -265,3 +265,18 @@ def proximity(a: Pt, b: Pt, gamma: float) -> Column:
     return F.exp(-gamma * dist(a, b))
 
 
+
+
+def filter_joints(df: DataFrame, min_valid: int, least: float | None = None, joints: int = 17, prefix: str = "j") -> DataFrame:
+    """Joints without a valid position, or with a confidence of at most ``least``, become null; so do all
+    joints of a frame with fewer than ``min_valid`` left. Every frame stays; ``n_valid`` counts before that."""
+    ok = [valid_xy(*joint(k, prefix)) & (F.col(f"{prefix}{k}c") > least if least is not None else F.lit(True)) for k in range(joints)]
+    ok = [F.coalesce(o & ~F.isnan(f"{prefix}{k}c"), F.lit(False)) if least is not None else o for k, o in enumerate(ok)]
+    d = df.withColumn("n_valid", sum((o.cast("int") for o in ok[1:]), ok[0].cast("int")))
+    enough = F.col("n_valid") >= min_valid
+    return d.withColumns({f"{prefix}{k}{a}": F.when(enough & ok[k], F.col(f"{prefix}{k}{a}")) for k in range(joints) for a in "xy"})
+
+
+def frame_name(n: Column | str) -> Column:
+    """Frame number as text that sorts in order, of eight digits or more."""
+    return F.format_string("%08d", n)

@@ -294,6 +294,64 @@ def case_status(cases: DataFrame, runs: DataFrame, labels: DataFrame, key: str)
     return cases.join(r, key, "left").join(a, key, "left").withColumn("status", s).drop("_r", "_a")
 
 
+def scenario_table(df: DataFrame, metric: str, order: Sequence[str]) -> DataFrame:
+    """One row per scenario, best first, scenarios without a value last (``place`` from 1). The table is an aggregate, so it is small."""
+    return df.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last(metric), *order)))
+
+
+def sweep_summary(results: DataFrame, path: str, video: str, status: str) -> DataFrame:
+    """One row per value of a sweep, taken from the folder name (``_p90``), and whether it is the best.
+
+    ``results`` has per-video rows (tp, fp, fn, precision, recall, f1) and, for some folders, stored
+    rows ``__micro__`` and ``__macro__``. Stored figures count; without them they are worked out from
+    the rows of status OK or CACHED. Folders of other names and values without any row are left out.
+    Best is the largest macro F1, then macro recall, then micro recall, then the smallest value.
+    """
+    d = results.withColumn("value", F.regexp_extract(path, r"_p(\d+)", 1)).filter("value <> ''").withColumn("value", F.col("value").cast("int"))
+    good = F.col(status).isin("OK", "CACHED") & ~F.coalesce(F.col(video), F.lit("")).isin("", "__micro__", "__macro__") & F.col("tp").isNotNull() & F.col("fp").isNotNull() & F.col("fn").isNotNull()
+    stored = lambda row, c: F.max(F.when(F.col(video) == row, F.col(c)))
+    names = ("precision", "recall", "f1")
+    a = d.groupBy("value").agg(
+        F.count_if(good).alias("n_videos"),
+        *[F.sum(F.when(good, F.col(c))).alias(f"_{c}") for c in ("tp", "fp", "fn")],
+        *[F.avg(F.when(good, F.col(c))).alias(f"_mean_{c}") for c in names],
+        *[stored("__micro__", c).alias(f"_micro_{c}") for c in names],
+        *[stored("__macro__", c).alias(f"_macro_{c}") for c in names],
+    )
+    pooled = prf(F.col("_tp"), F.col("_fp"), F.col("_fn"))
+    has = F.col("_micro_f1").isNotNull() & F.col("_macro_f1").isNotNull()
+    a = a.filter(has | (F.col("n_videos") > 0)).select(
+        "value", "n_videos", has.alias("stored"),
+        *[F.when(has, F.col(f"_micro_{c}")).otherwise(p).alias(f"micro_{c}") for c, p in zip(names, pooled, strict=True)],
+        *[F.when(has, F.col(f"_macro_{c}")).otherwise(F.coalesce(f"_mean_{c}", F.lit(0.0))).alias(f"macro_{c}") for c in names],
+    )
+    best = Window.orderBy(F.desc("macro_f1"), F.desc("macro_recall"), F.desc("micro_recall"), "value")
+    return a.withColumn("best", F.row_number().over(best) == 1)
+
+
+def case_summary(cases: DataFrame, key: str, risk: DataFrame, events: DataFrame, qa: DataFrame, score: str, level: str, start: str, end: str) -> DataFrame:
+    """One row per case: frames, largest score and level rank, events and their longest, and the columns of ``qa``.
+
+    Each side is one row per case before it is joined; a case without rows on a side has zero counts and nulls there.
+    """
+    r = risk.groupBy(key).agg(F.count(F.lit(1)).alias("n_frames"), F.max(score).alias("max_score"), F.max(rank_of(F.col(level))).alias("top_rank"))
+    e = events.groupBy(key).agg(F.count(F.lit(1)).alias("n_events"), F.max(F.col(end) - F.col(start)).alias("longest"))
+    return cases.join(r, key, "left").join(e, key, "left").join(qa, key, "left").na.fill(0, ["n_frames", "n_events"])
+
+
+def leg_metrics(refs: DataFrame, preds: DataFrame, keys: Sequence[str], leg: str, legs: Sequence[str], width: float, threshold: float, tolerance: float = 0.0) -> DataFrame:
+    """Per-video counts of each leg of a timeline and of all legs together (``combined``), by one matching with the leg as a key.
+
+    A prediction counts for its own leg and the combined one; one of another or no leg only for the combined.
+    Every leg is judged against all references.
+    """
+    every = F.array(*[F.lit(x) for x in ("combined", *legs)])
+    r = refs.withColumn(leg, F.explode(every))
+    own = F.when(F.col(leg).isin(*legs), F.array(F.lit("combined"), F.col(leg))).otherwise(F.array(F.lit("combined")))
+    p = preds.withColumn(leg, F.explode(own))
+    return event_counts(r, p, greedy_match(r, p, [leg, *keys], width, threshold, tolerance), [leg, *keys])
+
+
 def coco_counts(doc: DataFrame, person: int = 1) -> DataFrame:
     """Distinct images and person annotations of nested JSON documents (``images``, ``annotations``)."""
     return doc.select(
