@@ -177,7 +177,8 @@ def finer(rows: DataFrame, most: int) -> DataFrame:
     """Rows of keys with many pairs under longer keys; ``last`` where nothing is left to cut."""
     n = F.length("rest")
     whole = rows.filter(F.col("left") == 0).select("_a", "_first", "_line", F.xxhash64("key", "rest").alias("key"), "own", F.lit("").alias("rest"), "left", F.lit(True).alias("last"))
-    short = rows.filter((F.col("left") > 0) & (n <= SHORT)).withColumn("_v", F.explode(variants(F.col("rest"), F.col("left"), most)))
+    # a rest a little longer than SHORT may have a partner that is not: it goes both ways
+    short = rows.filter((F.col("left") > 0) & (n <= SHORT + F.col("left"))).withColumn("_v", F.explode(variants(F.col("rest"), F.col("left"), most)))
     short = short.select("_a", "_first", "_line", F.xxhash64("key", "_v").alias("key"), "own", F.lit("").alias("rest"), "left", F.lit(True).alias("last"))
     out = whole.unionByName(short)
     for t in range(1, most + 1):
