@@ -33,6 +33,8 @@ EQUAL = {"least": 1}
 PAIRS = 4096
 #: Rests up to this long emit their deletion variants.
 SHORT = 12
+#: Letters counted before ``levenshtein`` is asked; lines of other scripts are all asked.
+LETTERS = "etaoinsrhldu"
 #: Hashes of lines up to this many are broadcast.
 BROADCAST_LINES = 1_000_000
 
@@ -190,11 +192,41 @@ def finer(rows: DataFrame, most: int) -> DataFrame:
     return out
 
 
+def given(value: Column, f) -> Column:
+    """``f(value)`` with ``value`` worked out once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def shared_start(a: Column, b: Column) -> Column:
+    """Number of characters that two texts share at their start, by halving steps."""
+    top = F.least(F.length(a), F.length(b))
+    same = lambda p, s: (p + s <= top) & (F.substring(a, p + 1, s) == F.substring(b, p + 1, s))
+    return F.aggregate(F.array(*[F.lit(1 << i) for i in range(30, -1, -1)]), F.lit(0), lambda p, s: F.when(same(p, s), p + s).otherwise(p))
+
+
+def distance(a: Column, b: Column, most: int) -> Column:
+    """``levenshtein`` up to ``most`` (else -1) of what lies between the shared start and the shared
+    end: its time grows with the product of the lengths."""
+    rest = lambda s, p: F.substring(s, p + 1, F.length(s))
+    turned = given(shared_start(a, b), lambda p: F.struct(F.reverse(rest(a, p)).alias("a"), F.reverse(rest(b, p)).alias("b")))
+    return given(turned, lambda t: given(shared_start(t["a"], t["b"]), lambda q: F.levenshtein(rest(t["a"], q), rest(t["b"], q), most)))
+
+
+def letters(line: Column) -> Column:
+    """How often each of LETTERS occurs."""
+    return F.array(*[F.length(line) - F.length(F.replace(line, F.lit(c), F.lit(""))) for c in LETTERS])
+
+
 def compared(rows: DataFrame, edits: int, per: int, most: int) -> DataFrame:
-    """_a and _near for pairs of rows that share a key, one of them as its own."""
-    short = rows.filter("own").select("key", *[F.col(c).alias(f"_s{c}") for c in ("_a", "_first", "_line")])
+    """_a and _near for pairs of rows that share a key, one of them as its own.
+
+    An edit changes the letter counts by two at most; pairs whose counts differ by more than that need no ``levenshtein``.
+    """
+    rows = rows.withColumn("_c", letters(F.col("_line")))
+    short = rows.filter("own").select("key", *[F.col(c).alias(f"_s{c}") for c in ("_a", "_first", "_line", "_c")])
     n = F.length("_s_line")
-    apart = F.levenshtein(F.col("_s_line"), F.col("_line"), most)
+    moved = sum((F.abs(F.get("_c", F.lit(i)) - F.get("_s_c", F.lit(i))) for i in range(len(LETTERS))), F.lit(0))
+    apart = F.when(moved <= 2 * bound(n, edits, per, most), distance(F.col("_s_line"), F.col("_line"), most)).otherwise(-1)
     close = (F.col("_s_a") != F.col("_a")) & (F.length("_line") >= n) & (F.length("_line") <= n + most) & apart.between(F.lit(1), bound(n, edits, per, most))
     found = short.join(rows, (short["key"] == rows["key"]) & close)
     later = F.when(F.col("_s_first") < F.col("_first"), F.col("_a")).otherwise(F.col("_s_a"))

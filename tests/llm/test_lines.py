@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from spanwise.llm import lines
 from spanwise.llm.lines import dedup_lines, removed_lines
 from spanwise.llm.queries import op1_line_dedup
@@ -141,3 +143,20 @@ def test_keys_with_many_pairs_are_cut_further(spark, monkeypatch):
             want[i, 0] = by[0]
     assert {(r["_doc"], r["_pos"]): r["_by"]["_doc"] for r in got} == want
     assert len(want) > 20
+
+
+def test_distance_and_letters_agree_with_levenshtein(spark):
+    rng = random.Random(5)
+    pairs = [("", ""), ("", "a"), ("same", "same"), ("aaaa", "aa"), ("abab" * 200, "abab" * 200 + "b"), ("x" * 3000 + "y", "z" + "x" * 3000)]
+    for _ in range(400):
+        a = "".join(rng.choice("abeé𝄞 ") for _ in range(rng.randrange(40)))
+        b = list(a)
+        for _ in range(rng.randrange(5)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randrange(2)] = rng.choice(["", "a", "𝄞", "te"])
+        pairs.append((a, "".join(b)))
+    d = spark.createDataFrame(pairs, "a string, b string")
+    moved = F.aggregate(F.zip_with(lines.letters(F.col("a")), lines.letters(F.col("b")), lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
+    whole = F.levenshtein("a", "b")
+    assert d.filter(lines.distance(F.col("a"), F.col("b"), 4) != F.levenshtein("a", "b", 4)).isEmpty()
+    assert d.filter(moved > 2 * whole).isEmpty()
