@@ -326,3 +326,17 @@ def test_opponent_reaches_the_queries(spark, tmp_path):
     np.testing.assert_allclose(a.opp_touch, np.exp(-12 * gap), atol=1e-5)
     got = queries_poses.vulnerability_detector(spark, str(tmp_path)).toPandas()
     assert set(got[got.video == 14].event_type) == set(dt.KINDS.values())
+
+
+def test_poses_of_embeddings_are_clipped_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    from spanwise.plans import catalog
+
+    rows = [(0, i, [float(x) for x in np.where(np.arange(64) == i, v, 0.1)]) for i, v in enumerate((0.2, 0.7, -0.9, 0.52))]
+    spark.createDataFrame(rows, "label int, vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted(tuple(r) for r in queries_poses.normalize_unit_square(spark, str(tmp_path)).fillna(-1.0).collect())
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sorted(tuple(-1.0 if v is None else v for v in r) for r in con.execute(catalog.SQL["normalize_unit_square"]).fetchall())
+    assert len(got) == 8 and got == want
