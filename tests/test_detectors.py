@@ -340,3 +340,10 @@ def test_poses_of_embeddings_are_clipped_as_in_sql(spark, tmp_path):
     con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
     want = sorted(tuple(-1.0 if v is None else v for v in r) for r in con.execute(catalog.SQL["normalize_unit_square"]).fetchall())
     assert len(got) == 8 and got == want
+
+
+def test_longer_series_take_work_in_proportion(frames):
+    """Runs have no frame up to the end of the series, which would be summed anew for every row."""
+    d, seq = frames
+    plan = dt.strikes(d.withColumn("speed", F.col("j9y")), seq, "speed", FPS)._jdf.queryExecution().toString().lower()
+    assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
