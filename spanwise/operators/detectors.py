@@ -17,7 +17,7 @@ from spanwise.functions import geometry as g
 from spanwise.functions.scalar import band, clip, clip01, safe_div
 from spanwise.operators import windows as wn
 from spanwise.operators.chain import cut
-from spanwise.operators.intervals import padded_segments, peak_clusters, points_in_intervals, segments
+from spanwise.operators.intervals import REACH, padded_segments, peak_clusters, points_in_intervals, segments
 from spanwise.operators.ordered import Seq, exact_percentile, percentiles, scan
 
 
@@ -161,7 +161,7 @@ def taps(df: DataFrame, seq: Seq, fps: float, contact: Column | None = None, nea
         cover = F.when(F.lit(branch == "hand_tap"), F.col("mat_gate").cast("double")).otherwise(F.col("trapped"))
         rel = clip(F.col(vel) / (F.col(thr) + 1e-9), 0.0, 6.0)
         pts = d.select(*keys, "i", F.col(s).alias("_s"), F.col("mat_gate").cast("double").alias("_mg"), F.col(osc).alias("_os"), ((1.0 - cover) * rel).alias("_sc"), "trapped")
-        j = points_in_intervals(pts, cl, keys, "i", "start_index", "end_index", 4096)
+        j = points_in_intervals(pts, cl, keys, "i", "start_index", "end_index", REACH)
         ev = j.groupBy(*keys, "start_index", "end_index", "n_peaks").agg(
             F.avg("_s").alias("_ms"), F.avg("_mg").alias("mat_fraction"), F.avg("_os").alias("oscillation"), F.avg("_sc").alias("_scr"), F.avg("trapped").alias("arms_trapped")
         )
@@ -282,7 +282,7 @@ def vulnerabilities(df: DataFrame, seq: Seq, fps: float, risk: Column | None = N
         rows = max(c["min_rows"], c["sustain"]) if name == "choke" else c["min_rows"]
         seg = padded_segments(d, seq, F.col(f"k_{name}"), f"s_{name}", rows, c["pad"], max(c["emit"], c["cuts"][0]), "i")
         pts = d.select(*keys, "i", "head_drop", "collapse_score", "stillness", "guard_loss", "ratio", F.col("grounded").cast("double").alias("_g"), "motion")
-        j = points_in_intervals(pts, seg, keys, "i", "start_index", "end_index", 4096)
+        j = points_in_intervals(pts, seg, keys, "i", "start_index", "end_index", REACH)
         ev = j.groupBy(*keys, "start_index", "end_index", "score").agg(
             F.avg("head_drop").alias("head_drop_score"), F.avg("collapse_score").alias("collapse_score"), F.avg("stillness").alias("inactivity_score"),
             F.avg("guard_loss").alias("guard_loss_score"), F.avg(clip(F.col("ratio"), 0.0, 3.0)).alias("grounded_score"), F.avg("_g").alias("grounded_fraction"), F.avg("motion").alias("mean_motion"),
@@ -336,7 +336,7 @@ def with_opponent(df: DataFrame, seq: Seq, fps: float, pair: Sequence[str], pers
     last = max(2, int(VUL["impact_window"] * fps))
     hits = hits.select(*pair, F.col(person).alias("_by"), F.col("end_index").alias("_lo"), (F.col("end_index") + last).alias("_hi"))
     hits = who.join(hits, pair).filter(F.col("_by") != F.col(person)).select(*keys, "_lo", "_hi")
-    after = points_in_intervals(d.select(*keys, "i"), hits, keys, "i", "_lo", "_hi", 64).select(*keys, "i").distinct()
+    after = points_in_intervals(d.select(*keys, "i"), hits, keys, "i", "_lo", "_hi", REACH).select(*keys, "i").distinct()
 
     out = df.join(near, [*pair, "i", person], "left").join(cues, [*pair, "i", person], "left")
     out = out.join(after.withColumn("post_impact", F.lit(True)), [*keys, "i"], "left")
