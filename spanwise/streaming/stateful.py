@@ -46,24 +46,25 @@ class EpisodeProcessor(StatefulProcessor):
         return int(self.cfg.type_cooldown.get(key[-1], self.cfg.cooldown) * 1e6)
 
     def _frame(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
-        d = pd.DataFrame(rows, columns=["episode", "start_us", "seen_us", "n_obs", "score", "finished"])
-        for i, k in enumerate(self.keys):
-            d.insert(i, k, key[i])
-        return d
+        cols = {k: [key[i]] * len(rows) for i, k in enumerate(self.keys)}
+        return pd.DataFrame(cols | dict(zip(("episode", "start_us", "seen_us", "n_obs", "score", "finished"), zip(*rows), strict=True)))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["t_us", "tie"])
-        state = tuple(self.state.get()) if self.state.exists() else None
+        # a key has few rows and there are many keys: plain tuples, and no call to the state store that is not needed
+        batch = sorted(r for b in rows for r in zip(*(b[c].tolist() for c in ("t_us", "tie", "obs_score", "forced"))))
+        had = self.state.get() if self.state.exists() else None
+        state = tuple(had) if had is not None else None
         gap, cd = int(round(self.cfg.merge_gap * 1e6)), self._cooldown(key)
         out = []
-        for t, s, f in zip(batch["t_us"], batch["obs_score"], batch["forced"]):
+        for t, _, s, f in batch:
             state, closed = advance(state, int(t), float(s), bool(f), gap, cd)
             if closed is not None:
                 out.append((*closed, True))
         out.append((*state, False))
         self.state.update(state)
-        for old in self.handle.listTimers():
-            self.handle.deleteTimer(old)
+        if had is not None:
+            for old in self.handle.listTimers():
+                self.handle.deleteTimer(old)
         self.handle.registerTimer(int(state[2] / 1000 + self.cfg.silence_seconds * 1000) + 1)
         yield self._frame(key, out)
 
