@@ -9,8 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -45,32 +44,28 @@ class EpisodeProcessor(StatefulProcessor):
     def _cooldown(self, key: tuple) -> int:
         return int(self.cfg.type_cooldown.get(key[-1], self.cfg.cooldown) * 1e6)
 
-    def _frame(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
-        cols = {k: [key[i]] * len(rows) for i, k in enumerate(self.keys)}
-        return pd.DataFrame(cols | dict(zip(("episode", "start_us", "seen_us", "n_obs", "score", "finished"), zip(*rows), strict=True)))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # a key has few rows and there are many keys: plain tuples, and no call to the state store that is not needed
-        batch = sorted(r for b in rows for r in zip(*(b[c].tolist() for c in ("t_us", "tie", "obs_score", "forced"))))
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        # a key has few rows and there are many keys: rows travel in batches of many keys
+        row = Row(*self.keys, "episode", "start_us", "seen_us", "n_obs", "score", "finished")
+        batch = sorted((r["t_us"], r["tie"], r["obs_score"], r["forced"]) for r in rows)
         had = self.state.get() if self.state.exists() else None
         state = tuple(had) if had is not None else None
         gap, cd = int(round(self.cfg.merge_gap * 1e6)), self._cooldown(key)
-        out = []
         for t, _, s, f in batch:
             state, closed = advance(state, int(t), float(s), bool(f), gap, cd)
             if closed is not None:
-                out.append((*closed, True))
-        out.append((*state, False))
+                yield row(*key, *closed, True)
         self.state.update(state)
         if had is not None:
             for old in self.handle.listTimers():
                 self.handle.deleteTimer(old)
         self.handle.registerTimer(int(state[2] / 1000 + self.cfg.silence_seconds * 1000) + 1)
-        yield self._frame(key, out)
+        yield row(*key, *state, False)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         if self.state.exists():
-            yield self._frame(key, [(*tuple(self.state.get()), True)])
+            row = Row(*self.keys, "episode", "start_us", "seen_us", "n_obs", "score", "finished")
+            yield row(*key, *tuple(self.state.get()), True)
 
     def close(self) -> None:
         pass
@@ -88,7 +83,7 @@ def episode_stream(stream: DataFrame, keys: list[str], ts: str, tie: str, score:
     )
     kt = ", ".join(f"`{k}` {stream.schema[k].dataType.simpleString()}" for k in keys)
     schema = f"{kt}, episode long, start_us long, seen_us long, n_obs long, score double, finished boolean"
-    return d.groupBy(*keys).transformWithStateInPandas(
+    return d.groupBy(*keys).transformWithState(
         statefulProcessor=EpisodeProcessor(keys, cfg), outputStructType=schema, outputMode="Update", timeMode="EventTime"
     )
 

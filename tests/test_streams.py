@@ -91,3 +91,27 @@ def test_late_rows_are_counted_and_silence_closes(spark, tmp_path):
     assert dropped == 1  # 102 is behind 300 - 50; 290 is not and merges
     rows = {r["episode"]: (r["n_obs"], r["finished"]) for r in st.current_episodes(out, ["kind"]).collect()}
     assert rows == {0: (2, True), 1: (3, False)}
+
+
+def test_episode_rows_travel_in_batches_of_many_keys():
+    """No frame is built for each key: a key has few rows and there are many keys."""
+    from spanwise.plans.config import BusConfig
+    from spanwise.streaming import stateful as st
+
+    class Held:
+        def __init__(self):
+            self.v, self.timers = None, []
+
+        exists, get = (lambda self: self.v is not None), (lambda self: self.v)
+
+        def update(self, v):
+            self.v = v
+
+        listTimers = lambda self: self.timers
+        registerTimer = lambda self, t: self.timers.append(t)
+
+    p = st.EpisodeProcessor(["u", "kind"], BusConfig())
+    p.state = p.handle = Held()
+    rows = [{"t_us": t, "tie": i, "obs_score": 0.5, "forced": False} for i, t in enumerate((2, 1))]
+    (got,) = p.handleInputRows(("a", "b"), iter(rows), None)
+    assert got.asDict() == {"u": "a", "kind": "b", "episode": 0, "start_us": 1, "seen_us": 2, "n_obs": 2, "score": 0.5, "finished": False}
