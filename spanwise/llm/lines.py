@@ -19,7 +19,9 @@ its deletion variants: all that is left of it without up to that many characters
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanwise.llm.common import cut, last_id
@@ -33,6 +35,8 @@ EQUAL = {"least": 1}
 PAIRS = 4096
 #: Rests up to this long emit their deletion variants.
 SHORT = 12
+#: Lines that occur more often than this are searched for near ones at their first occurrence only.
+OFTEN = 100
 #: Letters counted before ``levenshtein`` is asked; lines of other scripts are all asked.
 LETTERS = "etaoinsrhldu"
 #: Hashes of lines up to this many are broadcast.
@@ -83,34 +87,36 @@ def width(n: Column) -> Column:
     return F.call_function("shiftleft", F.call_function("shiftright", n, low), low)
 
 
-def frames(n: Column, k, most: int) -> Column:
-    """struct(width, k, own) for the line as the shorter of two (own) and as the longer one; ``k`` gives the bound for a length."""
-    of = [F.when((n >= d) & (k(n - d) >= d), F.struct(width(n - d).alias("width"), k(n - d).alias("k"), ((width(n - d) == width(n)) & (k(n - d) == k(n))).alias("own"))) for d in range(most + 1)]
-    return F.array_compact(F.array_distinct(F.array(*of)))
-
-
-def segments(line: Column, n: Column, frame: Column, k: int, seed: Column, key_only: bool = False) -> Column:
-    """Keys of the segments for bound ``k``, each where it stands and where it may stand: key, or
-    struct(key, own, rest, left): the longer rest beside it and the edits that are left for it."""
-    out = []
-    size = F.floor(frame["width"] / (k + 1)).cast("int")
-    for i in range(k + 1):
-        reach = min(i, k - i)
-        start = size * i if 2 * i <= k else n - size * (k + 1 - i)
-        for by in range(-reach, reach + 1):
-            key = F.xxhash64(seed, frame["width"], frame["k"], F.lit(i), F.substring(line, start + by + 1, size))
-            rest, edits = (F.substring(line, start + by + size + 1, n), k - i) if 2 * i <= k else (left(line, start + by), i)
-            own = frame["own"] if by == 0 else F.lit(False)
-            out.append(key if key_only else F.struct(key.alias("key"), own.alias("own"), rest.alias("rest"), F.lit(edits).alias("left")))
-    return F.array(*out)
-
-
-def by_bound(k: Column, edits: int, most: int, of) -> Column:
-    """``of(t)`` for the row's bound t."""
-    out = of(most)
-    for t in range(most - 1, edits - 1, -1):
-        out = F.when(k == t, of(t)).otherwise(out)
-    return out
+def framed(lines: DataFrame, line: str, k, most: int) -> DataFrame:
+    """A row for each frame of a line: _n, _width, _k, _own. It is the shorter of two lines (own) or up to
+    ``most`` characters the longer one; lengths that share width and bound are one frame. ``k`` gives the bound for a length."""
+    d, n = F.col("_d"), F.col("_n")
+    same = lambda m: (width(m) == width(n)) & (k(m) == k(n))
+    out = lines.withColumn("_n", F.length(line)).withColumn("_d", F.explode(F.array(*[F.lit(i) for i in range(most + 1)])))
+    out = out.filter((d == 0) | ((n >= d) & (k(n - d) >= d) & ((width(n - d) != width(n - d + 1)) | (k(n - d) != k(n - d + 1)))))
+    return out.select(*lines.columns, "_n", width(n - d).alias("_width"), k(n - d).alias("_k"), same(n - d).alias("_own"))
+
+
+def places(k: int) -> Column:
+    """Segments (i) for bound ``k`` and how far from its place each is looked for (by)."""
+    return F.array(*[F.struct(F.lit(i).alias("i"), F.lit(by).alias("by")) for i in range(k + 1) for by in range(-min(i, k - i), min(i, k - i) + 1)])
+
+
+def segments(rows: DataFrame, line: str, least: int, most: int, seed: Column) -> DataFrame:
+    """Rows of ``framed`` with the keys of their segments: key, own, start and size (of the longer rest beside the segment) and left (the edits left for it)."""
+    n, k, i, by = (F.col(c) for c in ("_n", "_k", "_p.i", "_p.by"))
+    of = places(most)
+    for t in range(most - 1, least - 1, -1):
+        of = F.when(k == t, places(t)).otherwise(of)
+    out = rows.withColumn("_p", F.explode(of))
+    first = 2 * i <= k
+    size = F.floor(F.col("_width") / (k + 1)).cast("int")
+    out = out.withColumn("_size", size).withColumn("_at", F.when(first, size * i).otherwise(n - size * (k + 1 - i)) + by)
+    at = F.col("_at")
+    key = F.xxhash64(seed, "_width", "_k", i, F.substring(F.col(line), at + 1, F.col("_size")))
+    end = at + F.col("_size")
+    start, rest = F.when(first, end).otherwise(0), F.greatest(F.when(first, n - end).otherwise(at), F.lit(0))
+    return out.withColumn("_s", F.struct(key.alias("key"), (F.col("_own") & (by == 0)).alias("own"), start.alias("start"), rest.alias("size"), F.when(first, k - i).otherwise(i).alias("left")))
 
 
 def variants(rest: Column, edits: Column, most: int) -> Column:
@@ -122,16 +128,16 @@ def variants(rest: Column, edits: Column, most: int) -> Column:
     return out
 
 
-def candidates(lines: DataFrame, hashes: Column) -> DataFrame:
-    """_a, _first, _line of lines that share a hash with a different line.
+def candidates(lines: DataFrame, keys: DataFrame) -> DataFrame:
+    """_a, _first, _line of lines that share a _key of ``keys`` (_a, _key) with a different line.
 
-    Only ``hashes`` (of halves or pieces) are compared; the text of the few lines that are left is then
+    Only keys are compared, in one shuffle; the text of the few lines that are left is then
     gathered, one row per distinct line. The list of these is broadcast if its counted rows
     are at most BROADCAST_LINES; beyond that the lines are dealt by hash to meet it.
     """
-    keys = lines.select("_a", F.explode(hashes).alias("_key"))
-    several = keys.groupBy("_key").agg(F.min("_a").alias("lo"), F.max("_a").alias("hi")).filter("lo <> hi").select("_key")
-    hot = cut(keys.join(several, "_key", "left_semi").select("_a").distinct())
+    same = Window.partitionBy("_key")
+    several = keys.withColumn("_lo", F.min("_a").over(same)).withColumn("_hi", F.max("_a").over(same)).filter("_lo <> _hi")
+    hot = cut(several.select("_a").distinct())
     hot = F.broadcast(hot) if hot.count() <= BROADCAST_LINES else hot
     first = F.min(F.struct(F.struct("_doc", "_pos", "_hash").alias("at"), F.col("_line").alias("line"))).alias("m")
     return cut(lines.join(hot, "_a").groupBy("_a").agg(first).select("_a", F.col("m.at").alias("_first"), F.col("m.line").alias("_line")))
@@ -142,7 +148,7 @@ def earlier_neighbours(lines: DataFrame) -> DataFrame:
     one, where that is earlier than the line's own."""
     line, n = F.col("_line"), F.length("_line")
     frame = F.col("_n")
-    near = candidates(lines, halves(line, n)).withColumn("_n", F.explode(roles(n))).filter("_n > 0")
+    near = candidates(lines, lines.select("_a", F.explode(halves(line, n)).alias("_key"))).withColumn("_n", F.explode(roles(n))).filter("_n > 0")
 
     # blocks
     block = F.col("_block")
@@ -175,20 +181,19 @@ def earlier_neighbours(lines: DataFrame) -> DataFrame:
     return found.groupBy("_a").agg(F.min("_other._first").alias("_near"))
 
 
-def finer(rows: DataFrame, most: int) -> DataFrame:
+def finer(rows: DataFrame, texts: DataFrame, most: int) -> DataFrame:
     """Rows of keys with many pairs under longer keys; ``last`` where nothing is left to cut."""
+    rows = rows.join(texts.select("_a", "_line"), "_a").withColumn("rest", F.substring(F.col("_line"), F.col("start") + 1, F.col("size")))
     n = F.length("rest")
-    whole = rows.filter(F.col("left") == 0).select("_a", "_first", "_line", F.xxhash64("key", "rest").alias("key"), "own", F.lit("").alias("rest"), "left", F.lit(True).alias("last"))
+    none = F.lit(0)
+    done = lambda df, rest: df.select("_a", "_marks", F.xxhash64("key", rest).alias("key"), "own", none.alias("start"), none.alias("size"), "left", F.lit(True).alias("last"))
     # a rest a little longer than SHORT may have a partner that is not: it goes both ways
     short = rows.filter((F.col("left") > 0) & (n <= SHORT + F.col("left"))).withColumn("_v", F.explode(variants(F.col("rest"), F.col("left"), most)))
-    short = short.select("_a", "_first", "_line", F.xxhash64("key", "_v").alias("key"), "own", F.lit("").alias("rest"), "left", F.lit(True).alias("last"))
-    out = whole.unionByName(short)
+    out = done(rows.filter(F.col("left") == 0), "rest").unionByName(done(short, "_v"))
     for t in range(1, most + 1):
-        some = rows.filter((F.col("left") == t) & (n > SHORT)).withColumn("_n", n)
-        some = some.withColumn("_f", F.explode(frames(F.col("_n"), lambda _: F.lit(t), t)))
-        some = some.withColumn("_s", F.explode(segments(F.col("rest"), F.col("_n"), F.col("_f"), t, F.col("key"))))
+        some = framed(rows.filter((F.col("left") == t) & (n > SHORT)), "rest", lambda _: F.lit(t), t)
         # the shorter line need not have the shorter rest: roles of this cut do not bind
-        out = out.unionByName(some.select("_a", "_first", "_line", "_s.key", "own", "_s.rest", "_s.left", F.lit(False).alias("last")))
+        out = out.unionByName(segments(some, "rest", t, t, F.col("key")).select("_a", "_marks", "_s.key", "own", (F.col("start") + F.col("_s.start")).alias("start"), "_s.size", "_s.left", F.lit(False).alias("last")))
     return out
 
 
@@ -217,42 +222,54 @@ def letters(line: Column) -> Column:
     return F.array(*[F.length(line) - F.length(F.replace(line, F.lit(c), F.lit(""))) for c in LETTERS])
 
 
-def compared(rows: DataFrame, edits: int, per: int, most: int) -> DataFrame:
+def marks(line: Column, k: Column) -> Column:
+    """x, y: 16 counts in eight bits each: of each of LETTERS, other letters before and behind the middle of the
+    alphabet, blanks and all characters; a step of a count changes one bit (Johnson code: counts 16 apart are alike). And the bound ``k``."""
+    step = F.array(*[F.lit(v) for v in [(1 << c) - 1 for c in range(8)] + [256 - (1 << c) for c in range(8)]])
+    other = lambda some: F.length(line) - F.length(F.translate(line, some, ""))
+    counts = [F.length(line) - F.length(F.replace(line, F.lit(c), F.lit(""))) for c in LETTERS] + [other("bcfgjk"), other("mpqvwxyz"), other(" "), F.length(line)]
+    code = [F.get(step, (c % 16).cast("int")).cast("long") for c in counts]
+    pack = lambda part: reduce(lambda x, y: x.bitwiseOR(y), [F.call_function("shiftleft", c, F.lit(8 * i)) for i, c in enumerate(part)])
+    return F.struct(pack(code[:8]).alias("x"), pack(code[8:]).alias("y"), k.alias("k"))
+
+
+def compared(rows: DataFrame, texts: DataFrame, edits: int, per: int, most: int) -> DataFrame:
     """_a and _near for pairs of rows that share a key, one of them as its own.
 
-    An edit changes the letter counts by two at most; pairs whose counts differ by more than that need no ``levenshtein``.
+    An edit moves two counts by one: of two characters, or of one and of all. Lines whose marks differ in
+    more bits than two an edit need no ``levenshtein``. Only the pairs left get their texts.
     """
-    rows = rows.withColumn("_c", letters(F.col("_line")))
-    short = rows.filter("own").select("key", *[F.col(c).alias(f"_s{c}") for c in ("_a", "_first", "_line", "_c")])
-    n = F.length("_s_line")
-    moved = sum((F.abs(F.get("_c", F.lit(i)) - F.get("_s_c", F.lit(i))) for i in range(len(LETTERS))), F.lit(0))
-    apart = F.when(moved <= 2 * bound(n, edits, per, most), distance(F.col("_s_line"), F.col("_line"), most)).otherwise(-1)
-    close = (F.col("_s_a") != F.col("_a")) & (F.length("_line") >= n) & (F.length("_line") <= n + most) & apart.between(F.lit(1), bound(n, edits, per, most))
-    found = short.join(rows, (short["key"] == rows["key"]) & close)
-    later = F.when(F.col("_s_first") < F.col("_first"), F.col("_a")).otherwise(F.col("_s_a"))
-    return found.groupBy(later.alias("_a")).agg(F.min(F.least("_s_first", "_first")).alias("_near"))
+    one = rows.filter("own").select("key", F.col("_a").alias("_sa"), F.col("_marks").alias("_s"))
+    differ = sum((F.bit_count(F.col(f"_s.{c}").bitwiseXOR(F.col(f"_marks.{c}"))) for c in ("x", "y")), F.lit(0))
+    pairs = one.join(rows.select(F.col("key").alias("_key"), "_a", "_marks"), (F.col("key") == F.col("_key")) & (F.col("_sa") != F.col("_a")) & (differ <= 2 * F.col("_s.k")))
+    pairs = cut(pairs.select(F.least("_sa", "_a").alias("_one"), F.greatest("_sa", "_a").alias("_two")).distinct())
+    side = lambda at, name: texts.select(F.col("_a").alias(at), F.struct("_first", "_line").alias(name))
+    pairs = pairs.join(side("_one", "_x"), "_one").join(side("_two", "_y"), "_two")
+    x, y, n = F.col("_x._line"), F.col("_y._line"), F.least(F.length("_x._line"), F.length("_y._line"))
+    near = pairs.filter(F.greatest(F.length(x), F.length(y)) - n <= most).withColumn("_apart", distance(x, y, most)).filter(F.col("_apart").between(F.lit(1), bound(n, edits, per, most)))
+    later = F.when(F.col("_x._first") < F.col("_y._first"), F.col("_two")).otherwise(F.col("_one"))
+    return near.select(later.alias("_a"), F.least("_x._first", "_y._first").alias("_near"))
 
 
 def earlier_within(lines: DataFrame, edits: int, per: int, most: int) -> DataFrame:
     """As ``earlier_neighbours`` for a bound of two edits and more."""
     of = lambda n: bound(n, edits, per, most)
-    line, n, frame = F.col("_line"), F.col("_n"), F.col("_f")
-    cutting = lambda key_only: by_bound(frame["k"], edits, most, lambda t: segments(line, n, frame, t, F.lit(0), key_only))
-    framed = lambda df: df.withColumn("_n", F.length("_line")).withColumn("_f", F.explode(frames(n, of, most)))
-    near = candidates(framed(lines), cutting(True))
-    rows = framed(near).withColumn("_s", F.explode(cutting(False)))
-    rows = rows.select("_a", "_first", "_line", "_s.key", "_s.own", "_s.rest", "_s.left", F.lit(False).alias("last"))
+    cutting = lambda df: segments(framed(df, "_line", of, most), "_line", edits, most, F.lit(0))
+    texts = candidates(lines, cutting(lines).select("_a", F.col("_s.key").alias("_key")))
+    rows = cutting(texts.withColumn("_marks", marks(F.col("_line"), of(F.length("_line")))))
+    rows = rows.select("_a", "_marks", "_s.key", "_s.own", "_s.start", "_s.size", "_s.left", F.lit(False).alias("last"))
     found = None
     while True:
         sizes = rows.groupBy("key").agg(F.min("_a").alias("lo"), F.max("_a").alias("hi"), F.count("*").alias("_c"), F.count_if("own").alias("_o")).filter("_o > 0 and lo <> hi")
-        rows = cut(rows.join(sizes.select("key", (F.col("_c") * F.col("_o")).alias("_pairs")), "key"))
+        rows = rows.join(sizes.select("key", (F.col("_c") * F.col("_o")).alias("_pairs")), "key")
         many = ~F.col("last") & (F.col("_pairs") > PAIRS)
-        part = compared(rows.filter(~many), edits, per, most)
+        rows = cut(rows.withColumn("_many", many))
+        part = compared(rows.filter("not _many"), texts, edits, per, most)
         found = part if found is None else found.unionByName(part)
-        rows = rows.filter(many)
+        rows = rows.filter("_many")
         if rows.isEmpty():
             return found.groupBy("_a").agg(F.min("_near").alias("_near"))
-        rows = finer(rows, most)
+        rows = finer(rows, texts, most)
 
 
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 20, edits: int = 1, per: int = 0, most: int | None = None, least: int | None = None) -> DataFrame:
@@ -272,19 +289,23 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
     equal = (F.length("_line") >= (min_chars if least is None else least)) & F.col("_line").rlike("\\S")
     lines = lines_of(docs, key, text).filter(searched | equal)
     lines = lines.select("_doc", "_hash", "_pos", F.xxhash64(F.lit(1), "_line").alias("_a"), F.xxhash64(F.lit(2), "_line").alias("_b"), "_line")
+    every = cut(lines.drop("_line"))
     at = F.struct("_doc", "_pos", "_hash")
-    classes = lines.groupBy("_a").agg(F.min(F.struct(at.alias("at"), F.col("_b").alias("b"))).alias("m"), F.count("*").alias("_k"))
-    verdict = classes.select("_a", F.col("m.b").alias("_same"), F.col("m.at").alias("_first"), "_k")
+    classes = every.groupBy("_a").agg(F.min(F.struct(at.alias("at"), F.col("_b").alias("b"))).alias("m"), F.count("*").alias("_k")).filter("_k > 1")
+    verdict = cut(classes.select("_a", F.col("m.b").alias("_same"), F.col("m.at").alias("_first"), "_k"))
     if edits:
-        long = lines.filter(searched)
+        # of a line that occurs very often only the first occurrence is searched
+        often = cut(verdict.filter(F.col("_k") > OFTEN).select("_a", F.col("_first").alias("_only")))
+        often = F.broadcast(often) if often.count() <= BROADCAST_LINES else often
+        long = lines.filter(searched).join(often, "_a", "left").filter(F.col("_only").isNull() | (F.col("_only") == at)).drop("_only")
         near = earlier_neighbours(long) if edits == 1 else earlier_within(long, edits, per, most)
-        verdict = verdict.join(near, "_a", "left").filter("_k > 1 or _near is not null")
+        verdict = cut(verdict.join(near, "_a", "full"))
     else:
-        verdict = verdict.filter("_k > 1").withColumn("_near", F.lit(None).cast("struct<_doc:long,_pos:int,_hash:long>"))
-    verdict = cut(verdict)
+        verdict = verdict.withColumn("_near", F.lit(None).cast("struct<_doc:long,_pos:int,_hash:long>"))
     by = F.least("_first", "_near")
-    out = lines.select("_doc", "_hash", "_pos", "_a", "_b").join(verdict, "_a").filter(F.col("_b") == F.col("_same"))
-    return out.filter(by < at).select("_doc", "_hash", "_pos", (F.col("_first") == at).alias("_near"), by.alias("_by"))
+    # a line that occurs once has no _same and is its own first
+    out = every.join(verdict, "_a").filter(F.col("_same").isNull() | (F.col("_b") == F.col("_same")))
+    return out.filter(by < at).select("_doc", "_hash", "_pos", F.coalesce(F.col("_first") == at, F.lit(True)).alias("_near"), by.alias("_by"))
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 20, edits: int = 1, into: str = "line_dedup", per: int = 0, most: int | None = None, least: int | None = None) -> DataFrame:

@@ -160,3 +160,37 @@ def test_distance_and_letters_agree_with_levenshtein(spark):
     whole = F.levenshtein("a", "b")
     assert d.filter(lines.distance(F.col("a"), F.col("b"), 4) != F.levenshtein("a", "b", 4)).isEmpty()
     assert d.filter(moved > 2 * whole).isEmpty()
+
+
+def test_an_edit_changes_two_bits_of_the_marks(spark):
+    rng = random.Random(8)
+    pairs = [("e" * 40, "e" * 23), ("", "é"), ("a b", "ab")]
+    for _ in range(300):
+        a = "".join(rng.choice("abeqz é𝄞T ") for _ in range(rng.randrange(60)))
+        b = a
+        for _ in range(rng.randrange(5)):
+            b = edit(rng, b)
+        pairs.append((a, b))
+    mark = lambda c: lines.marks(F.col(c), F.lit(2))
+    bits = sum((F.bit_count(mark("a")[k].bitwiseXOR(mark("b")[k])) for k in ("x", "y")), F.lit(0))
+    d = spark.createDataFrame(pairs, "a string, b string").select(bits.alias("bits"), F.levenshtein("a", "b").alias("apart"))
+    assert d.filter("bits > 2 * apart").isEmpty() and not d.filter("bits = 2 * apart and apart = 4").isEmpty()
+
+
+def test_pairs_of_a_template_are_mostly_ruled_out_without_their_texts(spark, monkeypatch):
+    rng = random.Random(6)
+    words = ["the", "river", "mound", "cloak", "sparrow", "of", "quince", "zebra", "fly", "jug"]
+    docs = [(i, "a common start of many lines " + " ".join(rng.choice(words) for _ in range(8)) + " and a common end") for i in range(60)]
+    docs.append((60, docs[7][1].replace("start", "stark")))
+    kept, asked = lines.cut, []
+
+    def seen(df):
+        out = kept(df)
+        if out.columns == ["_one", "_two"]:
+            asked.append(out.count())
+        return out
+
+    monkeypatch.setattr(lines, "cut", seen)
+    got = removed_lines(spark.createDataFrame(docs, "doc_id long, text string"), edits=2).collect()
+    assert {(r["_doc"], r["_by"]["_doc"]) for r in got} == {(60, 7)}
+    assert 1 <= sum(asked) <= 60 and asked
