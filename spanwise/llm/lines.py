@@ -33,6 +33,8 @@ NEAR = {"edits": 2, "per": 400, "most": 4}
 EQUAL = {"least": 1}
 #: Keys with more pairs than this are cut further.
 PAIRS = 4096
+#: In keys with more pairs than this every line is held against the earliest first.
+STAR = 64
 #: Rests up to this long emit their deletion variants.
 SHORT = 12
 #: Lines that occur more often than this are searched for near ones at their first occurrence only.
@@ -186,14 +188,14 @@ def finer(rows: DataFrame, texts: DataFrame, most: int) -> DataFrame:
     rows = rows.join(texts.select("_a", "_line"), "_a").withColumn("rest", F.substring(F.col("_line"), F.col("start") + 1, F.col("size")))
     n = F.length("rest")
     none = F.lit(0)
-    done = lambda df, rest: df.select("_a", "_marks", F.xxhash64("key", rest).alias("key"), "own", none.alias("start"), none.alias("size"), "left", F.lit(True).alias("last"))
+    done = lambda df, rest: df.select("_a", "_first", "_marks", "_open", F.xxhash64("key", rest).alias("key"), "own", none.alias("start"), none.alias("size"), "left", F.lit(True).alias("last"))
     # a rest a little longer than SHORT may have a partner that is not: it goes both ways
     short = rows.filter((F.col("left") > 0) & (n <= SHORT + F.col("left"))).withColumn("_v", F.explode(variants(F.col("rest"), F.col("left"), most)))
     out = done(rows.filter(F.col("left") == 0), "rest").unionByName(done(short, "_v"))
     for t in range(1, most + 1):
         some = framed(rows.filter((F.col("left") == t) & (n > SHORT)), "rest", lambda _: F.lit(t), t)
         # the shorter line need not have the shorter rest: roles of this cut do not bind
-        out = out.unionByName(segments(some, "rest", t, t, F.col("key")).select("_a", "_marks", "_s.key", "own", (F.col("start") + F.col("_s.start")).alias("start"), "_s.size", "_s.left", F.lit(False).alias("last")))
+        out = out.unionByName(segments(some, "rest", t, t, F.col("key")).select("_a", "_first", "_marks", "_open", "_s.key", "own", (F.col("start") + F.col("_s.start")).alias("start"), "_s.size", "_s.left", F.lit(False).alias("last")))
     return out
 
 
@@ -233,38 +235,61 @@ def marks(line: Column, k: Column) -> Column:
     return F.struct(pack(code[:8]).alias("x"), pack(code[8:]).alias("y"), k.alias("k"))
 
 
-def compared(rows: DataFrame, texts: DataFrame, edits: int, per: int, most: int) -> DataFrame:
-    """_a and _near for pairs of rows that share a key, one of them as its own.
+def differ(a: Column, b: Column) -> Column:
+    """Whether the marks of two lines rule them out: an edit moves two counts by one, of two characters, or of one and of all."""
+    return F.bit_count(a["x"].bitwiseXOR(b["x"])) + F.bit_count(a["y"].bitwiseXOR(b["y"])) > 2 * F.greatest(a["k"], b["k"])
+
+
+def near_of(pairs: DataFrame, texts: DataFrame, edits: int, per: int, most: int) -> DataFrame:
+    """Of pairs (_one, _two) of lines those within the bound: _one, _two and their first occurrences _f, _g. Only here texts are fetched."""
+    side = lambda at, name, first: texts.select(F.col("_a").alias(at), F.col("_first").alias(first), F.col("_line").alias(name))
+    pairs = pairs.join(side("_one", "_x", "_f"), "_one").join(side("_two", "_y", "_g"), "_two")
+    x, y, n = F.col("_x"), F.col("_y"), F.least(F.length("_x"), F.length("_y"))
+    near = pairs.filter(F.greatest(F.length(x), F.length(y)) - n <= most).withColumn("_apart", distance(x, y, most))
+    return near.filter(F.col("_apart").between(F.lit(1), bound(n, edits, per, most))).select("_one", "_two", "_f", "_g")
 
-    An edit moves two counts by one: of two characters, or of one and of all. Lines whose marks differ in
-    more bits than two an edit need no ``levenshtein``. Only the pairs left get their texts.
-    """
-    one = rows.filter("own").select("key", F.col("_a").alias("_sa"), F.col("_marks").alias("_s"))
-    differ = sum((F.bit_count(F.col(f"_s.{c}").bitwiseXOR(F.col(f"_marks.{c}"))) for c in ("x", "y")), F.lit(0))
-    pairs = one.join(rows.select(F.col("key").alias("_key"), "_a", "_marks"), (F.col("key") == F.col("_key")) & (F.col("_sa") != F.col("_a")) & (differ <= 2 * F.col("_s.k")))
-    pairs = cut(pairs.select(F.least("_sa", "_a").alias("_one"), F.greatest("_sa", "_a").alias("_two")).distinct())
-    side = lambda at, name: texts.select(F.col("_a").alias(at), F.struct("_first", "_line").alias(name))
-    pairs = pairs.join(side("_one", "_x"), "_one").join(side("_two", "_y"), "_two")
-    x, y, n = F.col("_x._line"), F.col("_y._line"), F.least(F.length("_x._line"), F.length("_y._line"))
-    near = pairs.filter(F.greatest(F.length(x), F.length(y)) - n <= most).withColumn("_apart", distance(x, y, most)).filter(F.col("_apart").between(F.lit(1), bound(n, edits, per, most)))
-    later = F.when(F.col("_x._first") < F.col("_y._first"), F.col("_two")).otherwise(F.col("_one"))
-    return near.select(later.alias("_a"), F.least("_x._first", "_y._first").alias("_near"))
+
+def compared(rows: DataFrame) -> DataFrame:
+    """Pairs _one, _two of rows that share a key, one of them as its own, the later one open, and that the marks do not rule out."""
+    one = rows.filter("own").select("key", *[F.col(c).alias(f"_s{c}") for c in ("_a", "_first", "_marks", "_open")])
+    rows = rows.select(F.col("key").alias("_key"), "_a", "_first", "_marks", "_open")
+    later = F.when(F.col("_first") < F.col("_s_first"), F.col("_s_open")).otherwise(F.col("_open"))
+    pairs = one.join(rows, (F.col("key") == F.col("_key")) & (F.col("_s_a") != F.col("_a")) & later & ~differ(F.col("_s_marks"), F.col("_marks")))
+    return pairs.select(F.least("_s_a", "_a").alias("_one"), F.greatest("_s_a", "_a").alias("_two"))
 
 
 def earlier_within(lines: DataFrame, edits: int, per: int, most: int) -> DataFrame:
-    """As ``earlier_neighbours`` for a bound of two edits and more."""
+    """As ``earlier_neighbours`` for a bound of two edits and more.
+
+    In a key of several pairs every line is first held against the earliest one. A line near that
+    one has no earlier neighbour under this key or a longer one: it is not open, and from then on only the
+    earlier one of a pair. So a large group of near lines costs one comparison a line.
+    """
     of = lambda n: bound(n, edits, per, most)
     cutting = lambda df: segments(framed(df, "_line", of, most), "_line", edits, most, F.lit(0))
     texts = candidates(lines, cutting(lines).select("_a", F.col("_s.key").alias("_key")))
     rows = cutting(texts.withColumn("_marks", marks(F.col("_line"), of(F.length("_line")))))
-    rows = rows.select("_a", "_marks", "_s.key", "_s.own", "_s.start", "_s.size", "_s.left", F.lit(False).alias("last"))
+    rows = rows.select("_a", "_first", "_marks", "_s.key", "_s.own", "_s.start", "_s.size", "_s.left", F.lit(True).alias("_open"), F.lit(False).alias("last"))
     found = None
     while True:
         sizes = rows.groupBy("key").agg(F.min("_a").alias("lo"), F.max("_a").alias("hi"), F.count("*").alias("_c"), F.count_if("own").alias("_o")).filter("_o > 0 and lo <> hi")
-        rows = rows.join(sizes.select("key", (F.col("_c") * F.col("_o")).alias("_pairs")), "key")
-        many = ~F.col("last") & (F.col("_pairs") > PAIRS)
-        rows = cut(rows.withColumn("_many", many))
-        part = compared(rows.filter("not _many"), texts, edits, per, most)
+        rows = cut(rows.join(sizes.select("key", (F.col("_c") * F.col("_o")).alias("_pairs")), "key"))
+        # the earliest line of a key against the others
+        several = rows.filter(F.col("_pairs") > STAR)
+        hubs = several.groupBy("key").agg(F.min(F.struct("_first", "_a", "_marks")).alias("_hub"))
+        spokes = several.filter("_open").join(hubs, "key").filter((F.col("_a") != F.col("_hub._a")) & ~differ(F.col("_marks"), F.col("_hub._marks")))
+        spokes = cut(spokes.select(F.col("_hub._a").alias("_one"), F.col("_a").alias("_two"), "key"))
+        star = cut(near_of(spokes.select("_one", "_two").distinct(), texts, edits, per, most))
+        shut = spokes.join(star.select("_one", "_two"), ["_one", "_two"]).select("key", F.col("_two").alias("_a")).distinct()
+        rows = rows.join(shut.withColumn("_shut", F.lit(True)), ["key", "_a"], "left").withColumn("_open", F.col("_open") & F.col("_shut").isNull()).drop("_shut")
+        still = rows.groupBy("key").agg(F.count_if("_open").alias("_u"), F.count_if(F.col("_open") & F.col("own")).alias("_v"), F.count("*").alias("_c"), F.count_if("own").alias("_o"))
+        # pairs with an open line; alone open, the earliest one is compared with nothing
+        still = still.select("key", (F.col("_u") * F.col("_o") + F.col("_v") * F.col("_c")).alias("_pairs")).filter("_pairs > 0")
+        rows = cut(rows.drop("_pairs").join(still, "key").withColumn("_many", ~F.col("last") & (F.col("_pairs") > 2 * PAIRS)))
+        tried = spokes.select(F.least("_one", "_two").alias("_one"), F.greatest("_one", "_two").alias("_two"))
+        pairs = cut(compared(rows.filter("not _many")).distinct().join(tried, ["_one", "_two"], "left_anti"))
+        part = star.unionByName(near_of(pairs, texts, edits, per, most))
+        part = part.select(F.when(F.col("_f") < F.col("_g"), F.col("_two")).otherwise(F.col("_one")).alias("_a"), F.least("_f", "_g").alias("_near"))
         found = part if found is None else found.unionByName(part)
         rows = rows.filter("_many")
         if rows.isEmpty():

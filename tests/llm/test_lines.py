@@ -194,3 +194,26 @@ def test_pairs_of_a_template_are_mostly_ruled_out_without_their_texts(spark, mon
     got = removed_lines(spark.createDataFrame(docs, "doc_id long, text string"), edits=2).collect()
     assert {(r["_doc"], r["_by"]["_doc"]) for r in got} == {(60, 7)}
     assert 1 <= sum(asked) <= 60 and asked
+
+
+def test_a_large_group_of_near_lines_is_no_square(spark, monkeypatch):
+    text = "a long line that many documents repeat with one number that differs, here it is: "
+    docs = [(i, f"{text}{i % 10}{i // 10} and the end") for i in range(90)]
+    docs.append((90, docs[3][1].replace("long", "lung").replace("03", "30")))
+    kept, asked = lines.cut, []
+
+    def seen(df):
+        out = kept(df)
+        if out.columns[:2] == ["_one", "_two"]:
+            asked.append(out.select("_one", "_two").distinct().count())
+        return out
+
+    monkeypatch.setattr(lines, "cut", seen)
+    got = removed_lines(spark.createDataFrame(docs, "doc_id long, text string"), edits=2).collect()
+    want = {}
+    for at, (i, ln) in enumerate(docs):
+        by = [o for o, other in docs[:at] if levenshtein(ln, other) <= 2]
+        if by:
+            want[i] = by[0]
+    assert {r["_doc"]: r["_by"]["_doc"] for r in got} == want
+    assert len(want) >= 89 and sum(asked) <= 4 * len(docs)
