@@ -24,15 +24,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanwise.llm.common import cut, last_id
+from spanwise.llm.common import cut, last_id, partitions
 
 BLOCK = 32
 #: Bound of the query and the pipeline: two edits, three from 400 characters, four from 800.
 NEAR = {"edits": 2, "per": 400, "most": 4}
 #: Both remove equal lines of any length that are not blank.
 EQUAL = {"least": 1}
-#: Keys with more pairs than this are cut further.
-PAIRS = 4096
+#: Keys with more pairs than this are cut further. Up to it marks are compared, two longs a pair, while
+#: every cut gives a line five to 13 new rows: lines that differ here and there share most of their cuts.
+PAIRS = 4_194_304
 #: In keys with more pairs than this every line is held against the earliest first.
 STAR = 64
 #: Rests up to this long emit their deletion variants.
@@ -43,6 +44,9 @@ OFTEN = 100
 LETTERS = "etaoinsrhldu"
 #: Hashes of lines up to this many are broadcast.
 BROADCAST_LINES = 1_000_000
+#: Lines up to this many (counted), of at most BROADCAST_CHARS characters in all, are broadcast to the pairs they stand in.
+BROADCAST_TEXTS = 20_000
+BROADCAST_CHARS = 8_000_000
 
 
 def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -130,6 +134,19 @@ def variants(rest: Column, edits: Column, most: int) -> Column:
     return out
 
 
+def placed(df: DataFrame) -> DataFrame:
+    """``df``, dealt by a key, cut. The copy knows how it is dealt, so joins on the key leave it where it is;
+    a plan that is changed while it runs would not keep that."""
+    spark = df.sparkSession
+    name = "spark.sql.adaptive.enabled"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        return cut(df)
+    finally:
+        spark.conf.set(name, was)
+
+
 def candidates(lines: DataFrame, keys: DataFrame) -> DataFrame:
     """_a, _first, _line of lines that share a _key of ``keys`` (_a, _key) with a different line.
 
@@ -142,7 +159,8 @@ def candidates(lines: DataFrame, keys: DataFrame) -> DataFrame:
     hot = cut(several.select("_a").distinct())
     hot = F.broadcast(hot) if hot.count() <= BROADCAST_LINES else hot
     first = F.min(F.struct(F.struct("_doc", "_pos", "_hash").alias("at"), F.col("_line").alias("line"))).alias("m")
-    return cut(lines.join(hot, "_a").groupBy("_a").agg(first).select("_a", F.col("m.at").alias("_first"), F.col("m.line").alias("_line")))
+    dealt = lines.join(hot, "_a").repartition(partitions(lines.sparkSession), "_a")
+    return placed(dealt.groupBy("_a").agg(first).select("_a", F.col("m.at").alias("_first"), F.col("m.line").alias("_line")))
 
 
 def earlier_neighbours(lines: DataFrame) -> DataFrame:
@@ -241,21 +259,27 @@ def differ(a: Column, b: Column) -> Column:
 
 
 def near_of(pairs: DataFrame, texts: DataFrame, edits: int, per: int, most: int) -> DataFrame:
-    """Of pairs (_one, _two) of lines those within the bound: _one, _two and their first occurrences _f, _g. Only here texts are fetched."""
-    side = lambda at, name, first: texts.select(F.col("_a").alias(at), F.col("_first").alias(first), F.col("_line").alias(name))
-    pairs = pairs.join(side("_one", "_x", "_f"), "_one").join(side("_two", "_y", "_g"), "_two")
+    """Of pairs (_one, _two) of lines those within the bound: _one, _two and their first occurrences _f, _g. Only here texts are
+    fetched: ``texts`` stays in place for _two, and what _one names, where one line may stand in many pairs, is taken out of it."""
+    side = lambda rows, at, name, first: rows.select(F.col("_a").alias(at), F.col("_first").alias(first), F.col("_line").alias(name))
+    heads = cut(texts.join(pairs.select(F.col("_one").alias("_a")).distinct(), "_a", "left_semi"))
+    n, chars = heads.agg(F.count("*"), F.coalesce(F.sum(F.length("_line")), F.lit(0))).first()
+    heads = side(heads, "_one", "_x", "_f")
+    heads = F.broadcast(heads) if n <= BROADCAST_TEXTS and chars <= BROADCAST_CHARS else heads
+    pairs = pairs.join(heads, "_one").join(side(texts, "_two", "_y", "_g"), "_two")
     x, y, n = F.col("_x"), F.col("_y"), F.least(F.length("_x"), F.length("_y"))
     near = pairs.filter(F.greatest(F.length(x), F.length(y)) - n <= most).withColumn("_apart", distance(x, y, most))
     return near.filter(F.col("_apart").between(F.lit(1), bound(n, edits, per, most))).select("_one", "_two", "_f", "_g")
 
 
 def compared(rows: DataFrame) -> DataFrame:
-    """Pairs _one, _two of rows that share a key, one of them as its own, the later one open, and that the marks do not rule out."""
+    """Pairs of rows that share a key, one of them as its own, the later one open, and that the marks do not rule out: _one (the earlier), _f (its first occurrence) and _two."""
     one = rows.filter("own").select("key", *[F.col(c).alias(f"_s{c}") for c in ("_a", "_first", "_marks", "_open")])
     rows = rows.select(F.col("key").alias("_key"), "_a", "_first", "_marks", "_open")
-    later = F.when(F.col("_first") < F.col("_s_first"), F.col("_s_open")).otherwise(F.col("_open"))
+    earlier = F.col("_s_first") < F.col("_first")
+    later = F.when(earlier, F.col("_open")).otherwise(F.col("_s_open"))
     pairs = one.join(rows, (F.col("key") == F.col("_key")) & (F.col("_s_a") != F.col("_a")) & later & ~differ(F.col("_s_marks"), F.col("_marks")))
-    return pairs.select(F.least("_s_a", "_a").alias("_one"), F.greatest("_s_a", "_a").alias("_two"))
+    return pairs.select(F.when(earlier, F.col("_s_a")).otherwise(F.col("_a")).alias("_one"), F.least("_s_first", "_first").alias("_f"), F.when(earlier, F.col("_a")).otherwise(F.col("_s_a")).alias("_two"))
 
 
 def earlier_within(lines: DataFrame, edits: int, per: int, most: int) -> DataFrame:
@@ -263,7 +287,9 @@ def earlier_within(lines: DataFrame, edits: int, per: int, most: int) -> DataFra
 
     In a key of several pairs every line is first held against the earliest one. A line near that
     one has no earlier neighbour under this key or a longer one: it is not open, and from then on only the
-    earlier one of a pair. So a large group of near lines costs one comparison a line.
+    earlier one of a pair. So a large group of near lines costs one comparison a line. Of the other lines each
+    is held against the earliest one that the marks allow: if that is near, no other can be its earlier
+    neighbour under these keys. Only lines whose first try fails are compared with all that the marks allow.
     """
     of = lambda n: bound(n, edits, per, most)
     cutting = lambda df: segments(framed(df, "_line", of, most), "_line", edits, most, F.lit(0))
@@ -271,6 +297,7 @@ def earlier_within(lines: DataFrame, edits: int, per: int, most: int) -> DataFra
     rows = cutting(texts.withColumn("_marks", marks(F.col("_line"), of(F.length("_line")))))
     rows = rows.select("_a", "_first", "_marks", "_s.key", "_s.own", "_s.start", "_s.size", "_s.left", F.lit(True).alias("_open"), F.lit(False).alias("last"))
     found = None
+    pair = ["_one", "_two"]
     while True:
         sizes = rows.groupBy("key").agg(F.min("_a").alias("lo"), F.max("_a").alias("hi"), F.count("*").alias("_c"), F.count_if("own").alias("_o")).filter("_o > 0 and lo <> hi")
         rows = cut(rows.join(sizes.select("key", (F.col("_c") * F.col("_o")).alias("_pairs")), "key"))
@@ -286,10 +313,16 @@ def earlier_within(lines: DataFrame, edits: int, per: int, most: int) -> DataFra
         # pairs with an open line; alone open, the earliest one is compared with nothing
         still = still.select("key", (F.col("_u") * F.col("_o") + F.col("_v") * F.col("_c")).alias("_pairs")).filter("_pairs > 0")
         rows = cut(rows.drop("_pairs").join(still, "key").withColumn("_many", ~F.col("last") & (F.col("_pairs") > 2 * PAIRS)))
-        tried = spokes.select(F.least("_one", "_two").alias("_one"), F.greatest("_one", "_two").alias("_two"))
-        pairs = cut(compared(rows.filter("not _many")).distinct().join(tried, ["_one", "_two"], "left_anti"))
-        part = star.unionByName(near_of(pairs, texts, edits, per, most))
-        part = part.select(F.when(F.col("_f") < F.col("_g"), F.col("_two")).otherwise(F.col("_one")).alias("_a"), F.least("_f", "_g").alias("_near"))
+        few = rows.filter("not _many")
+        best = cut(compared(few).groupBy("_two").agg(F.min(F.struct("_f", "_one"))["_one"].alias("_one")).select(*pair))
+        near = cut(near_of(best.join(spokes, pair, "left_anti"), texts, edits, per, most))
+        # near lines need no other try; of a star, the others are open where they are not near the earliest line
+        done = near.unionByName(star.join(best, pair, "left_semi")).select(F.col("_two").alias("_a"), F.lit(True).alias("_done")).distinct()
+        few = few.join(done, "_a", "left").withColumn("_open", F.col("_open") & F.col("_done").isNull()).drop("_done")
+        tried = spokes.select(*pair).unionByName(best).distinct()
+        pairs = cut(compared(few).select(*pair).distinct().join(tried, pair, "left_anti"))
+        part = star.unionByName(near).unionByName(near_of(pairs, texts, edits, per, most))
+        part = cut(part.select(F.col("_two").alias("_a"), F.col("_f").alias("_near")))
         found = part if found is None else found.unionByName(part)
         rows = rows.filter("_many")
         if rows.isEmpty():

@@ -217,3 +217,37 @@ def test_a_large_group_of_near_lines_is_no_square(spark, monkeypatch):
             want[i] = by[0]
     assert {r["_doc"]: r["_by"]["_doc"] for r in got} == want
     assert len(want) >= 89 and sum(asked) <= 4 * len(docs)
+
+
+def test_a_family_of_lines_is_compared_by_marks_and_not_cut_again_and_again(spark, monkeypatch):
+    rng = random.Random(9)
+    words = [rng.choice(["river", "mound", "cloak", "raven", "quill"]) for _ in range(14)]
+    docs = []
+    for i in range(90):
+        w = list(words)
+        for _ in range(3):
+            w[rng.randrange(5, 9)] = rng.choice(["zebra", "fudgy", "whisk", "ocean"])
+        docs.append((i, " ".join(w)))
+    docs += [(90 + i, edit(rng, docs[i][1])) for i in range(10)]
+    cutting = []
+    monkeypatch.setattr(lines, "finer", lambda *a, f=lines.finer: cutting.append(1) or f(*a))
+    got = removed_lines(spark.createDataFrame(docs, "doc_id long, text string"), edits=2).collect()
+    want = {}
+    for at, (i, ln) in enumerate(docs):
+        by = [o for o, other in docs[:at] if abs(len(ln) - len(other)) <= 2 and levenshtein(ln, other) <= 2]
+        if by:
+            want[i] = by[0]
+    assert {r["_doc"]: r["_by"]["_doc"] for r in got} == want
+    assert len(want) >= 10 and not cutting
+
+
+def test_texts_of_candidate_lines_are_dealt_once(spark):
+    rows = spark.createDataFrame([(i % 9, i // 9, 0, f"{'a' * (i % 9)} line that some have") for i in range(36)], "_a long, _doc long, _pos int, _line string").withColumn("_hash", F.xxhash64("_doc"))
+    keys = spark.range(9).select(F.col("id").alias("_a"), F.lit(1).cast("long").alias("_key"))
+    texts = lines.candidates(rows, keys)
+    assert texts.count() == 9
+    pairs = spark.range(9).filter("id > 0").select((F.col("id") - 1).alias("_one"), F.col("id").alias("_two"))
+    near = lines.near_of(pairs, texts, 2, 0, 2)
+    assert {(r["_one"], r["_two"]) for r in near.collect()} == {(i, i + 1) for i in range(8)}
+    plan = texts.join(pairs.withColumnRenamed("_two", "_a").hint("shuffle_merge"), "_a")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1  # the pairs
