@@ -15,6 +15,10 @@ from spanwise.llm.common import LAST, components, cut, last_id, order_key, parti
 
 #: Rows of a tile, and rows compared at one time.
 TILE, STRIP = 4096, 1024
+#: Tiles a task holds of the second side, and pairs of tiles that go to Python at one time.
+HELD, AT_ONCE = 8, 4
+#: Counts and links a task gathers before it folds them.
+FOLD = 1_000_000
 #: Dimensions accumulated before the bound is looked at again.
 STEPS = (12, 24, 40)
 
@@ -228,19 +232,15 @@ def _tiled(reps: DataFrame, axes: np.ndarray, threshold: float, dim: int, box: i
     ranges = max(1, min(4 * n, ceil(total / TILE))) if total < 4 * n * TILE else ceil(total / (4 * TILE))
     tiles = cut(ordered.repartitionByRange(ranges, "_c1").withColumn("_part", F.spark_partition_id().cast("long")).mapInArrow(tile, TILED))
     reach = 2 - 2 * threshold  # squared distance of unit vectors
-    side = float(np.sqrt(max(reach, 1e-12))) + 1e-6
-    span = tiles.select("tile", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo")[0] / side), F.floor(F.col("hi")[0] / side) + 1)).alias("bin"))
-    a, b = (span.select("bin", *[F.col(c).alias(f"{s}_{c}") for c in ("tile", "lo", "hi")]) for s in ("a", "b"))
+    # parts of tiles meet where they are read: a shuffle would write every tile once for each of its pairs
+    parts = tiles.rdd.getNumPartitions()
+    parts = min(parts, max(ceil(parts / HELD), ceil(2 * float(np.sqrt(n)))))
+    a, b = (tiles.coalesce(parts).select(*[F.col(c).alias(f"{s}_{c}") for c in ("tile", "lo", "hi", "ids", "weights", "vectors")]) for s in ("a", "b"))
     gap = sum((F.greatest(F.lit(0.0), F.col("a_lo")[k] - F.col("b_hi")[k], F.col("b_lo")[k] - F.col("a_hi")[k]) ** 2 for k in range(lead)), F.lit(0.0))
-    pairs = a.join(b, "bin").filter((F.col("a_tile") <= F.col("b_tile")) & (gap <= reach + 1e-9)).select("a_tile", "b_tile").distinct()
-    pairs = pairs.select(F.explode(F.array_distinct(F.array("a_tile", "b_tile"))).alias("tile"), F.col("a_tile").alias("pa"), F.col("b_tile").alias("pb"))
-    sides = tiles.select("tile", "ids", "weights", "vectors").join(pairs, "tile")
-
-    def compare(key, t):
-        cols = {c: t.column(c).to_pylist() for c in ("tile", "ids", "weights", "vectors")}
-        order = np.argsort(cols["tile"])
-        ids, weights = ([np.frombuffer(cols[c][k], "<i8") for k in order] for c in ("ids", "weights"))
-        raw = [np.frombuffer(cols["vectors"][k], "<f8").reshape(-1, dim) for k in order]
+    pairs = a.join(b.hint("shuffle_replicate_nl"), (F.col("a_tile") <= F.col("b_tile")) & (gap <= reach + 1e-9)).drop("a_lo", "a_hi", "b_lo", "b_hi")
+
+    def met(ids, weights, raw) -> tuple[np.ndarray, ...]:
+        """Link counts (id, count) and a spanning forest (id, id) of one tile, or of two."""
         units = [(x / np.linalg.norm(x, axis=1, keepdims=True)) @ shared.value for x in raw]
         same = len(raw) == 1
         i, j = links(units[0], units[-1], raw[0], raw[-1], threshold, same)
@@ -250,18 +250,46 @@ def _tiled(reps: DataFrame, axes: np.ndarray, threshold: float, dim: int, box: i
             ca, cb = ca + cb, np.zeros(0)
         ia, ib = np.flatnonzero(ca), np.flatnonzero(cb)
         edge = np.array(forest(i, j if same else j + len(ids[0])), dtype=int)
-        left = np.concatenate([ids[0][ia], ids[-1][ib], ids[0][i[edge]]])
-        count = np.concatenate([ca[ia], cb[ib]]).astype(np.int64)
-        right = ids[-1][j[edge]]
-        return pa.table(
-            {
-                "_a": pa.array(left, pa.int64()),
-                "_b": pa.concat_arrays([pa.nulls(len(count), pa.int64()), pa.array(right, pa.int64())]),
-                "_c": pa.concat_arrays([pa.array(count, pa.int64()), pa.nulls(len(right), pa.int64())]),
-            }
-        )
-
-    return cut(sides.groupBy("pa", "pb").applyInArrow(compare, "_a long, _b long, _c long"))
+        return np.concatenate([ids[0][ia], ids[-1][ib]]), np.concatenate([ca[ia], cb[ib]]).astype(np.int64), ids[0][i[edge]], ids[-1][j[edge]]
+
+    def folded(got: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        who, count, one, two = (np.concatenate(c) for c in zip(*got, strict=True))
+        who, at = np.unique(who, return_inverse=True)
+        total = np.zeros(len(who), np.int64)
+        np.add.at(total, at, count)
+        edge = np.array(forest(one, two), dtype=int)
+        return who, total, one[edge], two[edge]
+
+    def compare(batches):
+        got, size = [], 0
+        for batch in batches:
+            c = {k: batch.column(k).to_pylist() for k in batch.schema.names}
+            for k in range(batch.num_rows):
+                some = "a" if c["a_tile"][k] == c["b_tile"][k] else "ab"
+                ids, weights = ([np.frombuffer(c[f"{s}_{name}"][k], "<i8") for s in some] for name in ("ids", "weights"))
+                got.append(met(ids, weights, [np.frombuffer(c[f"{s}_vectors"][k], "<f8").reshape(-1, dim) for s in some]))
+                size += len(got[-1][0]) + len(got[-1][2])
+                if size > FOLD:
+                    got, size = [folded(got)], 0
+        if got:
+            who, count, one, two = folded(got)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([who, one]), pa.int64()),
+                    pa.concat_arrays([pa.nulls(len(who), pa.int64()), pa.array(two, pa.int64())]),
+                    pa.concat_arrays([pa.array(count, pa.int64()), pa.nulls(len(two), pa.int64())]),
+                ],
+                names=["_a", "_b", "_c"],
+            )
+
+    # a row is two whole tiles
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    spark.conf.set(name, str(AT_ONCE))
+    try:
+        return cut(pairs.mapInArrow(compare, "_a long, _b long, _c long"))
+    finally:
+        spark.conf.set(name, was)
 
 
 # ---- nearest neighbours ------------------------------------------------------------------

@@ -49,6 +49,25 @@ def test_near_vectors(spark, seed, monkeypatch):
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True)
 
 
+def test_tiles_are_not_shuffled_for_their_pairs(spark, monkeypatch):
+    import spanwise.llm.vectors as m
+
+    plans = []
+
+    def seen(df, f=m.cut):
+        if df.columns == ["_a", "_b", "_c"]:
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return f(df)
+
+    for name, value in (("cut", seen), ("TILE", 16), ("FOLD", 20)):
+        monkeypatch.setattr(m, name, value)
+    items, good = odd(np.random.default_rng(3))
+    got = {r["vec_id"]: r["n_links"] for r in near_vectors(frame(spark, items)).collect()}
+    ids, s = cosines(good)
+    assert [got[i] for i in ids] == ((s >= 0.9).sum(axis=1) - 1).tolist()
+    assert len(plans) == 1 and "Exchange" not in plans[0]
+
+
 def test_near_vectors_edges(spark):
     assert near_vectors(frame(spark, [])).count() == 0
     got = near_vectors(frame(spark, [(None, [1, 0]), (3, [1, 0]), (3, [1, 0]), (2, [0, 1]), (None, None)])).collect()
